@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.dedup_format import canonical_text, canonical_url, duplicate_records, duplicate_rows
+from telar.llm.mixing import mix
 from telar.llm.nearest_time import instant, nearest_in_time
-from telar.session import table
+from telar.llm.packing import fill_report, pack
+from telar.llm.page_shapes import judge_pages
+from telar.llm.tokens import token_count
+from telar.session import cut, table
 
 
 def _quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,54 @@ def p7_registros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_records(table(spark, sf_dir, "noticias"), "fila", _P7).select(F.col("first").alias("fila"), F.col("copies").alias("copias"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and tokens of each document, counted once."""
+    documents = table(spark, sf_dir, "documents")
+    return cut(documents.select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
+
+
+def p8_contenedores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and the container each is put in, for each capacity."""
+    boxes = table(spark, sf_dir, "contenedores")
+    packed = pack(_tokens(spark, sf_dir), boxes, "doc_id", "tokens", "nombre", "capacidad_tokens")
+    return packed.select(
+        F.col("container").alias("nombre"), F.col("bin").alias("contenedor"), F.col("id").alias("doc_id"), F.col("part").alias("parte"),
+        F.col("from_token").alias("desde"), F.col("to_token").alias("hasta"), F.col("size").alias("tokens"),
+    )
+
+
+def p8_llenado(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, for each capacity."""
+    boxes = table(spark, sf_dir, "contenedores")
+    packed = pack(_tokens(spark, sf_dir), boxes, "doc_id", "tokens", "nombre", "capacidad_tokens")
+    return fill_report(packed, boxes, "nombre", "capacidad_tokens")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mezcla_objetivo")
+    return mix(_tokens(spark, sf_dir), targets, "doc_id", "source", "tokens", "source", "peso_objetivo", "max_repeticiones")
+
+
+def p9_mezcla(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: a row per use of a document, in shuffled order."""
+    return _mixed(spark, sf_dir)[0].select("doc_id", "source", "tokens", F.col("mix_copy").alias("copia"), F.col("mix_order").alias("orden"))
+
+
+def p9_reparto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources of the mix."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly keywords, links or tags."""
+    return judge_pages(table(spark, sf_dir, "documents"), "doc_id", "text").where("flagged").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_paginas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of non-sentence shapes of every document."""
+    return judge_pages(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 _P1_SQL = r"""
 WITH v AS (SELECT * FROM sismos WHERE id_sismo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_sismo ORDER BY updated DESC NULLS LAST, hora_utc DESC) = 1),
 q AS (SELECT id_sismo, zona, hora_utc FROM v WHERE magnitud IS NOT NULL AND coalesce(estado, '') <> 'deleted'),
@@ -61,7 +113,11 @@ p AS (SELECT t.fila, q.id_sismo, abs(epoch_us(t.t) - epoch_us(q.hora_utc)) AS d,
 b AS (SELECT * FROM p WHERE d <= 48 * 3600 * 1000000::BIGINT QUALIFY row_number() OVER (PARTITION BY fila ORDER BY d, hora_utc, id_sismo) = 1)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pares": p1_pares, "p7_found": p7_found, "p7_registros": p7_registros}
+QUERIES = {
+    "p1_found": p1_found, "p1_pares": p1_pares, "p7_found": p7_found, "p7_registros": p7_registros,
+    "p8_contenedores": p8_contenedores, "p8_llenado": p8_llenado, "p9_mezcla": p9_mezcla, "p9_reparto": p9_reparto,
+    "p10_found": p10_found, "p10_paginas": p10_paginas,
+}
 ORACLE = {
     "p1_found": _P1_SQL + "SELECT fila, id_sismo FROM b",
     "p1_pares": _P1_SQL + "SELECT fila, id_sismo, d / 1e6 AS distancia_s FROM b",
