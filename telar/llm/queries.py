@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.dedup_format import canonical_text, canonical_url, duplicate_records, duplicate_rows
+from telar.llm.language import fit, language_runs
 from telar.llm.mixing import mix
 from telar.llm.nearest_time import instant, nearest_in_time
 from telar.llm.packing import fill_report, pack
@@ -38,6 +39,28 @@ def p1_pares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fila, the language its label names or null, and the runs of its headline."""
+    forms = table(spark, sf_dir, "idiomas").where("forma is not null").groupBy("forma").agg(F.min("idioma").alias("nombrado"))
+    news = table(spark, sf_dir, "noticias").select("fila", "titulo", F.lower(F.trim("idioma")).alias("etiqueta"))
+    named = news.join(forms, F.col("etiqueta") == F.col("forma"), "left").select("fila", "titulo", "nombrado")
+    model = fit(named, "titulo", "nombrado")
+    return named.select("fila", "nombrado", language_runs(named, model, F.col("titulo")).alias("tramos"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of the headlines that mix languages or whose label is missing or wrong."""
+    rows = _languages(spark, sf_dir)
+    case = (F.size("tramos") > 1) | F.col("nombrado").isNull() | (F.col("nombrado") != F.get("tramos", F.lit(0))["language"])
+    return rows.where(case).select("fila", F.posexplode("tramos").alias("k", "t")).select("fila", (F.col("k") + 1).alias("segmento"), F.col("t.language").alias("idioma"))
+
+
+def p3_idiomas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every headline's runs with language, confidence and text."""
+    rows = _languages(spark, sf_dir).select("fila", "nombrado", F.posexplode("tramos").alias("k", "t"))
+    return rows.select("fila", "nombrado", (F.col("k") + 1).alias("segmento"), F.col("t.language").alias("idioma"), F.col("t.confidence").alias("confianza"), F.col("t.text").alias("texto"))
+
+
 _P7 = {"titulo": canonical_text, "url": canonical_url}
 
 
@@ -114,7 +137,8 @@ b AS (SELECT * FROM p WHERE d <= 48 * 3600 * 1000000::BIGINT QUALIFY row_number(
 """
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pares": p1_pares, "p7_found": p7_found, "p7_registros": p7_registros,
+    "p1_found": p1_found, "p1_pares": p1_pares, "p3_found": p3_found, "p3_idiomas": p3_idiomas,
+    "p7_found": p7_found, "p7_registros": p7_registros,
     "p8_contenedores": p8_contenedores, "p8_llenado": p8_llenado, "p9_mezcla": p9_mezcla, "p9_reparto": p9_reparto,
     "p10_found": p10_found, "p10_paginas": p10_paginas,
 }
