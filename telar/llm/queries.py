@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telar.llm import consensus
 from telar.llm.dedup_format import canonical_text, canonical_url, duplicate_records, duplicate_rows
 from telar.llm.language import fit, language_runs
 from telar.llm.mixing import mix
@@ -61,6 +62,59 @@ def p3_idiomas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fila", "nombrado", (F.col("k") + 1).alias("segmento"), F.col("t.language").alias("idioma"), F.col("t.confidence").alias("confianza"), F.col("t.text").alias("texto"))
 
 
+# Fixed value: letters with accents and what they are without.
+_ACCENTED, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
+
+
+def _loose(column: str) -> Column:
+    """Lower case without accents, underscores, hyphens and blanks."""
+    text = F.regexp_replace(F.translate(F.lower(F.col(column)), _ACCENTED, _PLAIN), r"[\u0300-\u036f_\-\s]+", "")
+    return F.nullif(text, F.lit(""))
+
+
+def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(consensus, annotators) of each field."""
+    sheet = table(spark, sf_dir, "hoja_preetiquetado")
+    themes = table(spark, sf_dir, "temas").where("tema is not null")
+    rows = sheet.withColumn("cuando", F.struct(instant(F.col("fecha_etiquetado")), F.col("fecha_etiquetado")))
+    latest = cut(consensus.latest_labels(rows, "id_noticia", "etiquetado_por", "cuando", ["tema_humano", "grupo"]))
+    items = sheet.where("id_noticia is not null").select(F.col("id_noticia").alias("item"), F.col("titulo").alias("text"), F.col("propuesta_tema").alias("hint"))
+    keys = themes.select(_loose("tema").alias("forma"), "tema").union(themes.select(_loose("nombre").alias("forma"), "tema"))
+    keys = keys.where("forma is not null").groupBy("forma").agg(F.min("tema").alias("value"))
+    tema = latest.withColumn("forma", _loose("tema_humano")).join(keys, "forma").select("item", "annotator", "value")
+    joined = F.regexp_replace(F.lower(F.trim("grupo")), r"[^\p{L}\p{N}\p{M}]+", "-")
+    grupo = latest.select("item", "annotator", F.nullif(F.regexp_replace(joined, "^-|-$", ""), F.lit("")).alias("value"))
+    classes = sorted(r.tema for r in themes.select("tema").distinct().limit(1000).collect())
+    return {"tema_humano": consensus.closed(tema, items, classes), "grupo": consensus.open_values(grupo, items)}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreed value of each headline and field with labels from at least three annotators."""
+    fields = [
+        agreed.where("n_labels >= 3").select(F.col("item").alias("id_noticia"), F.lit(field).alias("campo"), F.col("value").alias("valor"))
+        for field, (agreed, _) in _annotations(spark, sf_dir).items()
+    ]
+    return fields[0].unionByName(fields[1])
+
+
+def p4_consenso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled headline and field: agreed value, confidence and agreement."""
+    fields = [
+        agreed.select(F.col("item").alias("id_noticia"), F.lit(field).alias("campo"), F.col("value").alias("valor"), F.col("confidence").alias("confianza"), F.col("agreement").alias("acuerdo"), F.col("n_labels").alias("n_etiquetas"))
+        for field, (agreed, _) in _annotations(spark, sf_dir).items()
+    ]
+    return fields[0].unionByName(fields[1])
+
+
+def p4_anotadores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each annotator in each field."""
+    fields = [
+        who.select(F.col("annotator").alias("anotador"), F.lit(field).alias("campo"), F.col("reliability").alias("fiabilidad"), F.col("n_labels").alias("n_etiquetas"))
+        for field, (_, who) in _annotations(spark, sf_dir).items()
+    ]
+    return fields[0].unionByName(fields[1])
+
+
 _P7 = {"titulo": canonical_text, "url": canonical_url}
 
 
@@ -138,6 +192,7 @@ b AS (SELECT * FROM p WHERE d <= 48 * 3600 * 1000000::BIGINT QUALIFY row_number(
 
 QUERIES = {
     "p1_found": p1_found, "p1_pares": p1_pares, "p3_found": p3_found, "p3_idiomas": p3_idiomas,
+    "p4_found": p4_found, "p4_consenso": p4_consenso, "p4_anotadores": p4_anotadores,
     "p7_found": p7_found, "p7_registros": p7_registros,
     "p8_contenedores": p8_contenedores, "p8_llenado": p8_llenado, "p9_mezcla": p9_mezcla, "p9_reparto": p9_reparto,
     "p10_found": p10_found, "p10_paginas": p10_paginas,
