@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telar.llm import consensus
 from telar.llm.dedup_format import canonical_text, canonical_url, duplicate_records, duplicate_rows
+from telar.llm.event_clusters import event_clusters
 from telar.llm.language import fit, language_runs
 from telar.llm.mixing import mix
 from telar.llm.nearest_time import instant, nearest_in_time
@@ -115,6 +116,19 @@ def p4_anotadores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields[0].unionByName(fields[1])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of headlines that report one event."""
+    groups = cut(event_clusters(table(spark, sf_dir, "hoja_preetiquetado"), "id_noticia", "titulo").where("size > 1").select("id", "cluster"))
+    other = groups.select(F.col("id").alias("id_b"), "cluster")
+    return groups.join(other, "cluster").where("id < id_b").select(F.col("id").alias("id_a"), "id_b")
+
+
+def p5_grupos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each headline's group with its size and most typical headline."""
+    groups = event_clusters(table(spark, sf_dir, "hoja_preetiquetado"), "id_noticia", "titulo")
+    return groups.select(F.col("id").alias("id_noticia"), F.col("cluster").alias("grupo"), F.col("size").alias("n_titulares"), F.col("typical").alias("titular_tipico"))
+
+
 _P7 = {"titulo": canonical_text, "url": canonical_url}
 
 
@@ -193,6 +207,7 @@ b AS (SELECT * FROM p WHERE d <= 48 * 3600 * 1000000::BIGINT QUALIFY row_number(
 QUERIES = {
     "p1_found": p1_found, "p1_pares": p1_pares, "p3_found": p3_found, "p3_idiomas": p3_idiomas,
     "p4_found": p4_found, "p4_consenso": p4_consenso, "p4_anotadores": p4_anotadores,
+    "p5_found": p5_found, "p5_grupos": p5_grupos,
     "p7_found": p7_found, "p7_registros": p7_registros,
     "p8_contenedores": p8_contenedores, "p8_llenado": p8_llenado, "p9_mezcla": p9_mezcla, "p9_reparto": p9_reparto,
     "p10_found": p10_found, "p10_paginas": p10_paginas,
