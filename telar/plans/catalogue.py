@@ -1,7 +1,7 @@
 """All core queries and their SQL, by name."""
 
-from telar.plans import problems
+from telar.plans import problems, scalars
 
-MODULES = [problems]
+MODULES = [problems, scalars]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
