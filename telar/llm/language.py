@@ -256,7 +256,7 @@ def clean_sample(rows: list[tuple[str, str]], rounds: int = 3, window: int = 6,
     return {label: list(dict.fromkeys(found)) for label, found in out.items() if found}
 
 
-def fit(labelled: DataFrame, text: str, language: str, rows_per_language: int = 1500, chars_per_language: int = 24_000, change_bits: float = 40.0) -> Model:
+def fit(labelled: DataFrame, text: str, language: str, rows_per_language: int = 1000, chars_per_language: int = 24_000, change_bits: float = 40.0) -> Model:
     """A model from a bounded sample: per language the ``rows_per_language`` texts of smallest hash.
 
     Rows without text or language are left out. Only the sample comes to the driver, and the model's size is bounded by
@@ -309,4 +309,5 @@ def language_runs(df: DataFrame, model: Model, text: Column) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(offsets), struct)
 
-    return F.arrow_udf(convert, _RUNS)(text)
+    # Not to be run again where a filter on the runs is pushed down.
+    return F.arrow_udf(convert, _RUNS).asNondeterministic()(text)
