@@ -89,7 +89,8 @@ def _fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, weigh
 
 
 def closed(
-    labels: DataFrame, items: DataFrame, classes: list[str], rounds: int = 6, sample_items: int = 20_000, width: int = 4096, smoothing: float = 4.0
+    labels: DataFrame, items: DataFrame, classes: list[str], rounds: int = 6, sample_items: int = 20_000, width: int = 4096, smoothing: float = 4.0,
+    max_annotators: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators) for labels (item, annotator, value) out of ``classes`` and items (item, text, hint).
 
@@ -98,12 +99,12 @@ def closed(
 
     Labels of no class are no labels; items without labels give no row; a null text or hint has no features. Confusion
     and reliability cover all labels; the classifier alone is fitted on the ``sample_items`` items of smallest hash.
-    Labels are reduced by partial aggregation, so an annotator who did a third of them is no burden.
+
+    Up to ``max_annotators`` (counted) the confusion matrices go to the workers with each round, which is one job: it
+    weighs the items and sums the counts per annotator. Beyond that they are a table and joined; the result is the same.
     """
-    k = len(classes)
     code = F.array_position(F.array(*map(F.lit, classes)), F.col("value")).cast("int") - 1
     lab = cut(labels.where(F.col("value").isin(classes)).select("item", "annotator", code.alias("v")))
-    p, l = [f"p{t}" for t in range(k)], [f"l{t}" for t in range(k)]
 
     def features(text: pa.Array, hint: pa.Array) -> pa.Array:
         return pa.array([_features(t, h, width) for t, h in zip(text.to_pylist(), hint.to_pylist())], pa.list_(pa.int32()))
@@ -111,9 +112,101 @@ def closed(
     known = lab.select("item").distinct()
     described = items.groupBy("item").agg(F.min("text").alias("text"), F.min("hint").alias("hint"))
     x = cut(known.join(described, "item", "left").select("item", F.arrow_udf(features, T.ArrayType(T.IntegerType()))("text", "hint").alias("x")))
+    names = _names(lab, max_annotators)
+    if names is None:
+        return _closed_joined(lab, x, classes, rounds, sample_items, width, smoothing)
+    k = len(classes)
+    packed = cut(_numbered(lab, names).groupBy("item").agg(F.collect_list(F.struct("a", "v")).alias("g")).join(x, "item").select("item", "x", F.col("g.a").alias("a"), F.col("g.v").alias("v")))
+    sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("x", "a", "v").toArrow()
+    rows, annotator, given = sample["x"].to_pylist(), sample["a"].to_pylist(), sample["v"].to_pylist()
+    share = smoothing * np.where(np.eye(k, dtype=bool), 0.7, 0.3 / max(k - 1, 1))
+    confusion = np.repeat(np.log(share / smoothing).T[None], max(len(names), 1), 0)
+    weights, counts = np.zeros((width, k)), np.zeros((len(names), k, k))
+    for r in range(rounds):
+        counts = _confusion_counts(packed, confusion, weights)
+        final = (confusion, weights)
+        if r == rounds - 1:
+            break
+        post = _weigh(rows, annotator, given, confusion, weights)
+        weights = _fit_classifier(rows, post, width, weights)
+        confusion = np.log((counts + share.T[None]) / (counts.sum(1, keepdims=True) + smoothing))
+    consensus = _agreed(packed, final, classes)
+    total = counts.sum((1, 2))
+    right = np.einsum("avv->a", counts)
+    annotators = lab.sparkSession.createDataFrame(
+        [(n, float(right[i] / total[i]), int(round(total[i]))) for n, i in names.items() if total[i] > 0], "annotator string, reliability double, n_labels bigint"
+    )
+    return consensus, annotators
+
+
+def _names(lab: DataFrame, most: int) -> dict[str, int] | None:
+    """Numbers of the annotators; None if there are more than ``most``."""
+    found = lab.select("annotator").distinct().limit(most + 1).collect()
+    return {n: i for i, n in enumerate(sorted(r.annotator for r in found))} if len(found) <= most else None
+
+
+def _numbered(lab: DataFrame, names: dict[str, int]) -> DataFrame:
+    numbers = lab.sparkSession.createDataFrame(list(names.items()), "annotator string, a int")
+    return lab.join(F.broadcast(numbers), "annotator").drop("annotator")
+
+
+def _weigh(x: list, annotator: list, given: list, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """[item, class] posterior of items with at least one label each."""
+    if not x:
+        return np.zeros((0, weights.shape[1]))
+    starts = np.cumsum([0, *map(len, annotator[:-1])])
+    evidence = confusion[np.concatenate(annotator).astype(int), np.concatenate(given).astype(int)]
+    score = _log_prior(weights, x) + np.add.reduceat(evidence, starts, axis=0)
+    odds = np.exp(score - score.max(1, keepdims=True))
+    return odds / odds.sum(1, keepdims=True)
+
+
+def _confusion_counts(packed: DataFrame, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """[annotator, given, class] summed posteriors over all items."""
+    n, k, _ = confusion.shape
+
+    def count(batches):
+        total = np.zeros((n, k, k))
+        for batch in batches:
+            x, a, v = (c.to_pylist() for c in batch.columns)
+            post = _weigh(x, a, v, confusion, weights)
+            np.add.at(total, (np.concatenate(a).astype(int), np.concatenate(v).astype(int)), np.repeat(post, list(map(len, a)), 0)) if x else None
+        i, j = np.nonzero(total.any(2))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(total[i, j, t]) for t in range(k)]], ["a", "v", *[f"p{t}" for t in range(k)]])
+
+    columns = [f"p{t}" for t in range(k)]
+    partial = packed.select("x", "a", "v").mapInArrow(count, "a int, v int, " + ", ".join(f"{c} double" for c in columns))
+    found = partial.groupBy("a", "v").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    out = np.zeros((n, k, k))
+    if found.num_rows:
+        out[found["a"].to_numpy(), found["v"].to_numpy()] = np.stack([found[c].to_numpy() for c in columns], 1)
+    return out
+
+
+def _agreed(packed: DataFrame, final: tuple[np.ndarray, np.ndarray], classes: list[str]) -> DataFrame:
+    def decide(batches):
+        for batch in batches:
+            item, x, a, v = batch.columns
+            post = _weigh(x.to_pylist(), a.to_pylist(), v.to_pylist(), *final)
+            best = post.argmax(1) if len(post) else np.zeros(0, int)
+            same = [sum(g == b for g in labels) / len(labels) for labels, b in zip(v.to_pylist(), best)]
+            yield pa.RecordBatch.from_arrays(
+                [item, pa.array([classes[b] for b in best], pa.string()), pa.array(post.max(1) if len(post) else [], pa.float64()), pa.array(same, pa.float64()), pa.array([len(g) for g in v.to_pylist()], pa.int64())],
+                ["item", "value", "confidence", "agreement", "n_labels"],
+            )
+
+    kind = packed.schema["item"].dataType.simpleString()
+    return packed.select("item", "x", "a", "v").mapInArrow(decide, f"item {kind}, value string, confidence double, agreement double, n_labels bigint")
+
+
+def _closed_joined(lab: DataFrame, x: DataFrame, classes: list[str], rounds: int, sample_items: int, width: int, smoothing: float) -> tuple[DataFrame, DataFrame]:
+    """``closed`` for any number of annotators: their confusion is a table that the labels are joined to."""
+    k = len(classes)
+    p, l = [f"p{t}" for t in range(k)], [f"l{t}" for t in range(k)]
+
     sample = x.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("item", "x").collect()
     rows = [r.x for r in sample]
-    chosen = labels.sparkSession.createDataFrame([(r.item,) for r in sample], x.select("item").schema)
+    chosen = lab.sparkSession.createDataFrame([(r.item,) for r in sample], x.select("item").schema)
     weights = np.zeros((width, k))
     share = smoothing * np.where(np.eye(k, dtype=bool), 0.7, 0.3 / max(k - 1, 1))
     params, post = None, None
@@ -177,13 +270,22 @@ def _one_apart(word: str, tokens: set[str]) -> bool:
     return False
 
 
+BUCKETS = 128
+START = np.array([2.0, 0.5, -0.5, 0.1])
+
+
+def _bucket(value: str) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+
+
 def open_values(
-    labels: DataFrame, items: DataFrame, rounds: int = 6, sample_items: int = 20_000, decay: float = 0.05
+    labels: DataFrame, items: DataFrame, rounds: int = 6, sample_items: int = 20_000, decay: float = 0.05, max_annotators: int = 20_000
 ) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators) as ``closed`` gives them, for labels (item, annotator, value) of any values.
 
     An item's candidates are its labels. The features of a candidate are how its words are found in the item's text and
-    how common it is among the labels; ties go to the smallest value. Null and blank labels are none.
+    how common it is among the labels; ties go to the smallest value. Null and blank labels are none. The values that
+    an annotator's errors fall on are kept in ``BUCKETS`` hash buckets.
     """
     lab = cut(labels.where("value is not null and value <> ''").select("item", "annotator", "value"))
     common = lab.groupBy("value").agg(F.countDistinct("item").alias("items"))
@@ -195,17 +297,111 @@ def open_values(
     pairs = lab.groupBy("item", "value").agg(F.count(F.lit(1)).alias("n")).join(described, "item", "left").join(common, "value")
     x = F.concat(F.arrow_udf(features, T.ArrayType(T.DoubleType()))("text", "value"), F.array(F.log1p(F.col("items").cast("double"))))
     cand = cut(pairs.select("item", "value", "n", x.alias("x")))
+    names = _names(lab, max_annotators)
+    if names is None:
+        return _open_joined(lab, cand, rounds, sample_items, decay)
+    who = _numbered(lab, names).groupBy("item", "value").agg(F.collect_list("a").alias("a"))
+    each = F.array_sort(F.collect_list(F.struct("value", _bucket("value").alias("b"), "x", "a")))
+    packed = cut(cand.join(who, ["item", "value"]).groupBy("item").agg(each.alias("c")).select("item", "c.value", "c.b", "c.x", "c.a"))
+    sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("value", "b", "x", "a").toArrow()
+    held = [sample[c].to_pylist() for c in ("value", "b", "x", "a")]
+    gain, weights = np.full((max(len(names), 1), BUCKETS), 3.0), START
+    sums = np.zeros((len(names), 2))
+    for r in range(rounds):
+        right, wrong = _choice_counts(packed, gain, weights)
+        sums = np.stack([right, right + wrong.sum(1)], 1)
+        final = (gain, weights)
+        if r == rounds - 1:
+            break
+        post, starts = _choose(*held[1:], gain, weights)
+        weights = _fit_packed(held[2], post, starts, weights, decay)
+        sure = (right + 3.0) / (sums[:, 1] + 4.0)
+        slip = np.minimum((wrong + 2.0 / BUCKETS) / (wrong.sum(1, keepdims=True) + 2.0), 0.999)
+        gain = np.log(1 + sure[:, None] / ((1 - sure[:, None]) * slip))
+    annotators = lab.sparkSession.createDataFrame(
+        [(n, float(sums[i, 0] / sums[i, 1]), int(round(sums[i, 1]))) for n, i in names.items() if sums[i, 1] > 0], "annotator string, reliability double, n_labels bigint"
+    )
+    return _chosen(packed, final), annotators
+
+
+def _choose(b: list, x: list, a: list, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of every candidate, items one after another, and where each item begins."""
+    if not b:
+        return np.zeros(0), np.zeros(0, int)
+    starts = np.cumsum([0, *map(len, b[:-1])])
+    owners = [w for item in a for w in item]
+    first = np.cumsum([0, *map(len, owners[:-1])])
+    evidence = gain[np.concatenate(owners).astype(int), np.repeat(np.concatenate(b).astype(int), list(map(len, owners)))]
+    score = np.concatenate([np.array(v, float) for v in x]) @ weights + np.add.reduceat(evidence, first)
+    group = np.repeat(np.arange(len(b)), list(map(len, b)))
+    odds = np.exp(score - np.maximum.reduceat(score, starts)[group])
+    return odds / np.add.reduceat(odds, starts)[group], starts
+
+
+def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[annotator] expected right labels, [annotator, bucket] expected wrong ones, over all items."""
+    n = gain.shape[0]
+
+    def count(batches):
+        right, wrong = np.zeros(n), np.zeros((n, BUCKETS))
+        for batch in batches:
+            b, x, a = (c.to_pylist() for c in batch.columns)
+            if not b:
+                continue
+            post, _ = _choose(b, x, a, gain, weights)
+            owners = [w for item in a for w in item]
+            who, many = np.concatenate(owners).astype(int), list(map(len, owners))
+            np.add.at(right, who, np.repeat(post, many))
+            np.add.at(wrong, (who, np.repeat(np.concatenate(b).astype(int), many)), np.repeat(1 - post, many))
+        i, j = np.nonzero(wrong)
+        k = np.flatnonzero(right)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([i, k]), pa.int32()), pa.array(np.concatenate([j, np.full(len(k), -1)]), pa.int32()), pa.array(np.concatenate([wrong[i, j], right[k]]), pa.float64())
+        ], ["a", "b", "s"])
+
+    found = packed.select("b", "x", "a").mapInArrow(count, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()
+    right, wrong = np.zeros(n), np.zeros((n, BUCKETS))
+    a, b, s = (found[c].to_numpy() for c in ("a", "b", "s"))
+    right[a[b < 0]] = s[b < 0]
+    wrong[a[b >= 0], b[b >= 0]] = s[b >= 0]
+    return right, wrong
+
+
+def _chosen(packed: DataFrame, final: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    def decide(batches):
+        for batch in batches:
+            item, value, b, x, a = (c.to_pylist() for c in batch.columns)
+            post, starts = _choose(b, x, a, *final)
+            best = [int(np.argmax(post[s : s + len(v)])) for s, v in zip(starts, value)]
+            labels = [sum(map(len, w)) for w in a]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([v[k] for v, k in zip(value, best)], pa.string()), pa.array([float(post[s + k]) for s, k in zip(starts, best)], pa.float64()),
+                pa.array([len(w[k]) / n for w, k, n in zip(a, best, labels)], pa.float64()), pa.array(labels, pa.int64()),
+            ], ["item", "value", "confidence", "agreement", "n_labels"])
+
+    kind = packed.schema["item"].dataType.simpleString()
+    return packed.select("item", "value", "b", "x", "a").mapInArrow(decide, f"item {kind}, value string, confidence double, agreement double, n_labels bigint")
+
+
+def _fit_packed(x: list, post: np.ndarray, starts: np.ndarray, weights: np.ndarray, decay: float) -> np.ndarray:
+    if not x:
+        return weights
+    sizes = np.diff([*starts, len(post)])
+    return _ascend(np.concatenate([np.array(v, float) for v in x]), post, starts, np.repeat(np.arange(len(starts)), sizes), weights, decay)
+
+
+def _open_joined(lab: DataFrame, cand: DataFrame, rounds: int, sample_items: int, decay: float) -> tuple[DataFrame, DataFrame]:
+    """``open_values`` for any number of annotators: their accuracy and errors are tables that the labels are joined to."""
     size = 4
     chosen = cut(cand.select("item").distinct().withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("item"))
-    weights = np.array([2.0, 0.5, -0.5, 0.1])
-    n_values = max(common.count(), 1)
+    weights = START
     power, post = None, None
     for _ in range(rounds):
         if power is None:
             each = cand.withColumn("w", F.col("n") * F.lit(3.0))
         else:
-            each = lab.join(power, "annotator").join(errors, ["annotator", "value"], "left")
-            slip = (F.coalesce("wrong", F.lit(0.0)) + F.lit(2.0 / n_values)) / (F.col("all_wrong") + 2.0)
+            each = lab.withColumn("bucket", _bucket("value")).join(power, "annotator").join(errors, ["annotator", "bucket"], "left")
+            slip = (F.coalesce("wrong", F.lit(0.0)) + F.lit(2.0 / BUCKETS)) / (F.col("all_wrong") + 2.0)
             gain = F.log(1 + F.col("right") / ((1 - F.col("right")) * F.least(slip, F.lit(0.999))))
             each = each.groupBy("item", "value").agg(F.sum(gain).alias("w")).join(cand, ["item", "value"])
         prior = sum((F.get("x", F.lit(j)) * F.lit(float(weights[j])) for j in range(size)), F.lit(0.0))
@@ -218,7 +414,7 @@ def open_values(
         power = cut(rated.groupBy("annotator").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("c"), F.sum(1 - F.col("p")).alias("all_wrong")).select(
             "annotator", ((F.col("s") + 3.0) / (F.col("c") + 4.0)).alias("right"), "all_wrong"
         ))
-        errors = cut(rated.groupBy("annotator", "value").agg(F.sum(1 - F.col("p")).alias("wrong")))
+        errors = cut(rated.groupBy("annotator", _bucket("value").alias("bucket")).agg(F.sum(1 - F.col("p")).alias("wrong")))
         weights = _fit_choice(post.join(chosen, "item").select("item", "x", "p").collect(), weights, decay)
     best = post.groupBy("item").agg(F.max(F.struct("p", F.col("value"))).alias("b"), F.max("p").alias("confidence"))
     tied = post.join(best, "item").where(F.col("p") == F.col("confidence")).groupBy("item").agg(F.min("value").alias("value"), F.first("confidence").alias("confidence"))
@@ -230,19 +426,21 @@ def open_values(
     return consensus, annotators
 
 
-def _fit_choice(rows: list, weights: np.ndarray, decay: float, steps: int = 40) -> np.ndarray:
-    """Conditional logistic regression: the weights by which an item's candidates would be chosen as the posteriors say."""
+def _fit_choice(rows: list, weights: np.ndarray, decay: float) -> np.ndarray:
     if not rows:
         return weights
     rows = sorted(rows, key=lambda r: str(r["item"]))
     names = np.array([str(r["item"]) for r in rows])
-    x, p = np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows])
-    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    group = np.cumsum(np.concatenate([[True], names[1:] != names[:-1]])) - 1
+    first = np.concatenate([[True], names[1:] != names[:-1]])
+    return _ascend(np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows]), np.flatnonzero(first), np.cumsum(first) - 1, weights, decay)
+
+
+def _ascend(x: np.ndarray, p: np.ndarray, starts: np.ndarray, group: np.ndarray, weights: np.ndarray, decay: float, steps: int = 40) -> np.ndarray:
+    """Conditional logistic regression: the weights by which an item's candidates would be chosen as the posteriors say."""
     start = weights
     for _ in range(steps):
-        s = x @ weights
-        e = np.exp(s - np.maximum.reduceat(s, starts)[group])
-        q = e / np.add.reduceat(e, starts)[group]
+        score = x @ weights
+        odds = np.exp(score - np.maximum.reduceat(score, starts)[group])
+        q = odds / np.add.reduceat(odds, starts)[group]
         weights = weights + 2.0 * (((p - q) @ x) / len(starts) - decay * (weights - start))
     return weights
