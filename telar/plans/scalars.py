@@ -46,12 +46,12 @@ def clean_titles(t: Tables) -> DataFrame:
 
 
 @query("f05_sin_sufijo", f"""
-WITH a AS (SELECT fila, medio, CASE WHEN fila % 3 = 0 THEN titulo || ' | ' || medio ELSE titulo END AS titulo FROM noticias),
+WITH a AS (SELECT fila, medio, coalesce(titulo || ' | ' || medio, titulo) AS titulo FROM noticias),
 b AS (SELECT *, regexp_extract(titulo, '(?s)^(.*) \\| (.*)$', 1) AS frente, regexp_extract(titulo, '(?s)^(.*) \\| (.*)$', 2) AS cola FROM a)
 SELECT fila, CASE WHEN contains(titulo, ' | ') AND {alnum("cola")} = {alnum('medio')} AND len(string_split(frente, ' ')) >= 3 THEN frente ELSE titulo END AS sin_medio FROM b""")
 def no_suffix(t: Tables) -> DataFrame:
-    """headlines without a final outlet name, on rows to a third of which one was added."""
-    named = F.when(F.col("fila") % 3 == 0, F.concat("titulo", F.lit(" | "), "medio")).otherwise(F.col("titulo"))
+    """headlines without a final outlet name, which is added here first."""
+    named = F.coalesce(F.concat("titulo", F.lit(" | "), "medio"), "titulo")
     return t.noticias.withColumn("t", named).select("fila", text.without_suffix(F.col("t"), F.col("medio"), (" | ",)).alias("sin_medio"))
 
 
