@@ -24,6 +24,11 @@ from telar.session import cut
 Similarity = Callable[[Column, Column], Column]
 
 
+def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides grow with the data: never by broadcast, whatever the size estimate of a checkpoint says."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, max_rounds: int = 1000) -> DataFrame:
     """``id``, ``pivot`` of each row of ``df`` (id, order, keys, f): one round after another until every row has one.
 
@@ -36,16 +41,16 @@ def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, max_
     for _ in range(max_rounds):
         blocks = alive.select("id", "o", F.explode_outer("keys").alias("key"))
         least = blocks.where("key is not null").groupBy("key").agg(F.min("o").alias("m"))
-        seen = blocks.join(least, "key", "left").select("id", "m", F.coalesce(F.col("m") == F.col("o"), F.lit(True)).alias("first"))
+        seen = _join(blocks, least, "key", "left").select("id", "m", F.coalesce(F.col("m") == F.col("o"), F.lit(True)).alias("first"))
         tops = seen.groupBy("id").agg(F.bool_and("first").alias("pivot"), F.collect_set("m.id").alias("near"))
-        state = cut(alive.join(tops, "id"))
+        state = cut(_join(alive, tops, "id"))
         pivots = state.where("pivot").select(F.col("id").alias("p"), "o", F.col("f").alias("g"))
-        near = state.where("not pivot").select("id", "f", F.explode("near").alias("p")).join(pivots, "p")
+        near = _join(state.where("not pivot").select("id", "f", F.explode("near").alias("p")), pivots, "p")
         close = near.withColumn("s", similarity(F.col("f"), F.col("g"))).where(F.col("s") >= threshold)
         absorbed = close.groupBy("id").agg(F.min(F.struct(-F.col("s"), "o", "p")).alias("b")).select("id", F.col("b.p").alias("pivot"))
         taken = cut(absorbed.union(state.where("pivot").select("id", F.col("id").alias("pivot"))))
         done.append(taken)
-        alive = cut(alive.join(taken, "id", "left_anti"))
+        alive = cut(_join(alive, taken, "id", "left_anti"))
         if alive.isEmpty():
             break
     return reduce(DataFrame.union, done)
@@ -53,14 +58,14 @@ def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, max_
 
 def closest_pivot(df: DataFrame, clusters: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
     """``id``, ``pivot`` again, each row moved to the most similar pivot of its blocks; pivots stay."""
-    pivots = df.join(clusters.select(F.col("pivot").alias("id")).distinct(), "id")
+    pivots = _join(df, clusters.select(F.col("pivot").alias("id")).distinct(), "id")
     there = pivots.select(F.explode("keys").alias("key"), F.col("id").alias("p"))
-    near = df.select("id", F.explode("keys").alias("key")).join(there, "key").select("id", "p").distinct()
-    pairs = near.join(df.select("id", "f"), "id").join(pivots.select(F.col("id").alias("p"), F.col("order").alias("o"), F.col("f").alias("g")), "p")
+    near = _join(df.select("id", F.explode("keys").alias("key")), there, "key").select("id", "p").distinct()
+    pairs = _join(_join(near, df.select("id", "f"), "id"), pivots.select(F.col("id").alias("p"), F.col("order").alias("o"), F.col("f").alias("g")), "p")
     close = pairs.withColumn("s", similarity(F.col("f"), F.col("g"))).where((F.col("s") >= threshold) | (F.col("id") == F.col("p")))
     rank = F.struct(F.when(F.col("id") == F.col("p"), 0).otherwise(1), -F.col("s"), "o", "p")
     best = close.groupBy("id").agg(F.min(rank).alias("b")).select("id", F.col("b.p").alias("moved"))
-    return clusters.join(best, "id", "left").select("id", F.coalesce("moved", "pivot").alias("pivot"))
+    return _join(clusters, best, "id", "left").select("id", F.coalesce("moved", "pivot").alias("pivot"))
 
 
 def medoids(df: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -69,10 +74,10 @@ def medoids(df: DataFrame, clusters: DataFrame) -> DataFrame:
     A member's score is the number of the cluster's members that have each of its traits, averaged over its traits and
     shrunk for few. Counts per (cluster, trait) are aggregated, so the work is linear in the members.
     """
-    words = clusters.join(df, "id").select("pivot", "id", F.explode("f.traits").alias("w"))
+    words = _join(clusters, df, "id").select("pivot", "id", F.explode("f.traits").alias("w"))
     counts = words.groupBy("pivot", "w").agg(F.count(F.lit(1)).alias("n"))
-    scores = words.join(counts, ["pivot", "w"]).groupBy("pivot", "id").agg((F.sum("n") / (F.count(F.lit(1)) + 2)).alias("s"))
-    sized = clusters.join(df.select("id", "weight"), "id").join(scores.select("id", "s"), "id", "left")
+    scores = _join(words, counts, ["pivot", "w"]).groupBy("pivot", "id").agg((F.sum("n") / (F.count(F.lit(1)) + 2)).alias("s"))
+    sized = _join(_join(clusters, df.select("id", "weight"), "id"), scores.select("id", "s"), "id", "left")
     top = F.max(F.struct(F.coalesce("s", F.lit(0.0)), "weight", -F.xxhash64("id").cast("decimal(20,0)"), "id"))
     return sized.groupBy("pivot").agg(top["id"].alias("medoid"), F.sum("weight").alias("size"))
 
@@ -82,14 +87,13 @@ def cluster(df: DataFrame, similarity: Similarity, threshold: float) -> DataFram
     df = cut(df.withColumn("order", F.xxhash64("id")))
     first = cut(closest_pivot(df, cut(pivot_clusters(df, similarity, threshold)), similarity, threshold))
     centres = cut(medoids(df, first))
-    upper = df.drop("order", "weight").join(centres.select(F.col("medoid").alias("id"), (-F.col("size")).alias("order")), "id")
+    upper = _join(df.drop("order", "weight"), centres.select(F.col("medoid").alias("id"), (-F.col("size")).alias("order")), "id")
     joined = pivot_clusters(upper, similarity, threshold)
     merged = (
-        first.join(centres.select("pivot", "medoid"), "pivot").select(F.col("id").alias("member"), F.col("medoid").alias("id"))
-        .join(joined, "id").select(F.col("member").alias("id"), "pivot")
+        _join(first, centres.select("pivot", "medoid"), "pivot").select(F.col("id").alias("member"), F.col("medoid").alias("id"))
     )
-    merged = cut(merged)
-    return merged.join(medoids(df, merged), "pivot").select("id", "medoid", "size")
+    merged = cut(_join(merged, joined, "id").select(F.col("member").alias("id"), "pivot"))
+    return _join(merged, medoids(df, merged), "pivot").select("id", "medoid", "size")
 
 
 # Words that begin a place's name, and words that say nothing about what happened.
@@ -190,6 +194,6 @@ def event_clusters(df: DataFrame, id: str, title: str, threshold: float = 0.7) -
     rows = forms.select(F.col("r.item").alias("id"), "form", "weight", F.col("r.title").alias("title"), F.col("r.f").alias("f"), F.col("r.keys").alias("keys"))
     rows = cut(rows)
     found = cluster(rows.select("id", "weight", "keys", "f"), same_event, threshold)
-    named = found.join(rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
-    by_form = named.join(rows.select("id", "form"), "id").select("form", F.col("medoid").alias("cluster"), "size", "typical")
-    return read.select("item", "form").join(by_form, "form").select(F.col("item").alias("id"), "cluster", "size", "typical")
+    named = _join(found, rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
+    by_form = _join(named, rows.select("id", "form"), "id").select("form", F.col("medoid").alias("cluster"), "size", "typical")
+    return _join(read.select("item", "form"), by_form, "form").select(F.col("item").alias("id"), "cluster", "size", "typical")
