@@ -1,7 +1,7 @@
 """All core queries and their SQL, by name."""
 
-from telar.plans import analytics, problems, relational, scalars
+from telar.plans import analytics, problems, relational, scalars, streams
 
-MODULES = [problems, scalars, relational, analytics]
+MODULES = [problems, scalars, relational, analytics, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
