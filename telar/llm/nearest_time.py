@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from telar.session import shuffle_partitions
 
 _ASOF = """
-WITH b AS (SELECT l.__row AS k, r.__id AS id, l.__t - r.__t AS d, r.__t AS t FROM l ASOF JOIN r ON l.__cell = r.__cell AND l.__t >= r.__t),
-     f AS (SELECT l.__row AS k, r.__id AS id, r.__t - l.__t AS d, r.__t AS t FROM l ASOF JOIN r ON l.__cell = r.__cell AND l.__t <= r.__t)
+WITH q AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM l),
+     b AS (SELECT q.n, q.__row AS k, r.__id AS id, q.__t - r.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t >= r.__t),
+     f AS (SELECT q.n, q.__row AS k, r.__id AS id, r.__t - q.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t <= r.__t)
 SELECT coalesce(b.k, f.k) AS row_id, CASE WHEN f.d IS NULL OR b.d <= f.d THEN b.id ELSE f.id END AS match_id,
        CAST(least(b.d, f.d) AS BIGINT) AS distance_us
-FROM b FULL JOIN f ON b.k = f.k WHERE least(b.d, f.d) <= {tolerance}
+FROM b FULL JOIN f ON b.n = f.n WHERE least(b.d, f.d) <= {tolerance}
 """
 
 
@@ -72,7 +73,7 @@ def nearest_in_time(
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         con.register("l", l)
         con.register("r", r)
-        found = con.execute(query).to_arrow_table()
+        found = con.sql(query).to_arrow_table()
         con.close()
         return found.cast(schema)
 
