@@ -66,13 +66,13 @@ def _prior(weights: np.ndarray, x: Column) -> Column:
     return F.arrow_udf(prior, T.ArrayType(T.DoubleType()))(x)
 
 
-def _fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, weights: np.ndarray, decay: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Multinomial logistic regression on soft targets with an L2 penalty, by gradient steps scaled per feature."""
+def _fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, weights: np.ndarray, decay: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Multinomial logistic regression on soft targets with an L2 penalty, by gradient steps per feature within the curvature's bound."""
     if not rows:
         return weights
     lengths = [len(r) for r in rows]
     feature, row = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), lengths)
-    scale = 2.0 / (np.bincount(feature, minlength=width) * (np.mean(lengths) / 4) + decay)[:, None]
+    scale = 1.0 / (np.bincount(feature, np.repeat(lengths, lengths) / 2, minlength=width) + decay)[:, None]
     starts = np.cumsum([0, *lengths[:-1]])
     order = np.argsort(feature, kind="stable")
     by_feature, bounds = row[order], np.searchsorted(feature[order], np.arange(width + 1))
@@ -255,7 +255,7 @@ def _match_features(text: str | None, value: str) -> list[float]:
         return [0.0, 0.0, 0.0]
     rest = words[1:] or words
     found = [w in tokens for w in rest]
-    near = [f or _one_apart(w, tokens) for w, f in zip(rest, found)]
+    near = [1.0 if f else 0.75 * _one_apart(w, tokens) for w, f in zip(rest, found)]
     return [sum(near) / len(rest), float(words[0] in there), float(len(rest) - sum(near))]
 
 

@@ -1,0 +1,35 @@
+"""The queries over the smallest tables, and the isolation of the subpackage."""
+
+import re
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[2]
+DATA = "/root/testdata/sf0.001"
+
+
+def test_nothing_else_imports_the_subpackage():
+    for p in (ROOT / "telar").rglob("*.py"):
+        if "llm" not in p.relative_to(ROOT / "telar").parts:
+            assert not re.search(r"telar\.llm|from telar import llm", p.read_text()), p
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p4_found", "p5_found", "p7_found", "p8_llenado", "p9_reparto", "p10_found"])
+def test_queries_run(spark, name):
+    from telar.llm.queries import QUERIES
+
+    rows = QUERIES[name](spark, DATA).collect()
+    assert len(rows) == len(set(rows)) > 0
+
+
+def test_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from telar.llm.tokens import VOCABULARY, token_count
+
+    if not Path(VOCABULARY).exists():
+        pytest.skip("no vocabulary")
+    rows = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("a" * 50_000,)], "t string").select(token_count(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows][:3] == [2, 0, 0] and rows[3].n > 1 and rows[4].n > 1000
