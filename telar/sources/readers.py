@@ -23,7 +23,9 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str], header: bo
     options = {"header": header, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": True}
     read = spark.read.options(**options).schema(schema).csv(path)
     rows = read.where(F.col("_line").isNull()).select(*[blank_to_null(F.col(c)).alias(c) for c in columns])
-    return rows, read.where(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+    # The reader refuses a scan of the malformed lines alone; Python's identity keeps the other columns in the scan.
+    kept = read.where(F.col("_line").isNotNull()).mapInArrow(lambda batches: batches, schema)
+    return rows, kept.select(F.col("_line").alias("line"))
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
