@@ -6,6 +6,8 @@ runs a backward and a forward ASOF join; of the two candidates the nearer one wi
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,14 @@ FROM b FULL JOIN f ON b.n = f.n WHERE least(b.d, f.d) <= {tolerance}
 """
 
 
+@lru_cache(maxsize=1)
+def _connection():
+    """One DuckDB per Python worker."""
+    import duckdb
+
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+
+
 def nearest_in_time(
     left: DataFrame, right: DataFrame, row: str, entity: str, time: str, right_id: str, right_entity: str, right_time: str,
     tolerance_s: int, cell_s: int = 86_400, cell_rows: int = 100_000, groups: int | None = None,
@@ -68,13 +78,12 @@ def nearest_in_time(
     query = _ASOF.format(tolerance=reach)
 
     def asof(l: pa.Table, r: pa.Table) -> pa.Table:
-        import duckdb
-
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = _connection()
         con.register("l", l)
         con.register("r", r)
         found = con.sql(query).to_arrow_table()
-        con.close()
+        con.unregister("l")
+        con.unregister("r")
         return found.cast(schema)
 
     types = {"row_id": left.schema[row].dataType, "match_id": right.schema[right_id].dataType}
