@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions.stats import f1
+from telar.operators.prefix import places, running_before
 
 
 def per_class(df: DataFrame, truth: str, guess: str, weight: Column | None = None) -> DataFrame:
@@ -51,8 +52,7 @@ def pair_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """n of each side and the chance that a positive scores higher, ties half: from ranks of counted scores."""
     levels = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = levels.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    won = running_before(levels, [F.col(score)], F.col("n"), "below").withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     both = F.nullif(F.sum("p").cast("double") * F.sum("n"), F.lit(0.0))
     return won.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum("won") / both).alias("auc"))
 
@@ -101,9 +101,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def plateau(df: DataFrame, x: str, score: str) -> DataFrame:
     """Of the thresholds with the best score the longest run in a row and its lower middle."""
-    w = Window.orderBy(x)
-    best = F.max(score).over(Window.partitionBy())
-    at = df.withColumn("__k", F.row_number().over(w)).withColumn("__best", best).where(F.col(score) == F.col("__best"))
-    runs = at.withColumn("__g", F.col("__k") - F.row_number().over(w)).groupBy("__g").agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max(score).alias("score"))
+    best = df.agg(F.max(score).alias("__best"))
+    at = places(df, [F.col(x)], "__k").crossJoin(F.broadcast(best)).where(F.col(score) == F.col("__best"))
+    runs = places(at, [F.col(x)], "__j").withColumn("__g", F.col("__k") - F.col("__j")).groupBy("__g").agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max(score).alias("score"))
     longest = runs.orderBy(F.desc(F.size("xs")), F.get("xs", F.lit(0))).limit(1)
     return longest.select(F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"), F.get("xs", ((F.size("xs") - 1) / 2).cast("int")).alias("middle"), "score")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions.stats import wilson
+from telar.operators.prefix import running_before
 
 
 def merge_first_non_null(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -175,7 +176,7 @@ def rank_with_ties(df: DataFrame, score: str, second: str, id: str, decimals: in
     """
     shown, then = F.round(F.col(score), decimals), F.round(F.col(second), second_decimals)
     levels = df.groupBy(shown.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    before = levels.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = running_before(levels, [-F.col("__s")], F.col("__n"), "__before")
     inside = F.row_number().over(Window.partitionBy("__s").orderBy(F.desc("__u"), id))
     return (
         df.withColumn("__s", shown).withColumn("__u", then).join(before, "__s")
@@ -195,6 +196,5 @@ def tie_at_cut(df: DataFrame, score: str, k: int) -> DataFrame:
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with fractional ranks: ties share the mean of their places. Ranks come from counts per value."""
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("__v", (before + (F.col("__n") + 1) / 2).alias(name))
+    ranks = running_before(counts, [F.col("__v")], F.col("__n"), "__before").select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value) == F.col("__v")).drop("__v")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,37 +46,33 @@ def medoid(df: DataFrame, keys: list[str], id: str, vector: str, epsilon: float
     return scored.join(best, keys).where(F.col("s") >= F.col("top") - epsilon).groupBy(*keys).agg(F.min(id).alias(id))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int, block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int, query_block: int = 2048, corpus_block: int = 8192) -> DataFrame:
     """``query``, ``id``, ``similarity``, ``rank``: exact top-k by cosine of a stated query set against all rows.
 
-    Queries are cut into blocks of ``block`` vectors; every block meets every partition of the corpus, which keeps its
-    own top-k, so what is shuffled is k rows per query and partition. Ties go to the smaller id.
+    Both sides are cut into blocks; each block of queries meets each block of the corpus in one task, a product of two
+    matrices, and keeps its own top-k, so what is shuffled on is k rows per query and block. Neither side is broadcast
+    or gathered. Ties go to the smaller id; null vectors take no part.
     """
-    blocks = queries.select(F.col(id).alias("qid"), F.col(vector).alias("qv")).where("qv is not null")
-    blocks = blocks.withColumn("b", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid")) / block))
-    packed = blocks.groupBy(F.pmod(F.xxhash64("qid"), F.lit(64)).alias("h"), "b").agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("qv")).alias("qvs"))
-    spark = queries.sparkSession
-    stated = spark.sparkContext.broadcast([(r.qids, np.array(r.qvs, np.float64).reshape(len(r.qids), -1)) for r in packed.toLocalIterator()])
     kind = queries.schema[id].dataType.simpleString()
+    q, c = queries.where(F.col(vector).isNotNull()), corpus.where(F.col(vector).isNotNull())
+    blocks = [max(1, -(-d.count() // size)) for d, size in ((q, query_block), (c, corpus_block))]
+    number = lambda n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(F.col(id).alias("id"), F.col(vector).alias("v"), number(blocks[0]).alias("qb"), every(blocks[1]).alias("cb"))
+    right = c.select(F.col(id).alias("id"), F.col(vector).alias("v"), every(blocks[0]).alias("qb"), number(blocks[1]).alias("cb"))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": [], "id": [], "similarity": []})
+        m = [np.stack(f["v"].to_numpy()).astype(np.float64) for f in (a, b)]
+        m = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in m]
+        s = m[0] @ m[1].T
+        n = min(k, s.shape[1])
+        i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n])
+        found = pd.DataFrame({"query": a["id"].to_numpy()[i], "id": b["id"].to_numpy()[j], "similarity": s[i, j]})
+        return found.sort_values(["query", "similarity", "id"], ascending=[True, False, True]).groupby("query").head(k)
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        for frame in frames:
-            m = np.stack(frame["v"].to_numpy()).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            ids = frame["id"].to_numpy()
-            for i, (qids, q) in enumerate(stated.value):
-                s = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ m.T
-                n = min(k, s.shape[1])
-                cut_at = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                a, b = np.nonzero(s >= cut_at)
-                found = pd.DataFrame({"query": np.asarray(qids)[a], "id": ids[b], "similarity": s[a, b]})
-                found = pd.concat([best[i], found]) if i in best else found
-                found = found.sort_values(["query", "similarity", "id"], ascending=[True, False, True])
-                best[i] = found.groupby("query").head(k)
-        yield from best.values()
-
-    local = corpus.select(F.col(id).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(search, f"query {kind}, id {kind}, similarity double")
+    local = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, f"query {kind}, id {kind}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telar.operators import tables as ops
 from telar.operators.intervals import merge_intervals
+from telar.operators.prefix import places
 from telar.plans.registry import Registry, Tables
 from telar.plans.scalars import sql_iso, iso
 
@@ -311,9 +312,8 @@ WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_p
 SELECT p_partkey, a, b, a - b AS cambio, (a <= 50) AND NOT (b <= 50) AS sale, NOT (a <= 50) AND (b <= 50) AS entra FROM r""")
 def two_rankings(t: Tables) -> DataFrame:
     """Places in two rankings, movement, and who enters or leaves the top."""
-    a = F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey"))
-    b = F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey"))
-    r = t.part.select("p_partkey", a.alias("a"), b.alias("b"))
+    rows = t.part.select("p_partkey", "p_retailprice", "p_size")
+    r = places(places(rows, [-F.col("p_retailprice"), F.col("p_partkey")], "a"), [-F.col("p_size"), F.col("p_partkey")], "b")
     return r.select("p_partkey", "a", "b", (F.col("a") - F.col("b")).alias("cambio"), ((F.col("a") <= 50) & (F.col("b") > 50)).alias("sale"), ((F.col("a") > 50) & (F.col("b") <= 50)).alias("entra"))
 
 
@@ -393,7 +393,7 @@ def mean_rank(t: Tables) -> DataFrame:
 @query("w16_orden_ciego", "SELECT p_partkey, row_number() OVER (ORDER BY sha256('7|' || p_partkey)) AS orden FROM part")
 def blind(t: Tables) -> DataFrame:
     """An order by salted hash that tells nothing."""
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit("7"), "p_partkey"), 256))).alias("orden"))
+    return places(t.part.select("p_partkey"), [F.sha2(F.concat_ws("|", F.lit("7"), "p_partkey"), 256)], "orden")
 
 
 # Top-k

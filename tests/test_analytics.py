@@ -23,7 +23,7 @@ def cosines(rows):
 def test_nearest_and_edges(spark):
     rows, df = points(spark)
     _, s = cosines(rows)
-    got = vectors.nearest(df.where("id % 20 = 0"), df, "id", "v", 4, block=2).collect()
+    got = vectors.nearest(df.where("id % 20 = 0"), df, "id", "v", 4, query_block=2, corpus_block=11).collect()
     for q in (0, 20, 40):
         want = sorted(range(60), key=lambda j: (-round(s[q, j], 12), j))[:4]
         assert [r.id for r in sorted((r for r in got if r["query"] == q), key=lambda r: r.rank)] == want

@@ -68,3 +68,18 @@ def test_empty(spark):
     assert ops.anchored_split(d, ["k"], "t", "id", 7).count() == 0
     assert ops.rank_with_ties(d, "p", "u", "id").count() == 0
     assert ops.modal(d, ["k"], "id").count() == 0 and ops.tie_at_cut(d, "p", 3).count() == 0
+
+
+def test_running_totals_and_places(spark):
+    from telar.operators.prefix import places, running_before
+
+    rng = random.Random(8)
+    data = [(i, rng.randrange(50), rng.randrange(5)) for i in range(500)]
+    d = df(spark, data, "id int, x int, v int")
+    got = {r.id: r.b for r in running_before(d, [F.col("x"), F.col("id")], F.col("v"), "b").collect()}
+    total = 0
+    for i, _, v in sorted(data, key=lambda r: (r[1], r[0])):
+        assert got[i] == total
+        total += v
+    assert sorted((r.id, r.p) for r in places(d, [-F.col("x"), F.col("id")], "p").collect()) == sorted((r[0], n) for n, r in enumerate(sorted(data, key=lambda r: (-r[1], r[0])), 1))
+    assert places(d.limit(0), [F.col("x")], "p").count() == 0
