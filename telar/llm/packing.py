@@ -1,15 +1,15 @@
-"""Filling containers of fixed capacity: harmonic packing, with the gaps of its first class put to use.
+"""Filling containers of fixed capacity: harmonic packing, with the gaps put to use.
 
 Lengths fall into reciprocal-capacity classes: class k holds lengths in (C/(k+1), C/k], of which any k fill one
-container. Each worker takes a hash bucket of the items and fills its own containers, k items of class k each,
-without looking at the rest. A container with one item longer than C/2 keeps a known gap; items of a class that is
-sure to fit that gap are put there first (m items of class m*j fit where one of class j does). Lengths up to C/classes
-are packed by running sum, and the fewer than k items left of each class by first fit.
+container. Each worker takes a hash bucket of the items and fills its own containers without looking at the rest: k
+items of class k each, the longest first. What k items of a class leave free is smaller than C/(k+1); it takes the
+longest unplaced items of the smaller classes that fit, so that little room is left.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -17,61 +17,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def harmonic(sizes: np.ndarray, capacity: int, classes: int = 64) -> np.ndarray:
+def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container number of each item; no container's sum exceeds the capacity. Sizes lie in 1..capacity."""
-    n = len(sizes)
-    bins = np.full(n, -1, np.int64)
-    kind = np.minimum(capacity // np.maximum(sizes, 1), classes)
-    order = np.lexsort((np.arange(n), -sizes, kind))
-    starts = np.searchsorted(kind[order], np.arange(1, classes + 2))
-    queue = [order[starts[k - 1] : starts[k]] for k in range(1, classes + 1)]
-    taken = [0] * (classes + 1)
-    big = queue[0]
-    bins[big] = np.arange(len(big))
-    used = len(big)
-    # Gaps of class-1 containers, largest items first: class j is the coarsest of which one item surely fits.
-    for b, item in enumerate(big):
-        gap = capacity - int(sizes[item])
-        j = -(-capacity // gap) if gap > 0 else classes + 1
-        while j < classes:
-            k = next((c for c in range(max(j, 2), classes) if taken[c] < len(queue[c - 1])), None)
-            if k is None:
+    lengths, counts = np.unique(sizes, return_counts=True)
+    order, ends = np.argsort(sizes, kind="stable").tolist(), np.cumsum(counts).tolist()
+    lengths, left = lengths.tolist(), counts.tolist()
+    below = list(range(-1, len(lengths) - 1))
+    bins = np.full(len(sizes), -1, np.int64)
+
+    def largest(most: int) -> int:
+        """Place of the longest length up to ``most`` that an unplaced item has, -1 if there is none."""
+        at = top = bisect_right(lengths, most) - 1
+        while top >= 0 and not left[top]:
+            top = below[top]
+        while at > top:
+            below[at], at = top, below[at]
+        return top
+
+    def take(place: int, number: int) -> int:
+        bins[order[ends[place] - left[place]]] = number
+        left[place] -= 1
+        return lengths[place]
+
+    number, k = 0, 1
+    while (place := largest(capacity // k)) >= 0:
+        k = capacity // lengths[place]
+        gap = capacity
+        # As many items of the class as any of them fit, then what smaller classes put in the gap.
+        for _ in range(k):
+            if (place := largest(capacity // k)) < 0 or lengths[place] * (k + 1) <= capacity:
                 break
-            fit = queue[k - 1][taken[k]]
-            bins[fit] = b
-            taken[k] += 1
-            gap -= int(sizes[fit])
-            j = -(-capacity // gap) if gap > 0 else classes + 1
-    spare = []
-    for k in range(2, classes):
-        rest = queue[k - 1][taken[k] :]
-        whole = len(rest) // k * k
-        bins[rest[:whole]] = used + np.arange(whole) // k
-        used += whole // k
-        spare.append(rest[whole:])
-    small = queue[classes - 1]
-    if len(small):
-        room = capacity - int(sizes[small].max()) + 1
-        at = np.cumsum(sizes[small]) - sizes[small]
-        bins[small] = used + at // room
-        last = small[at // room == at[-1] // room]
-        used = int(bins[small[-1]])
-        spare.append(last)
-    # What doesn't fill a container of its class, fewer than k items of each class k: first fit, longest first.
-    free: list[int] = []
-    for item in np.concatenate(spare)[np.argsort(-sizes[np.concatenate(spare)], kind="stable")] if spare else []:
-        size = int(sizes[item])
-        b = next((i for i, room in enumerate(free) if room >= size), len(free))
-        if b == len(free):
-            free.append(capacity)
-        free[b] -= size
-        bins[item] = used + b
+            gap -= take(place, number)
+        while gap and (place := largest(gap)) >= 0:
+            gap -= take(place, number)
+        number += 1
     return bins
 
 
 def pack(
-    items: DataFrame, containers: DataFrame, id: str, size: str, name: str, capacity: str, bucket_items: int = 20_000, classes: int = 64,
-    max_kinds: int = 1000,
+    items: DataFrame, containers: DataFrame, id: str, size: str, name: str, capacity: str, bucket_items: int = 20_000, max_kinds: int = 1000,
 ) -> DataFrame:
     """``container`` (of ``containers.name``), ``bin``, ``id``, ``part``, ``from_token``, ``to_token``, ``size`` of each piece.
 
@@ -101,7 +85,7 @@ def pack(
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "part"], ignore_index=True)
-        numbers = harmonic(group["size"].to_numpy(), int(group["capacity"].iloc[0]), classes)
+        numbers = harmonic(group["size"].to_numpy(), int(group["capacity"].iloc[0]))
         group["bin"] = [f"{key[1]}-{b}" for b in numbers]
         return group[columns]
 

@@ -22,7 +22,7 @@ def test_little_room_is_left():
     rng = np.random.default_rng(5)
     for capacity in (512, 2048, 8192):
         sizes = np.minimum(rng.lognormal(5.4, 0.8, 20_000).astype(np.int64) + 1, capacity)
-        assert sizes.sum() / (len(set(harmonic(sizes, capacity))) * capacity) > 0.9
+        assert sizes.sum() / (len(set(harmonic(sizes, capacity))) * capacity) > 0.98
 
 
 def test_pieces(spark):
