@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each document draws its number of copies by inverting, at a uniform number hashed from its id, the Poisson
-distribution whose mean is its source's repetition rate, capped at the source's maximum. The rate of each source is
-calibrated on sums over all its documents, so that the drawn tokens meet the target and not just their expectation.
+distribution whose mean is its source's repetition rate, capped at the source's maximum. The rate of each source, and
+the seed by which its numbers are shifted, are calibrated on sums over all its documents, so that the drawn tokens meet
+the target and not just their expectation, however few and uneven the documents are.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def plan(sources: pd.DataFrame, total: float | None = None) -> pd.DataFrame:
 
 def mix(
     df: DataFrame, targets: DataFrame, id: str, source: str, size: str, target_source: str, weight: str, cap: str,
-    total: float | None = None, seed: int = 17, steps: int = 33, rounds: int = 3, max_sources: int = 10_000,
+    total: float | None = None, seed: int = 17, steps: int = 33, rounds: int = 3, shifts: int = 8, max_sources: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixed rows, report). Rows: the columns of ``df`` plus ``mix_copy`` (from 1) and ``mix_order``, globally shuffled.
 
@@ -89,7 +90,7 @@ def mix(
     * The report has a row per target source: target and actual share, tokens, documents, copies, largest repetition.
 
     Only totals per target source (at most ``max_sources``, checked) come to the driver. Each calibration round is one
-    aggregation that tries ``steps`` rates per source over all its rows.
+    aggregation that tries ``steps`` rates per source over all its rows, the first one at ``shifts`` seeds.
     """
     spark = df.sparkSession
     wanted = (
@@ -108,27 +109,35 @@ def mix(
     state = plan(state, total)
     finite = np.isfinite(state["rate"]) & (state["rate"] > 0)
     low, high = state["rate"] * 0.0, state["rate"] * 2.0
-    for _ in range(rounds):
-        trial = {r.mix_source: (np.linspace(l, h, steps), int(r.cap)) for r, l, h, ok in zip(state.itertuples(), low, high, finite) if ok}
+    state["shift"] = 0.0
+    # Fixed value: the golden ratio's fraction spreads the seeds evenly.
+    tried = [i * 0.6180339887498949 % 1 for i in range(max(shifts, 1))]
+    for turn in range(rounds):
+        trial = {
+            r.mix_source: (np.linspace(l, h, steps), np.array(tried if turn == 0 else [r.shift]), int(r.cap))
+            for r, l, h, ok in zip(state.itertuples(), low, high, finite) if ok
+        }
         if not trial:
             break
-        sums = _trial_sums(slim.where(F.col("s").isin(list(trial))), trial, steps)
+        sums = _trial_sums(slim.where(F.col("s").isin(list(trial))), trial)
         for i, name in enumerate(state["mix_source"]):
             if name not in trial:
                 continue
-            rates, got, goal = trial[name][0], sums.get(name, np.zeros(steps)), state.at[i, "target"]
-            best = int(np.argmin(np.abs(got - goal)))
-            state.at[i, "rate"] = rates[best]
-            low[i], high[i] = rates[max(best - 1, 0)], rates[min(best + 1, steps - 1)]
+            rates, seeds, _ = trial[name]
+            got = sums.get(name, np.zeros((len(seeds), steps)))
+            best = np.unravel_index(np.argmin(np.abs(got - state.at[i, "target"])), got.shape)
+            state.at[i, "shift"], state.at[i, "rate"] = seeds[best[0]], rates[best[1]]
+            low[i], high[i] = rates[max(best[1] - 1, 0)], rates[min(best[1] + 1, steps - 1)]
     rates = spark.createDataFrame(
-        [(r.mix_source, float(r.rate), int(r.cap), float(r.weight)) for r in state.itertuples()], "mix_source string, mix_rate double, mix_cap int, mix_weight double"
+        [(r.mix_source, float(r.rate), float(r.shift), int(r.cap), float(r.weight)) for r in state.itertuples()],
+        "mix_source string, mix_rate double, mix_shift double, mix_cap int, mix_weight double",
     )
 
     def copies(u: pa.Array, rate: pa.Array, most: pa.Array) -> pa.Array:
         return pa.array(poisson_inverse(*(x.to_numpy(zero_copy_only=False) for x in (u, rate, most))).astype("int32"), pa.int32())
 
     counted = drawn.join(F.broadcast(rates), F.col(source) == F.col("mix_source")).withColumn(
-        "mix_copies", F.arrow_udf(copies, T.IntegerType())("mix_u", "mix_rate", "mix_cap")
+        "mix_copies", F.arrow_udf(copies, T.IntegerType())((F.col("mix_u") + F.col("mix_shift")) % 1, "mix_rate", "mix_cap")
     )
     used = counted.where("mix_copies > 0")
     actual = used.groupBy("mix_source").agg(
@@ -149,8 +158,8 @@ def mix(
     return rows, report
 
 
-def _trial_sums(slim: DataFrame, trial: dict[str, tuple[np.ndarray, int]], steps: int) -> dict[str, np.ndarray]:
-    """Tokens each source would give at each of its trial rates, summed over all rows in one pass."""
+def _trial_sums(slim: DataFrame, trial: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> dict[str, np.ndarray]:
+    """[seed, rate] tokens each source would give at each of its trial seeds and rates, summed over all rows in one pass."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -159,15 +168,15 @@ def _trial_sums(slim: DataFrame, trial: dict[str, tuple[np.ndarray, int]], steps
             n, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for name in pc.unique(s).to_pylist():
                 own = pc.equal(s, name).to_numpy(zero_copy_only=False)
-                rates, cap = trial[name]
-                k = poisson_inverse(u[own][:, None], rates[None, :], np.array(cap))
-                total[name] = total.get(name, 0) + n[own] @ k
+                rates, seeds, cap = trial[name]
+                each = [n[own] @ poisson_inverse((u[own][:, None] + shift) % 1, rates[None, :], np.array(cap)) for shift in seeds]
+                total[name] = total.get(name, 0) + np.stack(each)
         if total:
-            yield pa.RecordBatch.from_pydict({"s": list(total), "sums": [v.tolist() for v in total.values()]})
+            yield pa.RecordBatch.from_pydict({"s": list(total), "sums": [v.reshape(-1).tolist() for v in total.values()]})
 
     partial = slim.select("s", "n", "mix_u").mapInArrow(sums, "s string, sums array<double>")
     each = partial.select("s", F.posexplode("sums").alias("i", "v")).groupBy("s", "i").agg(F.sum("v").alias("v")).toPandas()
-    out: dict[str, np.ndarray] = {}
+    out = {name: np.zeros((len(seeds), len(rates))) for name, (rates, seeds, _) in trial.items()}
     for r in each.itertuples():
-        out.setdefault(r.s, np.zeros(steps))[r.i] = r.v
+        out[r.s].reshape(-1)[r.i] = r.v
     return out
