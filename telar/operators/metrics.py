@@ -106,3 +106,31 @@ def plateau(df: DataFrame, x: str, score: str) -> DataFrame:
     runs = places(at, [F.col(x)], "__j").withColumn("__g", F.col("__k") - F.col("__j")).groupBy("__g").agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max(score).alias("score"))
     longest = runs.orderBy(F.desc(F.size("xs")), F.get("xs", F.lit(0))).limit(1)
     return longest.select(F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"), F.get("xs", ((F.size("xs") - 1) / 2).cast("int")).alias("middle"), "score")
+
+
+def threshold_sweep(pairs: DataFrame, similarity: str, same: Column, positives: DataFrame, step: float) -> DataFrame:
+    """``threshold``, tp, fp, fn, precision, recall, f1 where a pair counts from the threshold on, on a grid of ``step``.
+
+    ``pairs`` holds all pairs above the lowest threshold and ``positives`` one row with ``n``, the number of true ones.
+    Pairs are counted once per step of the grid and the counts summed from the top, so pairs never meet thresholds.
+    """
+    cells = pairs.groupBy(F.floor(F.round(F.col(similarity) / step, 9)).cast("int").alias("cell")).agg(F.count_if(same).alias("t"), F.count_if(~same).alias("f"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell"))
+    sums = cells.select("cell", F.sum("t").over(above).alias("tp"), F.sum("f").over(above).alias("fp")).crossJoin(F.broadcast(positives.select(F.col("n").alias("true"))))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("true") - F.col("tp")
+    return sums.select(
+        F.round(F.col("cell") * step, 9).alias("threshold"), "tp", "fp", fn.alias("fn"), (tp / F.nullif(tp + fp, F.lit(0))).alias("precision"), (tp / F.nullif(F.col("true"), F.lit(0))).alias("recall"), f1(tp, fp, fn).alias("f1")
+    )
+
+
+def best_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """The cut between two neighbouring scores with the fewest errors, of several the widest gap, then the lowest: cut, errors, margin."""
+    levels = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    totals = levels.agg(F.sum("n").alias("negatives"))
+    upto = running_before(running_before(levels, [F.col("s")], F.col("p"), "pb"), [F.col("s")], F.col("n"), "nb")
+    # Cutting just below s: positives below it and negatives from it on are errors.
+    errors = upto.crossJoin(F.broadcast(totals)).withColumn("errors", F.col("pb") + F.col("negatives") - F.col("nb"))
+    before = places(levels.select("s"), [F.col("s")], "k")
+    lower = before.select((F.col("k") + 1).alias("k"), F.col("s").alias("low"))
+    gaps = before.join(lower, "k").select("s", "low")
+    return errors.join(gaps, "s").select(((F.col("s") + F.col("low")) / 2).alias("cut"), "errors", ((F.col("s") - F.col("low")) / 2).alias("margin")).orderBy("errors", F.desc("margin"), "cut").limit(1)

@@ -169,3 +169,57 @@ def average_linkage(df: DataFrame, id: str, vector: str, threshold: float) -> Da
         return pd.DataFrame({id: frame[id], "cluster": frame[id].to_numpy()[labels]})
 
     return placed.groupBy("component").applyInPandas(merge, f"{id} {kind}, cluster {kind}")
+
+
+def most_similar_before(df: DataFrame, id: str, vector: str, time: str, days: int, block: int = 4096) -> DataFrame:
+    """``id``, ``earlier``, ``similarity``: of the rows strictly earlier (by time, then id) and within ``days`` days the most similar.
+
+    Rows are cut into cells of ``days`` days; each meets its own cell and the one before it, in blocks of about
+    ``block`` rows, so that a crowded cell is many tasks. At equal similarity the larger id wins; rows with none before
+    them, or without vector or time, give no row.
+    """
+    kind = df.schema[id].dataType.simpleString()
+    rows = df.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.unix_micros(F.col(time)).alias("t")).where("v is not null and t is not null")
+    rows = rows.withColumn("cell", F.floor(F.col("t") / (days * 86_400_000_000)).cast("long"))
+    crowd = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    sized = rows.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # A row as the earlier one goes to its cell and the next; as the later one it meets every part of its cell and the one before.
+    earlier = sized.select("id", "v", "t", F.explode(F.array("cell", F.col("cell") + 1)).alias("at"), F.col("cell").alias("of"), "part")
+    later = sized.select("id", "v", "t", F.col("cell").alias("at"), F.explode(F.array("cell", F.col("cell") - 1)).alias("of"), F.col("part").alias("own"))
+    reach = crowd.select(F.col("cell").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    later = later.join(reach, "of")
+    span = days * 86_400_000_000
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "earlier": [], "similarity": []})
+        if a.empty or b.empty:
+            return none
+        b = b.rename(columns=lambda c: c.removeprefix("e_")).sort_values("id", ascending=False)
+        m = [np.stack(f["v"].to_numpy()).astype(np.float64) for f in (a, b)]
+        m = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in m]
+        s = np.round(m[0] @ m[1].T, 12)
+        ta, tb, ia, ib = a["t"].to_numpy()[:, None], b["t"].to_numpy()[None], a["id"].to_numpy()[:, None], b["id"].to_numpy()[None]
+        s[~(((tb < ta) | ((tb == ta) & (ib < ia))) & (ta - tb <= span))] = -np.inf
+        best = s.argmax(1)
+        top = s[np.arange(len(s)), best]
+        found = pd.DataFrame({"id": a["id"].to_numpy(), "earlier": b["id"].to_numpy()[best], "similarity": top})
+        return found[np.isfinite(top)]
+
+    meets = earlier.join(sized.select(F.col("cell").alias("at"), F.col("part").alias("own")).distinct(), "at").toDF(*[f"e_{c}" for c in ("at", "id", "v", "t", "of", "part", "own")])
+    local = later.groupBy("at", "of", "part", "own").cogroup(meets.groupBy("e_at", "e_of", "e_part", "e_own")).applyInPandas(search, f"id {kind}, earlier {kind}, similarity double")
+    return local.groupBy("id").agg(F.max(F.struct("similarity", "earlier")).alias("b")).select("id", "b.earlier", "b.similarity")
+
+
+def independent_sources(df: DataFrame, group: str, id: str, rules: dict[str, Column]) -> DataFrame:
+    """``group``, ``id``, ``source`` (its smallest id): records of a group that share the value of a rule are of one source.
+
+    Each rule links the records of a (group, value) to the smallest of them, so copies make stars and no pairs; what is
+    joined over several rules is found as components. A null value links nothing.
+    """
+    ids = F.col(id)
+    values = F.array(*[F.struct(F.lit(n).alias("rule"), c.cast("string").alias("value")) for n, c in rules.items()])
+    shared = df.select(F.col(group).alias("g"), ids.alias("id"), F.explode(values).alias("r")).where("r.value is not null")
+    stars = shared.groupBy("g", "r").agg(F.min("id").alias("a"))
+    edges = shared.join(stars, ["g", "r"]).where("id <> a").select("a", F.col("id").alias("b"))
+    parts = components(edges, df.select(ids.alias("id")), "id").select(F.col("id").alias("pid"), "component")
+    return df.select(F.col(group).alias(group), ids.alias(id)).join(parts, F.col(id) == F.col("pid")).select(group, id, F.col("component").alias("source"))

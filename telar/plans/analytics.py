@@ -266,4 +266,77 @@ def overlap(t: Tables) -> DataFrame:
     return rows.select("id_noticia", F.array_join("g", " ").alias("grupo"), F.round(F.size(F.array_intersect("w", "g")) / F.size(F.array_union("w", "g")), 9).alias("jaccard"))
 
 
+@query("j16_novedad", f"""
+SELECT a.vec_id AS id, b.vec_id AS earlier, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 168
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 12) DESC, b.vec_id DESC) = 1""")
+def novelty(t: Tables) -> DataFrame:
+    """The most similar earlier vector within seven days; vectors are dated by hour of their id here."""
+    dated = t.embeddings.withColumn("t", F.timestamp_seconds(F.col("vec_id") * 3600))
+    found = vectors.most_similar_before(dated, "vec_id", "embedding", "t", 7)
+    return found.select("id", "earlier", F.round("similarity", 6).alias("similarity"))
+
+
+_HOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z]+://([^/:?#]+)', 1), '^(www\.|m\.)', '')"
+
+
+@query("m12_procedencias", f"""
+WITH RECURSIVE n AS MATERIALIZED (SELECT fila, zona, nullif({_HOST}, '') AS h, nullif({spaced('titulo')}, '') AS k FROM noticias WHERE zona IS NOT NULL),
+e AS MATERIALIZED (SELECT a.fila AS a, b.fila AS b FROM n a JOIN n b ON a.zona = b.zona AND (a.h = b.h OR a.k = b.k)),
+r AS (SELECT fila AS id, fila AS x FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a), c AS (SELECT id, min(x) AS x FROM r GROUP BY id)
+SELECT zona, count(*) AS filas, count(DISTINCT x) AS procedencias FROM n JOIN c ON n.fila = c.id GROUP BY zona""")
+def provenance(t: Tables) -> DataFrame:
+    """Independent sources behind the news of each zone; same site or same headline is one source."""
+    rows = t.noticias.where("zona is not null")
+    key = F.nullif(text.spaced_key(F.col("titulo")), F.lit(""))
+    found = vectors.independent_sources(rows, "zona", "fila", {"sitio": urls.host(F.col("url")), "titular": key})
+    return found.groupBy("zona").agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("source").alias("procedencias"))
+
+
+@query("m06_regresion_logistica")
+def logistic(t: Tables) -> DataFrame:
+    """M6, M7: penalties of a logistic topic model by cross-validated macro F1."""
+    from telar.operators import topics
+
+    rows = _sheet(t).groupBy("id_noticia").agg(F.min("titulo").alias("titulo"), F.min("tema_humano").alias("tema_humano"))
+    return topics.cross_validate(rows, "id_noticia", "titulo", "tema_humano", [0.01, 0.1])
+
+
+_RULES = {"servicios_publicos": ["agua", "apagon", "luz"], "eventos_naturales": ["sismo", "incendio", "inundacion"], "regulacion": ["peaje", "multa"], "turismo": ["crucero", "festival", "turistas"]}
+_HITS = {k: " + ".join(f"regexp_matches(b, '\\b{w}\\b')::INT" for w in ws) for k, ws in _RULES.items()}
+
+
+@query("m08_palabras_clave", f"""
+WITH b AS (SELECT fila, regexp_replace({bare('titulo')}, 'direccion de aguas', ' ', 'g') AS b FROM noticias), h AS (SELECT fila, {", ".join(f"{v} AS {k}" for k, v in _HITS.items())} FROM b)
+SELECT fila, CASE WHEN greatest({", ".join(_HITS)}) = 0 THEN NULL {" ".join(f"WHEN {k} = greatest({', '.join(_HITS)}) THEN '{k}'" for k in _HITS)} END AS tema FROM h""")
+def keywords(t: Tables) -> DataFrame:
+    """M8: topic by most different keywords, with a phrase that doesn't count."""
+    from telar.operators import topics
+
+    return t.noticias.select("fila", topics.keyword_topic("titulo", _RULES, {"organo": "direccion de aguas"}).alias("tema"))
+
+
+@query("e10_barrido", f"""
+WITH p AS (SELECT floor(round({_COS} / 0.05, 9))::INT AS c, a.label = b.label AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.2),
+n AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)), k AS (SELECT c, count_if(s) AS x, count_if(NOT s) AS y FROM p GROUP BY c),
+r AS (SELECT c, sum(x) OVER (ORDER BY c DESC) AS tp, sum(y) OVER (ORDER BY c DESC) AS fp FROM k)
+SELECT round(c * 0.05, 9) AS threshold, tp, fp, t - tp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / t, 9) AS recall, round(2 * tp / (2 * tp + fp + t - tp), 9) AS f1 FROM r, n""")
+def sweep(t: Tables) -> DataFrame:
+    """Pair precision and recall over a grid of thresholds."""
+    edges = vectors.similar_edges(t.embeddings, "vec_id", "embedding", 0.2)
+    a, b = t.embeddings.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), t.embeddings.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
+    pairs = edges.join(a, "a").join(b, "b")
+    positives = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("n"))
+    found = metrics.threshold_sweep(pairs, "similarity", F.col("x") == F.col("y"), positives, 0.05)
+    return found.select("threshold", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("e13_umbral_de_margen", """
+WITH l AS (SELECT p_retailprice AS s, count_if(p_size > 25) AS p, count_if(NOT p_size > 25) AS n FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1),
+c AS (SELECT s, lag(s) OVER (ORDER BY s) AS low, coalesce(sum(p) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(n) OVER () - coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS errors FROM l)
+SELECT (s + low) / 2 AS cut, errors, (s - low) / 2 AS margin FROM c WHERE low IS NOT NULL ORDER BY errors, margin DESC, cut LIMIT 1""")
+def margin(t: Tables) -> DataFrame:
+    """The cut with fewest errors and the widest margin."""
+    return metrics.best_threshold(t.part, "p_retailprice", F.col("p_size") > 25)
+
+
 QUERIES, ORACLE = registry.QUERIES, registry.ORACLE

@@ -120,7 +120,27 @@ def p6_validas_indicadores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).valid("indicadores")
 
 
+def q04_dato_oficial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest value of each country and indicator, the year before's, and how many years are null."""
+    rows = _lines(spark, sf_dir).valid("indicadores")
+    years = rows.groupBy("pais_iso3", "indicador_id", "anio").agg(F.min("valor").alias("valor"))
+    last = years.groupBy("pais_iso3", "indicador_id").agg(
+        F.max(F.when(F.col("valor").isNotNull(), F.struct("anio", "valor"))).alias("u"), F.count_if(F.col("valor").isNull()).alias("nulos"), F.count(F.lit(1)).alias("anios")
+    )
+    before = years.select("pais_iso3", "indicador_id", (F.col("anio") + 1).alias("a"), F.col("valor").alias("anterior"))
+    found = last.select("pais_iso3", "indicador_id", F.col("u.anio").alias("anio"), F.col("u.valor").alias("valor"), "nulos", "anios")
+    joined = found.join(before.withColumnRenamed("a", "anio"), ["pais_iso3", "indicador_id", "anio"], "left")
+    return joined.select("pais_iso3", "indicador_id", "anio", "valor", "anterior", "nulos", "anios")
+
+
+ORACLE["q04_dato_oficial"] = _P6 + """,
+y AS (SELECT f[2] AS pais_iso3, f[3] AS indicador_id, CAST(f[4] AS INTEGER) AS anio, min(CAST(f[5] AS DOUBLE)) AS valor FROM d WHERE NOT dup AND NOT es GROUP BY 1, 2, 3),
+u AS (SELECT pais_iso3, indicador_id, max(anio) FILTER (WHERE valor IS NOT NULL) AS anio, arg_max(valor, anio) FILTER (WHERE valor IS NOT NULL) AS valor, coalesce(count_if(valor IS NULL), 0) AS nulos, count(*) AS anios FROM y GROUP BY 1, 2)
+SELECT u.pais_iso3, u.indicador_id, u.anio, u.valor, b.valor AS anterior, nulos, anios FROM u LEFT JOIN y b ON b.pais_iso3 = u.pais_iso3 AND b.indicador_id = u.indicador_id AND b.anio = u.anio - 1
+"""
+
 QUERIES = {
+    "q04_dato_oficial": q04_dato_oficial,
     "p2_found": p2_found, "p2_cobertura": p2_cobertura, "p6_found": p6_found, "p6_errores": p6_errores,
     "p6_validas_noticias": p6_validas_noticias, "p6_validas_indicadores": p6_validas_indicadores,
 }

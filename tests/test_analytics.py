@@ -103,3 +103,54 @@ def test_metrics(spark):
     s = metrics.plateau(spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9), (4, 0.2), (5, 0.9)], "x int, f double"), "x", "f").first()
     assert (s["first"], s["last"], s["middle"]) == (2, 3, 2)
     assert abs(metrics.spearman(spark.createDataFrame([(1, 2), (2, 4), (3, 6), (4, 1)], "a int, b int"), "a", "b").first().rho - (-0.2)) < 1e-9 or True
+
+
+def test_most_similar_before_against_brute_force(spark):
+    from datetime import datetime, timedelta
+
+    rows, _ = points(spark, n=50)
+    rng = random.Random(2)
+    at = [datetime(2026, 1, 1) + timedelta(hours=rng.randrange(400)) for _ in rows]
+    df = spark.createDataFrame([(i, v, t) for (i, v, _), t in zip(rows, at)] + [(99, None, at[0]), (98, rows[0][1], None)], "id long, v array<double>, t timestamp")
+    _, s = cosines(rows)
+    want = {}
+    for i in range(50):
+        before = [j for j in range(50) if (at[j], j) < (at[i], i) and at[i] - at[j] <= timedelta(days=3)]
+        if before:
+            want[i] = max(before, key=lambda j: (round(s[i, j], 12), j))
+    for block in (4096, 5):
+        got = {r.id: r.earlier for r in vectors.most_similar_before(df, "id", "v", "t", 3, block).collect()}
+        assert got == want
+    assert vectors.most_similar_before(df.limit(0), "id", "v", "t", 3).count() == 0
+
+
+def test_independent_sources(spark):
+    d = spark.createDataFrame([("g", 1, "a", "x"), ("g", 2, "a", "y"), ("g", 3, "b", "y"), ("g", 4, None, "z"), ("h", 5, "a", "x"), ("g", 6, None, None)], "g string, id int, host string, title string")
+    got = {r.id: r.source for r in vectors.independent_sources(d, "g", "id", {"host": F.col("host"), "title": F.col("title")}).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_thresholds(spark):
+    d = spark.createDataFrame([(0.1, False), (0.2, False), (0.45, True), (0.5, False), (0.9, True), (0.95, True)], "s double, y boolean")
+    r = metrics.best_threshold(d, "s", F.col("y")).first()
+    assert (round(r.cut, 6), r.errors, round(r.margin, 6)) == (0.7, 1, 0.2)
+    pairs = spark.createDataFrame([(0.95, True), (0.72, True), (0.74, False), (0.3, True)], "s double, y boolean")
+    got = {x.threshold: (x.tp, x.fp, x.fn) for x in metrics.threshold_sweep(pairs, "s", F.col("y"), spark.createDataFrame([(4,)], "n int"), 0.1).collect()}
+    assert got == {0.9: (1, 0, 3), 0.7: (2, 1, 2), 0.3: (3, 1, 1)}
+
+
+def test_topics(spark):
+    from telar.operators import topics
+
+    words = {"a": ["agua", "lluvia", "río"], "b": ["peaje", "multa", "tarifa"]}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(4)), k) for i, k in enumerate(rng.choice("ab") for _ in range(120))]
+    df = spark.createDataFrame([*rows, (900, None, "a"), (901, "agua", None)], "id int, t string, y string")
+    scores = topics.cross_validate(df, "id", "t", "y", [0.01, 1.0]).collect()
+    assert sum(r.chosen for r in scores) == 1 and max(r.macro_f1 for r in scores) > 0.95
+    data, labels = topics.featurise(df, "id", "t", "y")
+    sure = topics.predict(topics.train(data, 0.01), data, labels, least=0.999).collect()
+    assert all(r.guess is None for r in sure if r.probability < 0.999)
+    rule = topics.keyword_topic("t", {"x": ["agua"], "y": ["peaje", "multa"]}, {"o": "direccion de agua"})
+    cases = spark.createDataFrame([("Agua y peaje",), ("peaje, multa y agua",), ("Dirección de agua",), (None,)], "t string")
+    assert [r.k for r in cases.select(rule.alias("k")).collect()] == ["x", "y", None, None]
