@@ -33,12 +33,12 @@ def checks(t: Tables) -> DataFrame:
 
 @query("val10_ventana_ampliada", f"""
 WITH a AS (SELECT fila, {sql_iso('fecha_publicacion')} AS f, TIMESTAMPTZ '2026-07-01 00:00:00+00' AS fin FROM noticias), b AS (SELECT *, (epoch(fin) - epoch(f)) / 86400.0 AS edad FROM a),
-u AS (SELECT CASE WHEN count_if(edad >= 0 AND edad <= 3) >= 100000000 THEN 3 ELSE 20 END AS used_days FROM b)
+u AS (SELECT CASE WHEN count_if(edad >= 0 AND edad <= 3) >= 1000 THEN 3 ELSE 20 END AS used_days FROM b)
 SELECT fila, used_days, CASE WHEN f IS NULL THEN 'sin_fecha' WHEN edad < 0 OR edad > used_days THEN 'fuera_de_ventana' END AS excluded FROM b, u""")
 def widened(t: Tables) -> DataFrame:
     """A window that widens when it holds too few rows, with the reason of each exclusion."""
     rows = t.noticias.select("fila", iso("fecha_publicacion").alias("f"), F.timestamp_seconds(F.lit(1782864000)).alias("fin"))
-    return ops.widened_window(rows, F.col("f"), F.col("fin"), 3, 20, 100_000_000).select("fila", "used_days", "excluded")
+    return ops.widened_window(rows, F.col("f"), F.col("fin"), 3, 20, 1000).select("fila", "used_days", "excluded")
 
 
 @query("val15_patrones_sospechosos", f"SELECT fila, regexp_matches({bare('titulo')}, 'ignora|instrucciones|system prompt') AS inyeccion, regexp_matches({bare('titulo')}, '^(en video|fotos)|\\(fotos\\)\\s*$') AS promocional, {bare('titulo')} = {bare('medio')} AS es_el_medio FROM noticias")

@@ -176,16 +176,14 @@ def argmax(t: Tables) -> DataFrame:
 
 
 @query("a33_cobertura_por_dia", """
-WITH r AS (SELECT tema, ini, fin FROM crudos_gdelt WHERE clase = 'ok' AND ini < fin), d AS (SELECT unnest(generate_series(DATE '2026-06-01', DATE '2026-06-30', INTERVAL 1 DAY))::DATE AS dia),
-s AS (SELECT DISTINCT tema, dia FROM r JOIN d ON ini < (dia + INTERVAL 1 DAY)::TIMESTAMP AT TIME ZONE 'UTC' AND fin > dia::TIMESTAMP AT TIME ZONE 'UTC')
-SELECT tema, count(*) AS dias_tocados FROM s GROUP BY tema""")
+WITH d AS (SELECT DISTINCT tema, unnest(generate_series((ini AT TIME ZONE 'UTC')::DATE, ((fin - INTERVAL 1 MICROSECOND) AT TIME ZONE 'UTC')::DATE, INTERVAL 1 DAY))::DATE AS dia FROM crudos_gdelt WHERE clase = 'ok' AND ini < fin)
+SELECT tema, count(*) AS dias_tocados, min(dia) AS primero, max(dia) AS ultimo FROM d GROUP BY tema""")
 def coverage(t: Tables) -> DataFrame:
-    """Days of a month that the covered periods of a subject touch."""
+    """Days that the covered periods of a subject touch."""
     periods = merge_intervals(t.crudos_gdelt.where("clase = 'ok'"), ["tema"], "ini", "fin").where("kind = 'period'")
-    last = F.date_sub(F.to_date(F.col("end") + F.expr("interval 86399999999 microseconds")), 0)
-    first, until = F.greatest(F.to_date("start"), F.lit("2026-06-01").cast("date")), F.least(F.date_sub(last, 1), F.lit("2026-06-30").cast("date"))
-    days = periods.where(first <= until).select("tema", F.explode(F.sequence(first, until)).alias("dia")).distinct()
-    return days.groupBy("tema").agg(F.count(F.lit(1)).alias("dias_tocados"))
+    last = F.to_date(F.col("end") - F.expr("interval 1 microsecond"))
+    days = periods.select("tema", F.explode(F.sequence(F.to_date("start"), last)).alias("dia")).distinct()
+    return days.groupBy("tema").agg(F.count(F.lit(1)).alias("dias_tocados"), F.min("dia").alias("primero"), F.max("dia").alias("ultimo"))
 
 
 # Joins

@@ -31,14 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``, else (tests) a local one."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        known = tempfile.mkdtemp(prefix="telar-checkpoint-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="telar-checkpoint-"))
+    return given or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
