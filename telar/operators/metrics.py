@@ -101,6 +101,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def plateau(df: DataFrame, x: str, score: str) -> DataFrame:
     """Of the thresholds with the best score the longest run in a row and its lower middle."""
+    df = df.where(F.col(x).isNotNull() & F.col(score).isNotNull())
     best = df.agg(F.max(score).alias("__best"))
     at = places(df, [F.col(x)], "__k").crossJoin(F.broadcast(best)).where(F.col(score) == F.col("__best"))
     runs = places(at, [F.col(x)], "__j").withColumn("__g", F.col("__k") - F.col("__j")).groupBy("__g").agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max(score).alias("score"))

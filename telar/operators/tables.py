@@ -170,11 +170,11 @@ def within_interval(left: DataFrame, right: DataFrame, key: str, left_time: str,
 
 
 def rank_with_ties(df: DataFrame, score: str, second: str, id: str, decimals: int = 1, second_decimals: int = 9) -> DataFrame:
-    """``position`` by rounded score and second score, both descending, then id; ``ties``: others with the same rounded score.
+    """``position`` by rounded score and second score, both descending, then id; ``ties``: others with the same rounded score. A null score comes last.
 
     Positions come from counts per rounded score and a sort within each, so that no task sees the whole table.
     """
-    shown, then = F.round(F.col(score), decimals), F.round(F.col(second), second_decimals)
+    shown, then = F.coalesce(F.round(F.col(score).cast("double"), decimals), F.lit(float("-inf"))), F.round(F.col(second), second_decimals)
     levels = df.groupBy(shown.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
     before = running_before(levels, [-F.col("__s")], F.col("__n"), "__before")
     inside = F.row_number().over(Window.partitionBy("__s").orderBy(F.desc("__u"), id))
@@ -194,7 +194,7 @@ def tie_at_cut(df: DataFrame, score: str, k: int) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``df`` with fractional ranks: ties share the mean of their places. Ranks come from counts per value."""
+    """``df`` with fractional ranks: ties share the mean of their places; rows of null value are left out. Ranks come from counts per value."""
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     ranks = running_before(counts, [F.col("__v")], F.col("__n"), "__before").select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value) == F.col("__v")).drop("__v")

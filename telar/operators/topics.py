@@ -14,9 +14,13 @@ from telar.operators.metrics import macro_f1, per_class
 from telar.session import cut
 
 
+def labelled(df: DataFrame, column: str, label: str) -> DataFrame:
+    return df.where(F.col(column).isNotNull() & F.col(label).isNotNull())
+
+
 def featurise(df: DataFrame, id: str, column: str, label: str, size: int = 4096, folds: int = 3) -> tuple[DataFrame, list[str]]:
     """(id, label, index, features, fold, weight) and the labels in order of their index; classes weigh the same in all."""
-    rows = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("id"), F.col(label).alias("label"), text.words(F.col(column), least=3).alias("words"))
+    rows = labelled(df, column, label).select(F.col(id).alias("id"), F.col(label).alias("label"), text.words(F.col(column), least=3).alias("words"))
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=size, binary=True).transform(rows)
     indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(hashed)
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +47,14 @@ def predict(model, data: DataFrame, labels: list[str], least: float = 0.0, margi
 
 
 def cross_validate(df: DataFrame, id: str, column: str, label: str, penalties: list[float], folds: int = 3) -> DataFrame:
-    """``penalty``, ``macro_f1`` over the held-out folds and ``chosen``: the best, of equals the strongest penalty."""
+    """``penalty``, ``macro_f1`` over the held-out folds and ``chosen``: the best, of equals the strongest penalty.
+
+    Without labelled rows, or where a fold leaves nothing to train on, the score is null and nothing is chosen.
+    """
+    schema = "penalty double, macro_f1 double, chosen boolean"
+    sizes = labelled(df, column, label).groupBy(fold(F.col(id).cast("string"), folds).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if len(sizes) < 2:
+        return df.sparkSession.createDataFrame([(float(p), None, False) for p in penalties], schema)
     data, labels = featurise(df, id, column, label, folds=folds)
     scores = []
     for penalty in penalties:
@@ -53,7 +64,7 @@ def cross_validate(df: DataFrame, id: str, column: str, label: str, penalties: l
             every = every.union(part)
         scores.append((float(penalty), macro_f1(per_class(every, "label", "guess")).first()["macro_f1"]))
     best = max(scores, key=lambda s: (-1.0 if s[1] is None else round(s[1], 9), s[0])) if scores else None
-    return df.sparkSession.createDataFrame([(p, f, p == best[0]) for p, f in scores], "penalty double, macro_f1 double, chosen boolean")
+    return df.sparkSession.createDataFrame([(p, f, p == best[0]) for p, f in scores], schema)
 
 
 def keyword_topic(column: str, rules: dict[str, list[str]], annul: dict[str, str] | None = None):

@@ -54,7 +54,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int,
     or gathered. Ties go to the smaller id; null vectors take no part.
     """
     kind = queries.schema[id].dataType.simpleString()
-    q, c = queries.where(F.col(vector).isNotNull()), corpus.where(F.col(vector).isNotNull())
+    q, c = (d.where(F.col(id).isNotNull() & F.col(vector).isNotNull()) for d in (queries, corpus))
     blocks = [max(1, -(-d.count() // size)) for d, size in ((q, query_block), (c, corpus_block))]
     number = lambda n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -81,9 +81,10 @@ def similar_edges(df: DataFrame, id: str, vector: str, threshold: float, chunk:
     """``a`` < ``b`` with cosine above the threshold: exact, by products of blocks of rows.
 
     Rows are cut into numbered blocks; each pair of blocks is one product of two matrices, so the work is spread over
-    (n/chunk)² / 2 tasks and no task holds more than two blocks.
+    (n/chunk)² / 2 tasks and no task holds more than two blocks. Rows without id or vector have no edges.
     """
     kind = df.schema[id].dataType.simpleString()
+    df = df.where(F.col(id).isNotNull() & F.col(vector).isNotNull())
     n_blocks = max(1, -(-df.count() // chunk))
     rows = df.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(n_blocks)).cast("int").alias("block"))
     pairs = F.array(*[F.lit(0)]) if n_blocks == 1 else F.sequence(F.lit(0), F.lit(n_blocks - 1))
@@ -124,7 +125,7 @@ def components(edges: DataFrame, nodes: DataFrame, id: str, max_rounds: int = 50
         if same:
             break
     roots = e.groupBy(F.col("b").alias(id)).agg(F.min("a").alias("root"))
-    return nodes.select(id).distinct().join(roots, id, "left").select(id, F.coalesce("root", id).alias("component"))
+    return nodes.select(id).where(F.col(id).isNotNull()).distinct().join(roots, id, "left").select(id, F.coalesce("root", id).alias("component"))
 
 
 def upgma(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -156,7 +157,7 @@ def average_linkage(df: DataFrame, id: str, vector: str, threshold: float) -> Da
 
     A merge needs one pair above the threshold, so no cluster crosses a component of that similarity graph: splitting
     by components is exact. Within a component the merges are global, so a component is one task; its square in memory
-    is what bounds it.
+    is what bounds it. A row without vector is a cluster of its own.
     """
     kind = df.schema[id].dataType.simpleString()
     parts = components(similar_edges(df, id, vector, threshold), df, id)
@@ -168,7 +169,8 @@ def average_linkage(df: DataFrame, id: str, vector: str, threshold: float) -> Da
         labels = upgma(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), threshold)
         return pd.DataFrame({id: frame[id], "cluster": frame[id].to_numpy()[labels]})
 
-    return placed.groupBy("component").applyInPandas(merge, f"{id} {kind}, cluster {kind}")
+    merged = placed.where(F.col(vector).isNotNull()).groupBy("component").applyInPandas(merge, f"{id} {kind}, cluster {kind}")
+    return merged.union(df.where(F.col(vector).isNull()).select(id, F.col(id).alias("cluster")))
 
 
 def most_similar_before(df: DataFrame, id: str, vector: str, time: str, days: int, block: int = 4096) -> DataFrame:

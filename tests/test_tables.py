@@ -46,8 +46,8 @@ def test_anchored_split_is_not_a_session(spark, rows):
 
 
 def test_ranks(spark, rows):
-    d = df(spark, [(1, 50.04, 0.2), (2, 49.96, 0.9), (3, 70.0, 0.1), (4, 10.0, None)], "id int, p double, u double")
-    assert rows(ops.rank_with_ties(d, "p", "u", "id").select("id", "position", "ties")) == [(1, 3, 1), (2, 2, 1), (3, 1, 0), (4, 4, 0)]
+    d = df(spark, [(1, 50.04, 0.2), (2, 49.96, 0.9), (3, 70.0, 0.1), (4, 10.0, None), (5, None, 0.5)], "id int, p double, u double")
+    assert rows(ops.rank_with_ties(d, "p", "u", "id").select("id", "position", "ties")) == [(1, 3, 1), (2, 2, 1), (3, 1, 0), (4, 4, 0), (5, 5, 0)]
     assert rows(ops.tie_at_cut(df(spark, [(1,), (2,), (2,), (2,), (3,)], "x int"), "x", 2)) == [(2, 3, 1, 2)]
     assert rows(ops.average_rank(df(spark, [(5,), (7,), (7,), (9,)], "x int"), "x", "r")) == [(5, 1.0), (7, 2.5), (7, 2.5), (9, 4.0)]
     assert rows(ops.day_islands(df(spark, [("a", datetime(2026, 1, d)) for d in (1, 2, 2, 5)], "k string, d timestamp"), ["k"], "d").select("k", "days")) == [("a", 1), ("a", 2)]
