@@ -97,12 +97,16 @@ def closed(
     Consensus: item, value, confidence, agreement (share of its labels that equal it), n_labels. Annotators: annotator,
     reliability (expected share of right labels), n_labels. Ties go to the class named first in ``classes``.
 
-    Labels of no class are no labels; items without labels give no row; a null text or hint has no features. Confusion
+    Labels of no class are no labels, and without classes there is no row; items without labels give no row; a null text or hint has no features. Confusion
     and reliability cover all labels; the classifier alone is fitted on the ``sample_items`` items of smallest hash.
 
     Up to ``max_annotators`` (counted) the confusion matrices go to the workers with each round, which is one job: it
     weighs the items and sums the counts per annotator. Beyond that they are a table and joined; the result is the same.
     """
+    spark = labels.sparkSession
+    if not classes:
+        kind = labels.schema["item"].dataType.simpleString()
+        return spark.createDataFrame([], f"item {kind}, value string, confidence double, agreement double, n_labels bigint"), spark.createDataFrame([], "annotator string, reliability double, n_labels bigint")
     code = F.array_position(F.array(*map(F.lit, classes)), F.col("value")).cast("int") - 1
     lab = cut(labels.where(F.col("value").isin(classes)).select("item", "annotator", code.alias("v")))
 

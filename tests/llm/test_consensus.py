@@ -77,5 +77,6 @@ def test_edges(spark):
     assert sorted((r.item, r.value) for r in agreed.collect()) == [("a", "agua"), ("b", "otra")]
     none = open_values(lab.limit(0), items)
     assert none[0].count() == 0 and none[1].count() == 0
+    assert [x.count() for x in closed(lab, items, [])] == [0, 0]
     tie = spark.createDataFrame([("a", "ana", "luz"), ("a", "bea", "agua")], "item string, annotator string, value string")
     assert closed(tie, items.limit(0), CLASSES)[0].first().value == "agua"

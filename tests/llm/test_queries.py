@@ -24,6 +24,35 @@ def test_queries_run(spark, name):
     assert len(rows) == len(set(rows)) > 0
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_records_against_another_canonical_form(spark):
+    """Categories of characters and a parsed address instead of the operator's patterns."""
+    import html
+    import unicodedata
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    from telar.llm.queries import QUERIES
+    from telar.session import table
+
+    def letters(t):
+        t = unicodedata.normalize("NFC", html.unescape(html.unescape(t))).casefold()
+        return "".join(c for c in unicodedata.normalize("NFC", t) if unicodedata.category(c)[0] in "LNM")
+
+    def page(u):
+        s = urlsplit(u.strip())
+        host = re.sub(r"^(www\.|m\.)", "", re.sub(r":(80|443)$", "", s.netloc.lower()))
+        path = re.sub(r"/amp$", "", s.path.rstrip("/")).rstrip("/")
+        tracks = re.compile(r"(fbclid|gclid|igshid|mc_cid|mc_eid|ref|ref_src)(=|$)|utm_|outputType=amp$|amp=(1|true)$")
+        return host + path + "?" + "&".join(sorted(q for q in s.query.split("&") if q and not tracks.match(q)))
+
+    groups = defaultdict(list)
+    for r in table(spark, DATA, "noticias").where("titulo is not null and url is not null").collect():
+        groups[letters(r.titulo), page(r.url)].append(r.fila)
+    want = sorted((min(g), f) for g in groups.values() for f in g if f != min(g))
+    assert sorted((r.fila_a, r.fila_b) for r in QUERIES["p7_found"](spark, DATA).collect()) == want
+
+
 def test_tokens(spark):
     from pyspark.sql import functions as F
 
