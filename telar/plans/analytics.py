@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telar.functions import stats, text, urls
 from telar.operators import metrics, retrieval, vectors
 from telar.plans.registry import Registry, Tables
-from telar.plans.scalars import CANONICAL, bare, spaced
+from telar.plans.scalars import bare, spaced
 
 registry = Registry()
 query = registry.query

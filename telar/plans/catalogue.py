@@ -1,7 +1,7 @@
 """All core queries and their SQL, by name."""
 
-from telar.plans import analytics, governance, problems, relational, scalars, streams
+from telar.plans import analytics, governance, problems, relational, reports, scalars, streams
 
-MODULES = [problems, scalars, relational, analytics, governance, streams]
+MODULES = [problems, scalars, relational, analytics, governance, reports, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -1,5 +1,3 @@
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from telar.operators import governance as ops
