@@ -3,5 +3,21 @@
 from telar.plans import analytics, governance, problems, relational, reports, scalars, streams
 
 MODULES = [problems, scalars, relational, analytics, governance, reports, streams]
+
+# DuckDB's sums of integers and products of decimals are wider than the queries' types.
+WIDER = {
+    "q04_dato_oficial": {"nulos": "BIGINT"}, "a03_conteo_condicionado": {"letras": "BIGINT"}, "a27_histograma": {"desde_3": "BIGINT"}, "a31_mayor_con_desempate": {"n3": "BIGINT"},
+    "e02_por_clase": {"tp": "BIGINT", "fp": "BIGINT", "fn": "BIGINT"}, "e19_auc": {"positives": "BIGINT", "negatives": "BIGINT"},
+    "e10_barrido": {"threshold": "DOUBLE", "tp": "BIGINT", "fp": "BIGINT"}, "e13_umbral_de_margen": {"errors": "BIGINT"}, "val01_reglas_de_fila": {"broken": "BIGINT"},
+    "f42_numeros_en_palabras": {"suma": "DOUBLE"}, "f44_mcnemar": {"b": "BIGINT", "c": "BIGINT"}, "e14_por_mitades": {"calla_bien": "BIGINT", "calla_mal": "BIGINT", "habla_mal": "BIGINT"},
+    "z033_reparto_de_temas": {"iguales": "BIGINT"}, "z026_estimacion_de_terminos": {"aciertos": "BIGINT"},
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in WIDER.get(name, {}).items())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
+
+
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
+ORACLE = {name: _typed(name, sql) for module in MODULES for name, sql in module.ORACLE.items()}

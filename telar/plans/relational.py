@@ -97,7 +97,7 @@ def extremes(t: Tables) -> DataFrame:
 
 
 @query("a13_fusion_por_url", """
-SELECT url, min(fecha_deteccion) AS detectada, count(*) AS veces, array_to_string(list_sort(list_distinct(list(origen) FILTER (WHERE origen IS NOT NULL))), ',') AS origenes,
+SELECT url, min(fecha_deteccion) AS detectada, count(*) AS veces, coalesce(array_to_string(list_sort(list_distinct(list(origen) FILTER (WHERE origen IS NOT NULL))), ','), '') AS origenes,
   arg_min(fila, CASE origen WHEN 'RSS' THEN 0 ELSE 1000000000000 END + fila) AS fila FROM noticias GROUP BY url""")
 def by_url(t: Tables) -> DataFrame:
     """One row per address, first detection, number of visits, source by priority."""
@@ -116,7 +116,7 @@ def modal(t: Tables) -> DataFrame:
 
 @query("a19_grupo_armado", f"""
 SELECT zona, count(*) AS n, count(DISTINCT medio) AS medios, min({sql_iso('fecha_publicacion')}) AS desde, max({sql_iso('fecha_publicacion')}) AS hasta,
-  array_to_string(list_sort(list_distinct(list(idioma) FILTER (WHERE idioma IS NOT NULL))), ',') AS idiomas FROM noticias GROUP BY zona""")
+  coalesce(array_to_string(list_sort(list_distinct(list(idioma) FILTER (WHERE idioma IS NOT NULL))), ','), '') AS idiomas FROM noticias GROUP BY zona""")
 def assembled(t: Tables) -> DataFrame:
     """Size, exact distinct outlets, dates and languages of each group."""
     return t.noticias.groupBy("zona").agg(
