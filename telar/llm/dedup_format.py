@@ -14,7 +14,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,26 +76,33 @@ def _udf(canonical: Callable[[str], str]):
     return F.arrow_udf(convert, T.StringType())
 
 
+def _identifier(value: Column, name: str) -> list[Column]:
+    """128 bits of a text as two integers."""
+    return [F.xxhash64(F.lit(1), value).alias(f"{name}h"), F.xxhash64(F.lit(2), value).alias(f"{name}l")]
+
+
 def dictionary(df: DataFrame, column: str, canonical: Callable[[str], str]) -> DataFrame:
-    """``value`` → ``hi``, ``lo`` for each distinct non-null value of ``column``: its canonical form's integers."""
+    """Identifiers of each distinct non-null value (``rh``, ``rl``) and of its canonical form (``ch``, ``cl``)."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
     canon = values.withColumn("canon", _udf(canonical)("value"))
-    return canon.select("value", F.xxhash64(F.lit(1), "canon").alias("hi"), F.xxhash64(F.lit(2), "canon").alias("lo"))
+    return canon.select(*_identifier(F.col("value"), "r"), *_identifier(F.col("canon"), "c"))
 
 
 def encode(df: DataFrame, row: str, columns: dict[str, Callable[[str], str]]) -> DataFrame:
-    """``row`` and ``record``: the integers (hi, lo) of the record's canonical values, in the order of the fields.
+    """``row`` and ``record``: the integers of the record's canonical values, in the order of the fields.
 
-    Records with a null field are left out.
+    Records with a null field are left out. Rows meet the dictionaries by the identifiers of their raw values, so each
+    distinct text is shuffled once, for its dictionary, and rows are integers from the start.
     """
-    coded = df.select(F.col(row).alias("__row"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    kept = df.select(F.col(row).alias("__row"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
-        coded = coded.where(F.col(f"__v{i}").isNotNull())
-    source = coded
+        kept = kept.where(F.col(f"__v{i}").isNotNull())
+    coded = kept.select("__row", *[x for i in range(len(columns)) for x in _identifier(F.col(f"__v{i}"), f"__r{i}")])
     for i, canonical in enumerate(columns.values()):
-        codes = dictionary(source, f"__v{i}", canonical).select(F.col("value").alias(f"__d{i}"), F.col("hi").alias(f"__h{i}"), F.col("lo").alias(f"__l{i}"))
-        coded = coded.join(codes, F.col(f"__v{i}") == F.col(f"__d{i}")).drop(f"__v{i}", f"__d{i}")
-    return coded.select(F.col("__row").alias(row), F.array(*[f"__{x}{i}" for i in range(len(columns)) for x in "hl"]).alias("record"))
+        codes = dictionary(kept, f"__v{i}", canonical).toDF(f"__d{i}h", f"__d{i}l", f"__c{i}h", f"__c{i}l")
+        same = (F.col(f"__r{i}h") == F.col(f"__d{i}h")) & (F.col(f"__r{i}l") == F.col(f"__d{i}l"))
+        coded = coded.join(codes, same).drop(f"__r{i}h", f"__r{i}l", f"__d{i}h", f"__d{i}l")
+    return coded.select(F.col("__row").alias(row), F.array(*[f"__c{i}{x}" for i in range(len(columns)) for x in "hl"]).alias("record"))
 
 
 def duplicate_records(df: DataFrame, row: str, columns: dict[str, Callable[[str], str]]) -> DataFrame:
