@@ -29,8 +29,11 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"»”)]*\s+")
 WINDOW_WORDS, DISTINCT_WORDS, SHARE, FEW_SHAPES = 40, 0.55, 0.5, 8
 
 
-def _fresh(text: str) -> Iterator[str]:
-    """Lines without sentences that begin like an earlier one of the page: prose repeated isn't stuffing."""
+def _pieces(text: str) -> Iterator[str]:
+    """Lines, and apart from them each sentence that begins like an earlier one of the page.
+
+    Prose repeated isn't stuffing, but its repeats in one window would look so: alone, each is judged by its own words.
+    """
     seen: set[str] = set()
     for line in text.splitlines():
         kept = []
@@ -39,6 +42,7 @@ def _fresh(text: str) -> Iterator[str]:
             if len(words) >= 8:
                 start = " ".join(words[:6])
                 if start in seen:
+                    yield sentence
                     continue
                 seen.add(start)
             kept.append(sentence)
@@ -96,8 +100,8 @@ def _step(part: int, whole: int) -> int:
 def shapes(text: str) -> list[tuple[str, str, int]]:
     """(kind, shape, characters) of a page, grouped by shape."""
     chars: Counter[tuple[str, str]] = Counter()
-    for line in _fresh(text):
-        for window, first in _windows(line):
+    for piece in _pieces(text):
+        for window, first in _windows(piece):
             k, n, capitals, separators, links = kind(window, first)
             shape = f"{k}:{n.bit_length()}:{_step(capitals, n)}:{_step(separators, n)}:{min(links.bit_length(), 3)}"
             chars[k, shape] += len(window)
@@ -123,7 +127,8 @@ def judge_pages(df: DataFrame, id: str, text: str) -> DataFrame:
 
     * Every page gives a row; null, empty and blank texts have no characters and aren't flagged.
     * Repeated rows each give a row. Long texts are read whole. An empty table gives an empty result.
-    * Characters are those of the lines' windows, without repeated sentences and surplus white space.
+    * Characters are those of the lines' windows, without surplus white space. A repeated sentence of eight words or more
+      counts every time, judged by itself: below twelve words its repetition alone doesn't make it stuffed.
     """
     pages = df.select(F.col(id).alias("id"), page_shapes(F.col(text)).alias("s"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, s: x + s["chars"])

@@ -35,3 +35,16 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, PROSE), (1, PROSE)], "doc long, text string")
     assert judge_pages(df, "doc", "text").count() == 2
     assert judge_pages(df.limit(0), "doc", "text").count() == 0
+
+
+def test_repeats_count_by_their_own_kind(spark):
+    line = "hotel barato " * 20
+    price = "La entrada cuesta USD 5 por persona, según la oficina. "
+    df = spark.createDataFrame(
+        [(1, "\n".join([line] * 100) + "\n" + PROSE * 2), (2, (PROSE + " " + price) * 30), (3, "\n".join([PROSE, "#Uno #Dos #Tres #Hotel #Vuelo #Tour #Canal #Oferta"] * 30)), (4, "\n".join([line, PROSE * 4] * 30))],
+        "doc long, text string",
+    )
+    got = {r.id: r for r in judge_pages(df, "doc", "text").collect()}
+    assert {i for i, r in got.items() if r.flagged} == {1} and got[1].odd_share > 0.97
+    assert got[2].chars > 30 * len(PROSE) and 0.15 < got[2].odd_share < 0.25
+    assert 0.1 < got[3].odd_share < 0.25 and 0.15 < got[4].odd_share < 0.35
