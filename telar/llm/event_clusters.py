@@ -1,7 +1,8 @@
 """Clusters of mutually similar records: parallel pivot correlation clustering, and headlines that report one event.
 
 Records share block keys with those they may be similar to. In each round a record whose hash is the smallest in all
-its blocks becomes a pivot and absorbs the similar records of its blocks; rounds go on until none is left. Members
+its blocks becomes a pivot and absorbs the similar records of its blocks; rounds go on until none is left, after the
+first ones with several pivots a block, so that a block of many events doesn't take a round for each. Members
 then move to the closest pivot, each cluster's medoid is found, and a pass over the medoids, largest cluster first,
 joins what a poor pivot had kept apart. Records are compared with pivots only, never with each other.
 """
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,16 +30,17 @@ def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
     return a.join(b.hint("merge"), on, how)
 
 
-def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, max_rounds: int = 1000) -> DataFrame:
+def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, single_rounds: int = 32) -> DataFrame:
     """``id``, ``pivot`` of each row of ``df`` (id, order, keys, f): one round after another until every row has one.
 
     ``order`` (any orderable, smallest first) decides who is pivot, ties go to the smaller id. A row without keys is a
     pivot on its own. ``similarity`` of two ``f`` values counts from ``threshold`` on. A block that holds a third of
-    all rows is reduced to its minimum by partial aggregation; each row of it meets that one pivot per round.
+    all rows is reduced to its minimum by partial aggregation; each row of it meets that one pivot per round. What
+    ``single_rounds`` leave goes on with several pivots per block and round; no row is left out.
     """
     alive = cut(df.select("id", F.struct("order", "id").alias("o"), "keys", "f"))
     done: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for _ in range(single_rounds):
         blocks = alive.select("id", "o", F.explode_outer("keys").alias("key"))
         least = blocks.where("key is not null").groupBy("key").agg(F.min("o").alias("m"))
         seen = _join(blocks, least, "key", "left").select("id", "m", F.coalesce(F.col("m") == F.col("o"), F.lit(True)).alias("first"))
@@ -53,9 +55,53 @@ def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, max_
         alive = cut(_join(alive, taken, "id", "left_anti"))
         if alive.isEmpty():
             break
+    else:
+        done.append(_several_pivots(alive, similarity, threshold))
     return reduce(DataFrame.union, done)
 
 
+def _several_pivots(rows: DataFrame, similarity: Similarity, threshold: float, listed: int = 16, most: int = 1000) -> DataFrame:
+    """``id``, ``pivot`` of ``rows`` (id, o, keys, f), the pivots those of one a round in order.
+
+    The smallest ``listed`` rows of each block, twice as many each round up to ``most``, are compared with each other: a
+    row that is listed in all its blocks and similar to no smaller one is a pivot. The smallest row of all always is, so
+    the rounds end. A row goes to the smallest pivot it is similar to.
+    """
+    rows = whole = cut(rows.withColumn("keys", F.coalesce(F.array_distinct(F.filter("keys", lambda k: k.isNotNull())), F.array())))
+    found: list[DataFrame] = []
+    while True:
+        blocks = rows.select("id", "o", F.explode("keys").alias("key"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("o"))
+        tops = cut(blocks.withColumn("place", place).where(F.col("place") <= listed).drop("place"))
+        counts = tops.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        known = _join(rows, counts, "id", "left").where(F.coalesce("n", F.lit(0)) == F.size("keys")).drop("n")
+        smaller = tops.select("key", F.col("id").alias("p"), F.col("o").alias("q"))
+        pairs = _join(_join(tops, known.select("id"), "id", "left_semi"), smaller, "key").where("q < o").select("id", "p").distinct()
+        taken = _similar(pairs, rows, rows, similarity, threshold).select("id").distinct()
+        pivots = cut(_join(known, taken, "id", "left_anti"))
+        met = _join(blocks.drop("o"), pivots.select(F.explode("keys").alias("key"), F.col("id").alias("p")), "key")
+        near = _similar(met.where("id <> p").select("id", "p").distinct(), rows, pivots, similarity, threshold)
+        rows = cut(_join(rows, near.select("id").union(pivots.select("id")).distinct(), "id", "left_anti"))
+        found.append(pivots)
+        if rows.isEmpty():
+            break
+        if len(found) == 32:
+            found = [cut(reduce(DataFrame.union, found))]
+        listed = min(2 * listed, most)
+    pivots = cut(reduce(DataFrame.union, found))
+    members = _join(whole, pivots, "id", "left_anti")
+    there = pivots.select(F.explode("keys").alias("key"), F.col("id").alias("p"))
+    near = _join(members.select("id", F.explode("keys").alias("key")), there, "key").select("id", "p").distinct()
+    first = _similar(near, members, pivots, similarity, threshold).groupBy("id").agg(F.min("q")["id"].alias("pivot"))
+    return cut(first.union(pivots.select("id", F.col("id").alias("pivot"))))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, others: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
+    """The ``pairs`` (id, p) that are similar, with the order ``q`` of p."""
+    sides = _join(_join(pairs, rows.select("id", "f"), "id"), others.select(F.col("id").alias("p"), F.col("o").alias("q"), F.col("f").alias("g")), "p")
+    return sides.where(similarity(F.col("f"), F.col("g")) >= threshold).select("id", "p", "q")
+
+
 def closest_pivot(df: DataFrame, clusters: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
     """``id``, ``pivot`` again, each row moved to the most similar pivot of its blocks; pivots stay."""
     pivots = _join(df, clusters.select(F.col("pivot").alias("id")).distinct(), "id")

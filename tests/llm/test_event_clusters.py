@@ -49,6 +49,23 @@ def test_pivots_against_the_sequential_algorithm(spark):
     assert got == want
 
 
+def test_no_row_is_left_after_the_single_rounds(spark):
+    """Blocks of more dissimilar rows than rounds: every row gets the pivot of the sequential order."""
+    rng = random.Random(6)
+    points = [(i, rng.randrange(1000), rng.random(), [0] if i % 3 else rng.sample(range(1, 6), rng.randrange(3))) for i in range(150)]
+    near = lambda a, b: 1.0 - F.abs(a["x"] - b["x"])
+    df = spark.createDataFrame(points, "id long, order long, x double, keys array<long>").select("id", "order", "keys", F.struct("x").alias("f"))
+    got = {r.id: r.pivot for r in pivot_clusters(df, near, 0.98, 0).collect()}
+    want: dict[int, int] = {}
+    for i, _, x, keys in sorted(points, key=lambda p: (p[1], p[0])):
+        want[i] = next((j for j in want.values() if set(keys) & set(points[j][3]) and 1 - abs(x - points[j][2]) >= 0.98), i)
+    assert got == want
+    after = {r.id: r.pivot for r in pivot_clusters(df, near, 0.98, 2).collect()}
+    assert set(after) == set(want) and set(after.values()) == set(want.values())
+    apart = df.withColumns({"keys": F.array(F.lit(1).cast("long")), "f": F.struct(F.col("id").cast("double").alias("x"))})
+    assert all(r.id == r.pivot for r in pivot_clusters(apart, near, 0.98, 2).collect()) and pivot_clusters(apart, near, 0.98, 2).count() == 150
+
+
 def test_spellings_meet():
     base = "trumelite"
     wrong = ["trumeliet", "trumellite", "trumelte", "trumelit"]
