@@ -24,23 +24,47 @@ def set_differences(sets: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def fallen(claims: DataFrame, edges: DataFrame, id: str, fails: str, max_rounds: int = 1000) -> DataFrame:
+def fallen(claims: DataFrame, edges: DataFrame, id: str, fails: str) -> DataFrame:
     """``id``, ``falls``: claims that fail themselves, or whose base (``edges``: claim, base) falls, to the fixpoint.
 
-    Each round only follows the claims that fell in the last one; a base that isn't there falls. Cycles end when no
-    claim falls anew.
+    A base that isn't there falls. Claims with one base are followed by pointer doubling, so rounds grow as the logarithm
+    of the chain; only claims with several bases take a round for each one that rests on another. Rounds have no limit,
+    and cycles end too.
     """
-    edges = cut(edges.select("claim", "base").distinct())
     ids = claims.select(F.col(id).alias("claim")).distinct()
-    missing = edges.join(ids.select(F.col("claim").alias("base")), "base", "left_anti").select("claim")
-    new = cut(claims.where(F.col(fails)).select(F.col(id).alias("claim")).union(missing).distinct())
+    edges = cut(edges.select("claim", "base").distinct())
+    missing = edges.join(ids.select(F.col("claim").alias("base")), "base", "left_anti").select("base")
+    own = claims.where(F.col(fails)).select(F.col(id).alias("claim")).union(missing).distinct().withColumn("bad", F.lit(True))
+    alone = edges.groupBy("claim").agg(F.min("base").alias("top"), F.count(F.lit(1)).alias("n"))
+    single = alone.where("n = 1").select("claim", "top")
+    ends = single.select(F.col("claim").alias("top"), F.lit(True).alias("more"))
+    # bad: something from the claim up to, but without, its top fails; more: the top has one base itself.
+    paths = cut(
+        single.join(own, "claim", "left").join(ends, "top", "left")
+        .select("claim", "top", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("more", F.lit(False)).alias("more"))
+    )
+    # After as many doublings as the number of claims has bits, a path without end is a cycle that has been seen whole.
+    for _ in range(paths.count().bit_length()):
+        going = paths.where("more")
+        if going.isEmpty():
+            break
+        on = paths.select(F.col("claim").alias("top"), F.col("top").alias("next"), F.col("bad").alias("b"), F.col("more").alias("m"))
+        ahead = going.join(on, "top").select("claim", F.col("next").alias("top"), (F.col("bad") | F.col("b")).alias("bad"), F.col("m").alias("more"))
+        paths = cut(paths.where("not more").union(ahead))
+    # What is left: claims with several bases, each base replaced by its path's top.
+    several = edges.join(alone.where("n > 1").select("claim"), "claim", "left_semi")
+    met = several.join(paths.select(F.col("claim").alias("base"), "top", F.col("bad").alias("b")), "base", "left")
+    met = cut(met.select("claim", F.coalesce("top", "base").alias("base"), F.coalesce("b", F.lit(False)).alias("b")))
+    new = cut(own.select("claim").union(met.where("b").select("claim")).distinct())
     gone = new
-    for _ in range(max_rounds):
-        reached = edges.join(new.select(F.col("claim").alias("base")), "base").select("claim").distinct()
+    while not met.isEmpty():
+        reached = met.join(new.select(F.col("claim").alias("base")), "base").select("claim").distinct()
         new = cut(reached.join(gone, "claim", "left_anti"))
         if new.isEmpty():
             break
         gone = cut(gone.union(new))
+    down = paths.join(gone.select(F.col("claim").alias("top"), F.lit(True).alias("hit")), "top", "left").where("bad or hit").select("claim")
+    gone = gone.select("claim").union(down).distinct()
     return ids.join(gone.withColumn("hit", F.lit(True)), "claim", "left").select(F.col("claim").alias(id), F.coalesce("hit", F.lit(False)).alias("falls"))
 
 
@@ -53,9 +77,9 @@ def bases(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         paths = cut(paths.union(longer).distinct())
         grown = paths.count()
         if grown == size:
-            break
+            return paths
         size = grown
-    return paths
+    raise RuntimeError(f"no closure after {max_rounds} rounds")
 
 
 def widened_window(df: DataFrame, base: Column, end: Column, days: int, wider: int, least: int) -> DataFrame:

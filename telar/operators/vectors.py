@@ -124,6 +124,8 @@ def components(edges: DataFrame, nodes: DataFrame, id: str, max_rounds: int = 50
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.groupBy(F.col("b").alias(id)).agg(F.min("a").alias("root"))
     return nodes.select(id).where(F.col(id).isNotNull()).distinct().join(roots, id, "left").select(id, F.coalesce("root", id).alias("component"))
 

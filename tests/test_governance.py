@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from telar.operators import governance as ops
+from telar.operators import vectors
 
 
 def test_checks(spark, rows):
@@ -21,6 +25,31 @@ def test_fixpoint_and_closure(spark, rows):
     assert ops.bases(edges.limit(0)).count() == 0 and ops.fallen(claims.limit(0), edges.limit(0), "id", "f").count() == 0
 
 
+def test_long_chains_and_random_graphs(spark, rows):
+    n = 1500
+    claims = spark.range(n).select("id", (F.col("id") == 100).alias("f"))
+    got = rows(ops.fallen(claims, spark.range(1, n).select(F.col("id").alias("claim"), (F.col("id") - 1).alias("base")), "id", "f").where("falls").agg(F.count("id"), F.min("id")))
+    assert got == [(n - 100, 100)]
+    rng = random.Random(3)
+    for most in (1, 2):
+        nodes = range(60)
+        edges = {(i, rng.randrange(62)) for i in nodes for _ in range(rng.randint(0, most)) if rng.random() < 0.8}
+        bad = set(rng.sample(nodes, 2))
+        want = bad | {i for i, b in edges if b >= 60}
+        while more := {i for i, b in edges if b in want} - want:
+            want |= more
+        got = ops.fallen(spark.createDataFrame([(i, i in bad) for i in nodes], "id int, f boolean"), spark.createDataFrame(sorted(edges), "claim int, base int"), "id", "f")
+        assert {r.id for r in got.where("falls").collect()} == want
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.range(1, 40).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    with pytest.raises(RuntimeError):
+        vectors.components(edges, spark.range(40), "id", 1)
+    with pytest.raises(RuntimeError):
+        ops.bases(edges.toDF("base", "claim"), 1)
+
+
 def test_windows_caps_and_logs(spark, rows):
     d = spark.createDataFrame([(1, "2026-06-30"), (2, "2026-06-01"), (3, None), (4, "2026-01-01"), (5, "2026-08-01")], "id int, s string").withColumns({"f": F.to_timestamp("s"), "fin": F.lit("2026-07-01").cast("timestamp")})
     pick = lambda least: rows(ops.widened_window(d, F.col("f"), F.col("fin"), 3, 40, least).select("id", "used_days", "excluded"))
