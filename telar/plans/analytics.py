@@ -142,6 +142,12 @@ def confusion(t: Tables) -> DataFrame:
     return _sheet(t).groupBy("tema_humano").pivot("propuesta_tema", ["economia", "turismo", "regulacion", "logistica"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+@query("e01_matriz", f"SELECT t AS tema_humano, g AS propuesta_tema, count(*) AS n FROM ({_SHEET}) GROUP BY t, g")
+def whole_confusion(t: Tables) -> DataFrame:
+    """The whole confusion matrix in long form, every proposed subject and null included; ``e01_confusion`` has four columns of it."""
+    return _sheet(t).groupBy("tema_humano", "propuesta_tema").agg(F.count(F.lit(1)).alias("n"))
+
+
 _CLASS = f"""WITH s AS ({_SHEET}), k AS (SELECT tema AS cls, count_if(t = tema AND g = tema) AS tp, count_if(t <> tema AND g = tema) AS fp, count_if(t = tema AND g <> tema) AS fn FROM temas, s GROUP BY tema)"""
 
 

@@ -154,3 +154,13 @@ def test_topics(spark):
     rule = topics.keyword_topic("t", {"x": ["agua"], "y": ["peaje", "multa"]}, {"o": "direccion de agua"})
     cases = spark.createDataFrame([("Agua y peaje",), ("peaje, multa y agua",), ("Dirección de agua",), (None,)], "t string")
     assert [r.k for r in cases.select(rule.alias("k")).collect()] == ["x", "y", None, None]
+
+
+def test_the_confusion_matrix_is_whole(spark, rows, tmp_path):
+    from telar.plans.catalogue import QUERIES
+
+    sheet = [("agua", "agua"), ("agua", "sin_tema"), ("agua", "sin_tema"), ("agua", None), ("otro", "agua"), (None, "agua"), ("sin_tema", "nunca visto")]
+    spark.createDataFrame(sheet, "tema_humano string, propuesta_tema string").write.parquet(str(tmp_path / "hoja_preetiquetado.parquet"))
+    spark.createDataFrame([("agua", "Agua"), ("sin_tema", "Sin tema")], "tema string, nombre string").write.parquet(str(tmp_path / "temas.parquet"))
+    got = rows(QUERIES["e01_matriz"](spark, str(tmp_path)))
+    assert got == [("agua", "agua", 1), ("agua", "sin_tema", 2), ("agua", None, 1), ("sin_tema", "nunca visto", 1)]
