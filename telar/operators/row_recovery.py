@@ -7,7 +7,7 @@ The grammar is read by recursive descent::
     field  := '"' (any character but '"' | '""')* '"'  |  (any character but '"' and ",")*
 
 After a broken quote the parser resumes at the next record-start anchor: a line that begins like a record and
-reads as a whole record of the expected width. What lies between is one fault with its place and reason.
+reads as a whole record of the expected width. Each line between is a fault with its place and reason.
 """
 
 from __future__ import annotations
@@ -80,31 +80,55 @@ class Grammar:
 def parse_text(text: str, width: int, anchor: str) -> Iterator[tuple[int, list[str | None] | None, int, str | None]]:
     """(offset, fields or None, offset of the fault or -1, reason) of each record of a whole file's text.
 
-    ``anchor`` is a pattern for the beginning of a record. After a fault the next line that matches it and reads as
-    a record of ``width`` fields is where parsing resumes, so that a quote that is never closed costs one record.
+    ``anchor`` is a pattern for the beginning of a record. After a broken quote the next line that matches it and reads as
+    a record of ``width`` fields is where parsing resumes, so that a quote that is never closed costs one record; each
+    line skipped on the way is a fault of its own. After a wrong number of fields parsing goes on at the record's end,
+    unless such a line lies within the record, which then has a broken quote too. Empty lines are no records.
     """
     grammar, start = Grammar(text, "\n"), re.compile(r"(?:^|(?<=\n))(?=" + anchor + ")")
     at = 0
     while at < len(text):
+        if blank := _BLANK.match(text, at):
+            at = blank.end()
+            continue
+        end = None
         try:
             values, end = grammar.record(at)
-            if len(values) != width:
-                raise Fault(at, f"{len(values)} campos en vez de {width}")
-            yield at, values, -1, None
-            at = end + 1
+            if len(values) == width:
+                yield at, values, -1, None
+                at = end + 1
+                continue
+            place, reason = at, f"{len(values)} campos en vez de {width}"
         except Fault as fault:
-            yield at, None, fault.at, fault.reason
-            at = _resume(grammar, start, at, width)
+            place, reason = fault.at, fault.reason
+        yield at, None, place, reason
+        resume = _resume(grammar, start, at, width, len(text) if end is None else end)
+        if resume is None and end is not None:
+            at = end + 1
+            continue
+        resume = len(text) if resume is None else resume
+        for line in _LINE.finditer(text, _line_end(text, at), resume):
+            yield line.start(), None, line.start(), "línea saltada tras un registro roto"
+        at = resume
+
+
+_BLANK, _LINE = re.compile(r"\r?(?:\n|\Z)"), re.compile(r"(?!\r?(?:\n|\Z))[^\n]+")
+
+
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end + 1
 
 
-def _resume(grammar: Grammar, start: re.Pattern, at: int, width: int) -> int:
-    for found in start.finditer(grammar.text, at + 1):
+def _resume(grammar: Grammar, start: re.Pattern, at: int, width: int, limit: int) -> int | None:
+    """The next anchored line before ``limit`` that reads as a record of ``width`` fields."""
+    for found in start.finditer(grammar.text, at + 1, limit):
         try:
             if len(grammar.record(found.start())[0]) == width:
                 return found.start()
         except Fault:
             continue
-    return len(grammar.text)
+    return None
 
 
 @dataclass(frozen=True)

@@ -76,6 +76,28 @@ def test_unknown_contract_long_line_and_empty(spark):
     assert kinds(spark, []) == []
 
 
+def test_whole_files_account_for_every_line():
+    short, odd = "NOT-4,dos,campos", GOOD.replace("NOT-0123456789", "X-1")
+    second = GOOD.replace("0123456789", "1123456789")
+    find = lambda *ls: [(o, f[0] if f else None, r) for o, f, _, r in parse_text("\n".join(ls), len(NEWS.columns), NEWS.anchor)]
+    # Neighbouring lines of another width each give a fault, and a record without a right id after them is read.
+    assert [x[1:] for x in find(short, short, odd, "", short, second)] == [
+        (None, "3 campos en vez de 11"), (None, "3 campos en vez de 11"), ("X-1", None), (None, "3 campos en vez de 11"), ("NOT-1123456789", None),
+    ]
+    # After a broken quote every line up to the anchor is named.
+    broken = 'NOT-3123456789,"sin cerrar,https://d.example/c'
+    got = find(GOOD, broken, "resto uno", "", odd, second)
+    skipped = "línea saltada tras un registro roto"
+    assert [x[1] for x in got] == ["NOT-0123456789", None, None, None, "NOT-1123456789"] and [x[2] for x in got][2:4] == [skipped, skipped]
+    assert got[2][0] == len(GOOD) + len(broken) + 2
+    # A record that runs over a good line only by its quotes, and one that ends the file.
+    plain = GOOD.replace('"Agua, ""luz"" y más"', "Agua")
+    assert [x[1:] for x in find('NOT-3123456789,"abre', plain, 'cierra",fin', second)] == [
+        (None, "3 campos en vez de 11"), ("NOT-0123456789", None), (None, "comillas dentro de un campo sin comillas"), ("NOT-1123456789", None),
+    ]
+    assert [x[1] for x in find(GOOD, broken, "cola", "otra\r", "\r")] == ["NOT-0123456789", None, None, None]
+
+
 def test_recovery_in_whole_files(spark, tmp_path):
     second, third = GOOD.replace("0123456789", "1123456789"), GOOD.replace("0123456789", "2123456789").replace("más", "más\nNOT-x")
     broken = 'NOT-3123456789,"sin cerrar,https://d.example/c,Diario'
