@@ -259,8 +259,10 @@ def clean_sample(rows: list[tuple[str, str]], rounds: int = 3, window: int = 6,
 def fit(labelled: DataFrame, text: str, language: str, rows_per_language: int = 1000, chars_per_language: int = 24_000, change_bits: float = 40.0) -> Model:
     """A model from a bounded sample: per language the ``rows_per_language`` texts of smallest hash.
 
-    Rows without text or language are left out. Only the sample comes to the driver, and the model's size is bounded by
-    ``chars_per_language``: at most two states per character.
+    Rows without text or language are left out. A text that doesn't fit into what is left of ``chars_per_language`` is
+    passed over for the next; where none fits, the shortest is cut to it, so that no language of the sample is missing. Only
+    the sample comes to the driver, and the model's size is bounded by ``chars_per_language``: at most two states per
+    character.
     """
     order = Window.partitionBy("language").orderBy("h", "text")
     sample = (
@@ -273,11 +275,10 @@ def fit(labelled: DataFrame, text: str, language: str, rows_per_language: int =
         joined, used = [], 0
         for t in sorted(texts, key=lambda x: hash_of(x)):
             if used + len(t) > chars_per_language:
-                break
+                continue
             joined.append(t)
             used += len(t) + 1
-        if joined:
-            chosen[label] = "\n".join(joined)
+        chosen[label] = "\n".join(joined) if joined else min(texts, key=len)[:chars_per_language]
     return Model.train(chosen, change_bits)
 
 

@@ -86,3 +86,17 @@ def test_fit_and_frame(spark):
     assert df.limit(0).select(language_runs(df, model, F.col("text"))).count() == 0
     empty = fit(df.limit(0), "text", "k")
     assert [len(x.r) for x in df.limit(2).select(language_runs(df, empty, F.col("text")).alias("r")).collect()] == [0, 0]
+
+
+def test_a_long_text_does_not_use_up_the_budget(spark):
+    from telar.llm.language import hash_of
+
+    rows = [(t, k) for k, v in TEXTS.items() for t in v]
+    least = min(hash_of(plain(t)) for t in TEXTS["de"])
+    long = next(t for t in (f"{'die nachbarn bitten um wasser ' * 1000}{'x' * i}" for i in range(1, 5000)) if hash_of(plain(t)) < least)
+    query = "bitten um wasser für die familien"
+    for texts in ([*rows, (long, "de")], [r for r in rows if r[1] != "de"] + [(long, "de")]):
+        model = fit(spark.createDataFrame(texts, "text string, k string"), "text", "k", change_bits=25.0)
+        assert model.languages == ["de", "en", "es"]
+    model = fit(spark.createDataFrame([*rows, (long, "de")], "text string, k string"), "text", "k", change_bits=25.0)
+    assert [r[0] for r in model.runs([plain(query)])[0]] == ["de"]
