@@ -165,7 +165,7 @@ def macro(t: Tables) -> DataFrame:
 
 @query("e04_remuestreo")
 def bootstrap(t: Tables) -> DataFrame:
-    """Share of proposals that are right, with a bootstrap interval."""
+    """Share of proposals that are right, with a bootstrap interval."""
     rows = _sheet(t).withColumn("id", F.concat_ws("|", "id_noticia", "etiquetado_por", "fecha_etiquetado"))
     return metrics.bootstrap_mean(rows, "id", (F.col("tema_humano") == F.col("propuesta_tema")).cast("double"), resamples=200)
 
