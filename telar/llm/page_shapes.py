@@ -1,8 +1,10 @@
 """Keyword-stuffed pages, link lists and tag pages, found by the shapes of their lines.
 
-Each line (long ones in windows of about 40 words) is reduced to a shape: what kind of line it is and, in coarse
-steps, its number of words, share of capitals, separators and links. Shapes are grouped per page; a page is flagged
-if more than half of its text lies in few shapes that no sentence has.
+Each line (long ones in windows of about 40 words) is reduced to a shape: in coarse steps its number of words and the
+shares of capitals, separators, links, short words, figures and distinct words, and its sentence ends. Shapes are
+grouped per page. The numbers of a shape say whether a sentence can look like that: sentences of the languages here
+have many short words, few separators and few repeats. A page is flagged if more than half of its whole text lies in
+shapes that no sentence has.
 """
 
 from __future__ import annotations
@@ -10,102 +12,125 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_URL = re.compile(r"https?://\S+")
-_WORD = re.compile(r"#?[^\W_]+(?:['’-][^\W_]+)*")
-_SEPARATOR = re.compile(r"[,;|·»•/>]|\s[-–—*]\s")
-_END = re.compile(r"[.!?…:][\"»”)\s]*$")
-_LOWER_START = re.compile(r"[.!?]\s+[a-zà-ÿ]")
-_LOWER_FIRST = re.compile(r"\W*[a-zà-ÿ]")
-_READING = re.compile(r":\s*-?\d")
-_PRICE = re.compile(r"(?:[$€£]|USD|EUR|B/\.)\s*\d|-\d+ ?%")
+_LINK = re.compile(r"https?://\S+")
+_WORD = re.compile(r"#?[^\W_]+(?:['’.,-][^\W_]+)*")
+_SEPARATOR = re.compile(r"[;|·»•/>#]|,(?!\d)|\s[-–—*]\s")
+_STOP = re.compile(r"\w{4}[.!?…][\"»”)]*(?=\s+[^\sa-zà-ÿ]|$)")
+_SHORTENED = re.compile(r"\b[a-z]{1,3}\.(?=\s)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"»”)]*\s+")
 
-WINDOW_WORDS, DISTINCT_WORDS, SHARE, FEW_SHAPES = 40, 0.55, 0.5, 8
+WINDOW_WORDS, SHARE = 40, 0.5
+#: Steps of a twentieth. A sentence has at least SHORT short words (one step more where nothing ends in a stop), fewer
+#: than LISTED separators and LINKED links, and more than DISTINCT different ones of its lower-case words.
+STEPS, SHORT, LISTED, LINKED, DISTINCT, NONE = 20, 2, 5, 2, 11, 99
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """Lines, and apart from them each sentence that begins like an earlier one of the page.
+class Shape(NamedTuple):
+    words: int
+    capitals: int
+    separators: int
+    links: int
+    short: int
+    figures: int
+    distinct: int
+    stops: int
 
-    Prose repeated isn't stuffing, but its repeats in one window would look so: alone, each is judged by its own words.
-    """
-    seen: set[str] = set()
-    for line in text.splitlines():
-        kept = []
-        for sentence in _SENTENCE.split(line):
-            words = sentence.split(None, 8)
-            if len(words) >= 8:
-                start = " ".join(words[:6])
-                if start in seen:
-                    yield sentence
-                    continue
-                seen.add(start)
-            kept.append(sentence)
-        if kept:
-            yield " ".join(kept)
-
-
-def _windows(line: str) -> Iterator[tuple[str, bool]]:
+
+def _step(part: int, whole: int) -> int:
+    return min(STEPS - 1, STEPS * max(part, 0) // whole) if whole else STEPS - 1 if part else 0
+
+
+def _windows(line: str) -> Iterator[str]:
     words = line.split()
     if words:
         step = -(-len(words) // max(1, round(len(words) / WINDOW_WORDS)))
         for i in range(0, len(words), step):
-            yield " ".join(words[i : i + step]), i == 0
+            yield " ".join(words[i : i + step])
+
+
+def _once(window: str) -> str:
+    """A window in which a sentence that stands there up to three times counts once: prose said again isn't a list of phrases."""
+    parts = _SENTENCE.split(window)
+    counts = Counter(parts)
+    return " ".join(p for p, n in counts.items() for _ in range(n if n > 3 else 1)) if len(counts) < len(parts) else window
 
 
-def kind(line: str, first: bool = True) -> tuple[str, int, int, int, int]:
-    """(kind, words, capitals, separators, links) of a line; kind is empty where a sentence or a reading may stand."""
-    links = len(_URL.findall(line))
-    rest = _URL.sub(" ", line) if links else line
+def shape_of(window: str) -> Shape:
+    links = window.count("://")
+    rest = _LINK.sub(" ", window) if links else window
     words = _WORD.findall(rest)
+    capitals = opening = short = figures = lower = distinct = 0
+    for word, k in Counter(words).items():
+        first = word[0]
+        if first.isdigit():
+            figures += k
+        elif first.islower():
+            lower += k
+            distinct += 1
+            if len(word) <= 3:
+                short += k
+        else:
+            capitals += k
+            if len(word) <= 3 and not word.isupper():
+                opening += k
+    if lower >= 8 and STEPS * distinct < DISTINCT * lower and (once := _once(rest)) != rest:
+        few = [w for w in _WORD.findall(once) if w[0].islower()]
+        lower, distinct = len(few), len(set(few))
+    stops = len(_STOP.findall(rest))
+    # A short word that opens a sentence is one though its first letter is a capital; a shortened word is none.
+    short += min(opening, stops + 1) - len(_SHORTENED.findall(rest))
     n = len(words)
-    capitals = sum(w[0].isupper() or w[0] == "#" for w in words)
-    separators = len(_SEPARATOR.findall(rest))
-    counts = (n, capitals, separators, links)
-    if n and 2 * sum(w[0] == "#" for w in words) >= n:
-        return "tags", *counts
-    if links and n <= 10 * links:
-        return "links", *counts
-    if _READING.search(rest) and not links:
-        return "", *counts
-    prices = len(_PRICE.findall(rest))
-    if prices and n <= 14 * prices:
-        return "offers", *counts
-    ends = bool(_END.search(line))
-    if n >= 4 and capitals >= 0.75 * n and not ends:
-        return "titles", *counts
-    if n >= 20 and separators >= n / 4:
-        return "list", *counts
-    if n >= 12:
-        lower = [w for w in words if w[0].islower()]
-        if len(lower) >= 6 and len(set(lower)) < DISTINCT_WORDS * len(lower):
-            return "stuffed", *counts
-        if len({w.lower() for w in words}) < (DISTINCT_WORDS - 0.05) * n:
-            return "stuffed", *counts
-    starts = len(_LOWER_START.findall(rest)) + bool(first and _LOWER_FIRST.match(rest))
-    if starts >= 2 or (starts and n <= 12 and not ends):
-        return "fragments", *counts
-    return "", *counts
+    return Shape(
+        n if n < 4 else 4 + n // 12, _step(capitals, n), _step(len(_SEPARATOR.findall(rest)), n), _step(links, max(n, 1)), _step(short, n), _step(figures, n),
+        _step(distinct, lower) if lower >= 8 else NONE, min(stops, 5),
+    )
 
 
-def _step(part: int, whole: int) -> int:
-    return min(4, 5 * part // max(whole, 1))
+def kind_of(shape: Shape) -> str:
+    """What a shape is instead of a sentence; empty where a sentence or a reading may look like that."""
+    if shape.links >= LINKED:
+        return "links"
+    if not shape.words:
+        return ""
+    if shape.separators >= 2 * LISTED:
+        return "tags"
+    if shape.words >= 3 and shape.short < SHORT + (not shape.stops):
+        return "keywords"
+    if shape.distinct < DISTINCT:
+        return "repeated"
+    if shape.words >= 3 and shape.separators >= LISTED - (not shape.stops):
+        return "list"
+    return ""
 
 
 def shapes(text: str) -> list[tuple[str, str, int]]:
-    """(kind, shape, characters) of a page, grouped by shape."""
-    chars: Counter[tuple[str, str]] = Counter()
-    for piece in _pieces(text):
-        for window, first in _windows(piece):
-            k, n, capitals, separators, links = kind(window, first)
-            shape = f"{k}:{n.bit_length()}:{_step(capitals, n)}:{_step(separators, n)}:{min(links.bit_length(), 3)}"
-            chars[k, shape] += len(window)
-    return [(k, s, n) for (k, s), n in chars.items()]
+    """(kind, shape, characters) of a page, grouped by shape.
+
+    Short lines without figures and without a stop are judged together: if half of their lower-case words or more are
+    words that they have four times and more, they are ``fragments``, one phrase in many lines.
+    """
+    chars: Counter[Shape] = Counter()
+    loose: Counter[str] = Counter()
+    for line in text.splitlines():
+        for window in _windows(line):
+            shape = shape_of(window)
+            chars[shape] += len(window)
+            if _is_loose(shape) and not kind_of(shape):
+                loose.update(w for w in _WORD.findall(window) if w[0].islower())
+    total = sum(loose.values())
+    phrase = total >= 12 and 2 * sum(k for k in loose.values() if k >= 4) >= total
+    return [(kind_of(s) or ("fragments" if phrase and _is_loose(s) else ""), ":".join(map(str, s)), n) for s, n in chars.items()]
+
+
+def _is_loose(shape: Shape) -> bool:
+    return 0 < shape.words <= 4 and not shape.stops and not shape.figures
 
 
 _SHAPES = T.ArrayType(T.StructType().add("kind", T.StringType()).add("shape", T.StringType()).add("chars", T.LongType()))
@@ -123,21 +148,18 @@ def page_shapes(text: Column) -> Column:
 
 
 def judge_pages(df: DataFrame, id: str, text: str) -> DataFrame:
-    """``id``, ``chars``, ``odd_chars`` (in the few largest non-sentence shapes), ``odd_share``, ``main_kind``, ``flagged``.
+    """``id``, ``chars``, ``odd_chars`` (in non-sentence shapes), ``main_kind``, ``odd_shapes``, ``odd_share``, ``flagged``.
 
     * Every page gives a row; null, empty and blank texts have no characters and aren't flagged.
     * Repeated rows each give a row. Long texts are read whole. An empty table gives an empty result.
-    * Characters are those of the lines' windows, without surplus white space. A repeated sentence of eight words or more
-      counts every time, judged by itself: below twelve words its repetition alone doesn't make it stuffed.
+    * Characters are those of the lines' windows, without surplus white space; every window counts.
     """
     pages = df.select(F.col(id).alias("id"), page_shapes(F.col(text)).alias("s"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, s: x + s["chars"])
-    odd = F.slice(
-        F.array_sort(F.filter("s", lambda s: s["kind"] != ""), lambda a, b: (b["chars"] - a["chars"]).cast("int")), 1, FEW_SHAPES
-    )
+    odd = F.array_sort(F.filter("s", lambda s: s["kind"] != ""), lambda a, b: (b["chars"] - a["chars"]).cast("int"))
     return (
         pages.select("id", total(F.col("s")).alias("chars"), odd.alias("odd"))
-        .select("id", "chars", total(F.col("odd")).alias("odd_chars"), F.get("odd", F.lit(0))["kind"].alias("main_kind"))
+        .select("id", "chars", total(F.col("odd")).alias("odd_chars"), F.get("odd", F.lit(0))["kind"].alias("main_kind"), F.size("odd").alias("odd_shapes"))
         .withColumn("odd_share", F.when(F.col("chars") > 0, F.col("odd_chars") / F.col("chars")).otherwise(F.lit(0.0)))
         .withColumn("flagged", F.col("odd_share") > SHARE)
     )

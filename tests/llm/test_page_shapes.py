@@ -1,7 +1,12 @@
 import random
+import re
+from pathlib import Path
+
+import pytest
 
 from telar.llm.page_shapes import judge_pages
 
+DATA = "/root/testdata/sf0.01"
 PROSE = (
     "El alcalde explicó ayer que las obras del puente costarán más de lo previsto. La asociación pidió calma mientras siguen las inspecciones. "
     "Tres cuadrillas trabajan desde el martes en la vía principal, según los datos revisados."
@@ -46,5 +51,37 @@ def test_repeats_count_by_their_own_kind(spark):
     )
     got = {r.id: r for r in judge_pages(df, "doc", "text").collect()}
     assert {i for i, r in got.items() if r.flagged} == {1} and got[1].odd_share > 0.97
-    assert got[2].chars > 30 * len(PROSE) and 0.15 < got[2].odd_share < 0.25
+    # A sentence that names a price is a sentence.
+    assert got[2].chars > 30 * len(PROSE) and got[2].odd_share == 0
     assert 0.1 < got[3].odd_share < 0.25 and 0.15 < got[4].odd_share < 0.35
+
+
+def test_by_shape_alone(spark):
+    rng = random.Random(2)
+    tails = "hoy ya si no mas luego casi bien mal poco".split()
+    forms = ["Ver {0} en https://a{1}.example/{1}", "{0} » http://b{1}.example/x/{1}", "[{0}](https://c{1}.example/{1})", "https://d{1}.example/{0}/{1}"]
+    nouns = "zapato mesa silla cama lámpara reloj bolso camisa falda pantalón gorra cinturón anillo collar pulsera taza plato vaso sartén olla cuchillo tenedor cuchara manta cojín alfombra espejo cuadro vela jarrón"
+    texts = {
+        1: "Comprar zapatos baratos en la tienda online con descuento. " * 60,
+        2: " ".join(f"Comprar zapatos baratos en la tienda online con descuento {tails[i % 10]}." for i in range(60)),
+        3: nouns, 4: "\n".join(rng.choice(forms).format(rng.choice("abcdefgh"), i) for i in range(40)),
+        5: "El precio del café fue de USD 3 la libra en enero, según la cámara. En marzo subió a USD 4 y los productores de la zona piden que el banco baje el interés.",
+        6: "La sesión terminó sin acuerdo y con la sala casi vacía. " * 3 + PROSE * 2, 7: "Oferta\nde\nhoy", 8: "\x00 \u200b ¿?", 9: "#" * 5000,
+    }
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], "doc long, text string, chars int, odd string")
+    got = {r.id: r for r in judge_pages(df, "doc", "text").collect()}
+    assert {i for i, r in got.items() if r.flagged} == {1, 2, 3, 4}
+    assert got[1].chars > 0.99 * len(texts[1])
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_on_the_test_table(spark):
+    """Pages of links or hash marks, told by plain counts, are found; pages of long sentences with many short words aren't."""
+    from telar.session import table
+
+    docs = {r.doc_id: r.text or "" for r in table(spark, DATA, "documents").select("doc_id", "text").collect()}
+    got = {r.id for r in judge_pages(table(spark, DATA, "documents"), "doc_id", "text").where("flagged").collect()}
+    share = lambda t, p: len("".join(re.findall(p, t))) / max(len(t), 1)
+    sure = {i for i, t in docs.items() if share(t, r"https?://\S+") > 0.6 or share(t, r"#\w+") > 0.8}
+    prose = {i for i, t in docs.items() if t and share(t, r"[A-ZÀ-Ý][^.!?\n#|]{40,200}[.!?]") > 0.95 and len(set(re.findall(r"\b[a-zà-ÿ]{4,}", t))) > 0.6 * len(re.findall(r"\b[a-zà-ÿ]{4,}", t))}
+    assert sure and sure <= got and len(prose) > 20 and not prose & got
