@@ -5,11 +5,16 @@ its blocks becomes a pivot and absorbs the similar records of its blocks; rounds
 first ones with several pivots a block, so that a block of many events doesn't take a round for each. Members
 then move to the closest pivot, each cluster's medoid is found, and a pass over the medoids, largest cluster first,
 joins what a poor pivot had kept apart. Records are compared with pivots only, never with each other.
+
+What headlines have in common is weighed by the table's own document frequencies: its rare words, and those whose
+headlines agree on a figure, are the names of what is reported; its frequent ones say what kind of thing happened, each
+the more the rarer it is. No list of words is used.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Callable
@@ -30,7 +35,7 @@ def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
     return a.join(b.hint("merge"), on, how)
 
 
-def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, single_rounds: int = 32) -> DataFrame:
+def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, single_rounds: int = 4) -> DataFrame:
     """``id``, ``pivot`` of each row of ``df`` (id, order, keys, f): one round after another until every row has one.
 
     ``order`` (any orderable, smallest first) decides who is pivot, ties go to the smaller id. A row without keys is a
@@ -115,12 +120,12 @@ def closest_pivot(df: DataFrame, clusters: DataFrame, similarity: Similarity, th
 
 
 def medoids(df: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``pivot``, ``medoid``, ``size`` of each cluster; the medoid's traits (``f.traits``) are those its members share most.
+    """``pivot``, ``medoid``, ``size`` of each cluster; the medoid's ``traits`` are those its members share most.
 
     A member's score is the number of the cluster's members that have each of its traits, averaged over its traits and
     shrunk for few. Counts per (cluster, trait) are aggregated, so the work is linear in the members.
     """
-    words = _join(clusters, df, "id").select("pivot", "id", F.explode("f.traits").alias("w"))
+    words = _join(clusters, df, "id").select("pivot", "id", F.explode("traits").alias("w"))
     counts = words.groupBy("pivot", "w").agg(F.count(F.lit(1)).alias("n"))
     scores = _join(words, counts, ["pivot", "w"]).groupBy("pivot", "id").agg((F.sum("n") / (F.count(F.lit(1)) + 2)).alias("s"))
     sized = _join(_join(clusters, df.select("id", "weight"), "id"), scores.select("id", "s"), "id", "left")
@@ -129,7 +134,7 @@ def medoids(df: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def cluster(df: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
-    """``id``, ``medoid`` (the cluster's name), ``size`` for rows (id, weight, keys, f with traits); see the module."""
+    """``id``, ``medoid`` (the cluster's name), ``size`` for rows (id, weight, keys, f, traits); see the module."""
     df = cut(df.withColumn("order", F.xxhash64("id")))
     first = cut(closest_pivot(df, cut(pivot_clusters(df, similarity, threshold)), similarity, threshold))
     centres = cut(medoids(df, first))
@@ -142,20 +147,13 @@ def cluster(df: DataFrame, similarity: Similarity, threshold: float) -> DataFram
     return _join(merged, medoids(df, merged), "pivot").select("id", "medoid", "size")
 
 
-# Words that begin a place's name, and words that say nothing about what happened.
-PLACES = ("alto", "barrio", "boca de", "cerro", "isla", "llano", "lomas de", "puerto", "punta", "quebrada", "valle de", "villa")
-COMMON = frozenset(
-    "para como pero este esta estos estas desde hasta sobre entre donde cuando tras ante bajo según dice dijo informa informó "
-    "última hora último atención video fotos vivo urgente varios reclamos lunes sabe esto vecina sector altura lado cerca junto plaza puente "
-    "colegio río despacho with from that this says said officials monday breaking watch".split()
-)
 _FIGURE = re.compile(r"\d+(?:[.,]\d{3})*(?:[.,]\d+)?")
-_WORD = re.compile(r"[^\W\d_]+")
-_FIELDS = (
-    T.StructType().add("kind", T.StringType()).add("name", T.StringType()).add("figures", T.ArrayType(T.DoubleType()))
-    .add("rounded", T.ArrayType(T.DoubleType())).add("words", T.ArrayType(T.StringType())).add("traits", T.ArrayType(T.StringType()))
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_READ = (
+    T.StructType().add("form", T.StringType()).add("words", T.ArrayType(T.StringType()))
+    .add("figures", T.ArrayType(T.DoubleType())).add("rounded", T.ArrayType(T.DoubleType()))
 )
-_HEADLINE = T.StructType().add("form", T.StringType()).add("f", _FIELDS).add("keys", T.ArrayType(T.LongType()))
+_WEIGHED = T.ArrayType(T.StructType().add("c", T.IntegerType()).add("w", T.DoubleType()))
 
 
 def _figure(text: str) -> float:
@@ -167,79 +165,153 @@ def _round(x: float, digits: int) -> float:
     return float(f"{x:.{digits - 1}e}")
 
 
-def spellings(name: str) -> list[str]:
+def spellings(name: Column) -> Column:
     """The name and itself with one letter left out: what a dropped, doubled or swapped letter leaves in common."""
-    return [name, *dict.fromkeys(name[:i] + name[i + 1 :] for i in range(len(name)))] if len(name) > 3 else [name]
+    n = F.length(name)
+    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1, n)))
+    return F.when(n > 3, F.array_distinct(F.concat(F.array(name), shorter))).otherwise(F.array(name))
 
 
-def headline(title: str, place: re.Pattern) -> dict:
-    """Place, figures, words, and the block keys: a spelling of the place with a word."""
-    import xxhash
+def slip(x: Column, y: Column) -> Column:
+    """Whether two names differ by one letter left out or put in, or by two neighbours swapped."""
+    far = F.levenshtein(x, y, 2)
+    return ((F.abs(F.length(x) - F.length(y)) == 1) & (far == 1)) | (
+        (F.length(x) == F.length(y)) & (far == 2) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+    )
+
 
+def headline(title: str) -> dict:
+    """Form (its words in order), distinct words, figures, and the figures rounded to one and two digits."""
     while "&" in title and (resolved := html.unescape(title)) != title:
         title = resolved
     text = unicodedata.normalize("NFC", title).lower()
     figures = sorted({_figure(m) for m in _FIGURE.findall(text)})
-    found = place.search(text)
-    kind, name = found.groups() if found else (None, None)
-    rest = text[: found.start()] + " " + text[found.end() :] if found else text
-    words = sorted({w for w in _WORD.findall(rest) if len(w) > 3 and w not in COMMON})
-    stems = [f"{kind} {s}" for s in spellings(name)] if name else [""]
-    keys = sorted({xxhash.xxh64_intdigest(f"{s}|{w}") - (1 << 63) for s in stems for w in words})
-    form = " ".join(re.findall(r"\w+", text))
-    fields = {"kind": kind, "name": name, "figures": figures, "rounded": sorted({_round(x, d) for x in figures for d in (1, 2)}), "words": words}
-    fields["traits"] = words + [f"= {x:g}" for x in figures] + ([f"@ {name}"] if name else [])
-    return {"form": form, "f": fields, "keys": keys}
-
-
-def headlines(title: Column, places: tuple[str, ...] = PLACES) -> Column:
-    place = re.compile(r"\b(" + "|".join(map(re.escape, places)) + r")\s+([^\W\d_]+)")
-    fields = pa.struct([("kind", pa.string()), ("name", pa.string()), ("figures", pa.list_(pa.float64())), ("rounded", pa.list_(pa.float64())), ("words", pa.list_(pa.string())), ("traits", pa.list_(pa.string()))])
-    kind = pa.struct([("form", pa.string()), ("f", fields), ("keys", pa.list_(pa.int64()))])
+    return {
+        "form": " ".join(re.findall(r"\w+", text)), "words": sorted(set(_WORD.findall(text))), "figures": figures,
+        "rounded": sorted({_round(x, d) for x in figures for d in (1, 2)}),
+    }
+
+
+def headlines(title: Column) -> Column:
+    kind = pa.struct([("form", pa.string()), ("words", pa.list_(pa.string())), ("figures", pa.list_(pa.float64())), ("rounded", pa.list_(pa.float64()))])
 
     def convert(titles: pa.Array) -> pa.Array:
-        return pa.array([headline(t or "", place) for t in titles.to_pylist()], kind)
+        return pa.array([headline(t or "") for t in titles.to_pylist()], kind)
 
-    return F.arrow_udf(convert, _HEADLINE)(title)
+    return F.arrow_udf(convert, _READ)(title)
 
 
 def same_event(a: Column, b: Column) -> Column:
-    """Similarity of two headlines: same place but for a slip of spelling, agreeing figures, shared words.
+    """Similarity of two headlines: a name in common, agreeing figures, frequent words in common by weight.
 
-    Above 0.7 only with the place, and with figures that agree (equal, or one the other rounded to one or two digits)
-    and a shared word, or with two shared words where one of them names no figure. Without places: shared words.
+    With a common name 0.7 and more if figures agree (equal within a hundredth, or one the other rounded to one or two
+    digits), 0.55 and more if one of them has none; the rest comes from the share of the lighter one's words that both
+    have (of its names, where one has no frequent words). Without names: the share of all their words. Figures that disagree, or names of which none is common: 0.
     """
-    x, y = a["name"], b["name"]
-    far = F.levenshtein(x, y, 2)
-    slip = ((F.abs(F.length(x) - F.length(y)) == 1) & (far == 1)) | (
-        (F.length(x) == F.length(y)) & (far == 2) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
-    )
-    place = (a["kind"] == b["kind"]) & ((x == y) | slip)
     none = (F.size(a["figures"]) == 0) | (F.size(b["figures"]) == 0)
     near = F.exists(a["figures"], lambda p: F.exists(b["figures"], lambda q: F.abs(p - q) <= F.greatest(p, q) * 0.01))
     agree = near | F.arrays_overlap(a["figures"], b["rounded"]) | F.arrays_overlap(a["rounded"], b["figures"])
-    figures = F.when(none, 0.1).when(agree, 0.25).otherwise(0.0)
-    shared = F.size(F.array_intersect(a["words"], b["words"]))
-    union = F.greatest(F.size(F.array_union(a["words"], b["words"])), F.lit(1))
-    words = 0.25 * F.least(shared / 2, F.lit(1.0)) + 0.04 * shared / union
-    placeless = x.isNull() & y.isNull()
-    return F.when(F.coalesce(place, F.lit(False)), 0.4 + figures + words).when(placeless & (none | agree), shared / union).otherwise(0.0)
+    shared = F.aggregate(F.array_intersect(a["words"], b["words"]), F.lit(0.0), lambda s, x: s + x["w"])
+    names = F.size(F.array_intersect(a["names"], b["names"])) / F.greatest(F.least(F.size(a["names"]), F.size(b["names"])), F.lit(1))
+    lighter = F.least(a["mass"], b["mass"])
+    part = F.when(lighter > 0, shared / F.greatest(lighter, F.lit(1e-9))).otherwise(names)
+    whole = shared / F.greatest(a["mass"] + b["mass"] - shared, F.lit(1e-9))
+    common = F.arrays_overlap(a["names"], b["names"])
+    nameless = (F.size(a["names"]) == 0) & (F.size(b["names"]) == 0)
+    known = F.when(agree, 0.7).when(none, 0.55) + 0.3 * F.least(part / 0.6, F.lit(1.0))
+    return F.coalesce(F.when(common, known).when(nameless & (none | agree), 0.1 + whole), F.lit(0.0))
+
+
+def _frequent(rows: DataFrame, n: int, share: float, least: int, most: int) -> dict[str, tuple[int, float]]:
+    """Number and weight (logarithm of inverse frequency) of the words that more than ``share`` of the rows have.
+
+    There are at most (distinct words of a row on average) / ``share`` of them, whatever the table's size; checked.
+    A word whose rows mostly agree on one figure is not among them: it names one event that many headlines report.
+    """
+    each = rows.select(F.explode("words").alias("w"), "rounded")
+    found = each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(least, share * n)).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} frequent words")
+    counts = {r.w: r.c for r in found}
+    known = rows.sparkSession.createDataFrame([(w,) for w in counts], "w string")
+    agreed = each.join(F.broadcast(known), "w").select("w", F.explode("rounded").alias("x")).groupBy("w", "x").agg(F.count(F.lit(1)).alias("c"))
+    top = {r.w: r.c for r in agreed.groupBy("w").agg(F.max("c").alias("c")).collect()}
+    kept = sorted(w for w, c in counts.items() if 2 * top.get(w, 0) <= c)
+    return {w: (i, math.log(n / counts[w])) for i, w in enumerate(kept)}
+
 
+def _split(words: Column, frequent, keep: float) -> tuple[Column, Column]:
+    """The words that aren't frequent, and the frequent ones with number and weight, the heaviest first."""
 
-def event_clusters(df: DataFrame, id: str, title: str, threshold: float = 0.7) -> DataFrame:
+    def names(lists: pa.Array) -> pa.Array:
+        known = frequent.value
+        return pa.array([[w for w in ws if w not in known] for ws in lists.to_pylist()], pa.list_(pa.string()))
+
+    def weighed(lists: pa.Array) -> pa.Array:
+        known = frequent.value
+        kind = pa.list_(pa.struct([("c", pa.int32()), ("w", pa.float64())]))
+        return pa.array([[{"c": c, "w": w} for w, c in sorted(((known[w][1], known[w][0]) for w in ws if w in known), key=lambda x: (-x[0], x[1]))] for ws in lists.to_pylist()], kind)
+
+    return F.arrow_udf(names, T.ArrayType(T.StringType()))(words), F.arrow_udf(weighed, _WEIGHED)(words)
+
+
+def _prefix(words: Column, mass: Column, threshold: float) -> Column:
+    """The heaviest words of a headline, as many as leave the others less than ``threshold`` of its weight.
+
+    Two headlines that share that much of all their words share one of these (prefix filtering).
+    """
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("k"))
+    step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(mass - a["s"] >= threshold * mass, F.array_append(a["k"], x["c"])).otherwise(a["k"]).alias("k"))
+    return F.aggregate(F.filter(words, lambda x: x["w"] > 0), start, step)["k"]
+
+
+def name_codes(rows: DataFrame) -> DataFrame:
+    """``id``, ``names``: hashes of the rare words of each row and, for each, of the more frequent ones it may be a slip of.
+
+    Each distinct name is spelled once. Per spelling the most frequent name is kept, so that no group is gathered.
+    """
+    each = rows.select("id", F.explode("rare").alias("t"))
+    counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    spelled = counts.select("t", "c", F.explode(spellings(F.col("t"))).alias("s")).withColumn("s", F.xxhash64("s"))
+    best = spelled.groupBy("s").agg(F.max(F.struct("c", "t")).alias("b"))
+    pairs = _join(spelled, best, "s").where(F.struct("c", "t") < F.col("b")).select("t", F.col("b.t").alias("u")).distinct()
+    meant = pairs.where(slip(F.col("t"), F.col("u"))).groupBy("t").agg(F.collect_set(F.xxhash64("u")).alias("u"))
+    coded = _join(each, meant, "t", "left").select("id", F.array_append(F.coalesce("u", F.array().cast("array<bigint>")), F.xxhash64("t")).alias("n"))
+    return coded.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("names"))
+
+
+def event_clusters(
+    df: DataFrame, id: str, title: str, threshold: float = 0.8, frequent_share: float = 0.01, least_frequent: int = 5, max_frequent: int = 100_000
+) -> DataFrame:
     """``id``, ``cluster``, ``size`` (number of ids) and ``typical`` (the medoid's title) of each id with a title.
 
     * Titles that are the same words are one record of the clustering, so copies cost nothing. The cluster's name is
       its medoid's smallest id.
     * Ids without title, and titles without words, are in no cluster. An id with several titles takes the smallest.
     * Repeated rows change nothing. An empty table gives an empty result; other columns are ignored.
+    * A word is frequent if more than ``frequent_share`` of the distinct titles, and more than ``least_frequent``, have
+      it, unless half of these have one figure in common; the others are names. Blocks are names: one of many rows is
+      an event of that size. Headlines without names meet by their heaviest words. Very long titles are read whole.
     """
+    spark = df.sparkSession
     one = df.where(F.col(id).isNotNull() & F.col(title).isNotNull()).groupBy(F.col(id).alias("item")).agg(F.min(title).alias("title"))
-    read = cut(one.withColumn("h", headlines(F.col("title"))).select("item", "title", "h.*").where("form <> ''"))
-    forms = read.groupBy("form").agg(F.min(F.struct("item", "title", "f", "keys")).alias("r"), F.count(F.lit(1)).alias("weight"))
-    rows = forms.select(F.col("r.item").alias("id"), "form", "weight", F.col("r.title").alias("title"), F.col("r.f").alias("f"), F.col("r.keys").alias("keys"))
-    rows = cut(rows)
-    found = cluster(rows.select("id", "weight", "keys", "f"), same_event, threshold)
-    named = _join(found, rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
-    by_form = _join(named, rows.select("id", "form"), "id").select("form", F.col("medoid").alias("cluster"), "size", "typical")
-    return _join(read.select("item", "form"), by_form, "form").select(F.col("item").alias("id"), "cluster", "size", "typical")
+    read = one.withColumn("h", headlines(F.col("title"))).select("item", "title", "h.*").where("form <> ''")
+    forms = read.groupBy(F.xxhash64("form").alias("form"), F.xxhash64(F.lit(2), "form").alias("form2")).agg(
+        F.min(F.struct("item", "title", "words", "figures", "rounded")).alias("r"), F.count(F.lit(1)).alias("weight")
+    )
+    rows = cut(forms.select(F.col("r.item").alias("id"), "form", "form2", "weight", "r.title", "r.words", "r.figures", "r.rounded"))
+    frequent = spark.sparkContext.broadcast(_frequent(rows, rows.count(), frequent_share, least_frequent, max_frequent))
+    rare, weighed = _split(F.col("words"), frequent, threshold)
+    parts = cut(rows.select("id", "weight", rare.alias("rare"), weighed.alias("words"), "figures", "rounded"))
+    named = _join(parts, name_codes(parts), "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<bigint>")))
+    mass = F.aggregate("words", F.lit(0.0), lambda s, x: s + x["w"])
+    ready = named.withColumn("mass", mass).select(
+        "id", "weight", F.struct("names", "words", "mass", "figures", "rounded").alias("f"),
+        F.when(F.size("names") > 0, F.col("names")).otherwise(F.transform(_prefix(F.col("words"), F.col("mass"), threshold - 0.1), lambda c: c.cast("bigint"))).alias("keys"),
+        F.concat("names", F.transform("words", lambda x: F.xxhash64(x["c"])), F.transform("figures", lambda x: F.xxhash64(x))).alias("traits"),
+    )
+    found = cluster(ready, same_event, threshold)
+    typical = _join(found, rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
+    by_form = _join(typical, rows.select("id", "form", "form2"), "id").select("form", "form2", F.col("medoid").alias("cluster"), "size", "typical")
+    items = read.select("item", F.xxhash64("form").alias("form"), F.xxhash64(F.lit(2), "form").alias("form2"))
+    return _join(items, by_form, ["form", "form2"]).select(F.col("item").alias("id"), "cluster", "size", "typical")

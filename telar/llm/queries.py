@@ -117,10 +117,12 @@ def p4_anotadores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of headlines that report one event."""
-    groups = cut(event_clusters(table(spark, sf_dir, "hoja_preetiquetado"), "id_noticia", "titulo").where("size > 1").select("id", "cluster"))
-    other = groups.select(F.col("id").alias("id_b"), "cluster")
-    return groups.join(other, "cluster").where("id < id_b").select(F.col("id").alias("id_a"), "id_b")
+    """The pairs of headlines that report one event; a large event's pairs are made in parts of its first members."""
+    groups = cut(event_clusters(table(spark, sf_dir, "hoja_preetiquetado"), "id_noticia", "titulo").where("size > 1").select("id", "cluster", "size"))
+    parts = F.ceil(F.col("size") / 1000).cast("int")
+    first = groups.select(F.col("id").alias("id_a"), "cluster", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    second = groups.select(F.col("id").alias("id_b"), "cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return first.join(second.hint("merge"), ["cluster", "part"]).where("id_a < id_b").select("id_a", "id_b")
 
 
 def p5_grupos(spark: SparkSession, sf_dir: str) -> DataFrame:

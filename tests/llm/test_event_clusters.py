@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from telar.llm.event_clusters import event_clusters, headline, pivot_clusters, spellings
+from telar.llm.event_clusters import event_clusters, headline, pivot_clusters, slip, spellings
 
 
 def groups(rows, id="id", name="cluster"):
@@ -14,6 +14,23 @@ def groups(rows, id="id", name="cluster"):
     return sorted(map(sorted, out.values()))
 
 
+OTHERS = {
+    "Corte de agua en {p} afecta a {n} familias, informa el Consejo": "agua", "Unas {n} familias de {p} siguen sin agua por una avería": "agua", "Avería deja sin agua potable a {n} familias de {p}": "agua",
+    "Incendio forestal en {p} consume {n} hectáreas": "fuego", "Bomberos combaten el incendio de {p}, que ya quemó {n} hectáreas": "fuego",
+}
+
+
+def background(events=60, seed=3):
+    """Headlines of other events, from which a word's frequency is learnt."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    rows = {}
+    for i in range(events):
+        place, kind, n = rng.choice(["Boca de ", "Villa ", "Isla "]) + name(), rng.choice(["agua", "fuego"]), rng.randrange(100, 9000)
+        rows |= {f"o{i}-{j}": t.format(p=place, n=n) for j, t in enumerate(t for t, k in OTHERS.items() if k == kind)}
+    return rows
+
+
 def test_events(spark):
     titles = {
         "a1": "Corte de agua en Boca de Tremiso afecta a 3.520 familias, informa el Consejo", "a2": "Unas 4.000 familias de Boca de Tremiso siguen sin agua por una avería",
@@ -21,10 +38,38 @@ def test_events(spark):
         "b1": "Incendio forestal en Boca de Tremiso consume 77 hectáreas", "b2": "Bomberos combaten el incendio de Boca de Tremiso, que ya quemó 77 hectáreas",
         "c1": "Corte de agua en Boca de Lagurri afecta a 3.520 familias, informa el Consejo", "d1": "Sin lugar ni cifra", "e1": None, "f1": "…",
     }
-    df = spark.createDataFrame([(k, t, "x", "y") for k, t in [*titles.items(), *titles.items()]], "id_noticia string, titulo string, cluster string, size string")
+    rows = {**titles, **background()}
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in [*rows.items(), *rows.items()]], "id_noticia string, titulo string, cluster string, size string")
     found = event_clusters(df, "id_noticia", "titulo").collect()
-    assert groups(found) == [["a1", "a2", "a3", "a4"], ["b1", "b2"], ["c1"], ["d1"]]
-    assert {r.size for r in found if r.id.startswith("a")} == {4} and all(r.typical in titles.values() for r in found)
+    own = [r for r in found if r.id[0] != "o"]
+    assert groups(own) == [["a1", "a2", "a3", "a4"], ["b1", "b2"], ["c1"], ["d1"]]
+    assert {r.size for r in own if r.id.startswith("a")} == {4} and all(r.typical in rows.values() for r in found)
+    assert groups(r for r in found if r.id[0] == "o") == groups({"id": k, "cluster": k.split("-")[0]} for k in rows if k[0] == "o")
+
+
+def test_one_event_of_a_third_of_all_headlines(spark):
+    """Its name is as frequent as the words that say what happened, but its headlines agree on a figure."""
+    rng = random.Random(8)
+    rows = background(60)
+    ways = [t for t, k in OTHERS.items() if k == "agua"]
+    rows |= {f"h-{i}": ways[i % 3].format(p="Isla Romeluda", n=812) + rng.choice(["", f", {i} veces", f" y {i} más"]) for i in range(80)}
+    df = spark.createDataFrame(list(rows.items()), "id string, titulo string")
+    found = groups(r for r in event_clusters(df, "id", "titulo").collect())
+    assert found == groups({"id": k, "cluster": k.split("-")[0]} for k in rows)
+
+
+def test_headlines_without_names(spark):
+    """No names, no figures, and one word that all have: headlines of mostly the same words are one group."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in ("per", "tal", "mon", "ris") for b in ("ba", "du", "ne") for c in ("lo", "ma", "sa")]
+    topics = [rng.sample(words, 8) for _ in range(40)]
+    rows = [(f"t{i}-{j}", " ".join(["siempre", *rng.sample(t, 8)][: 9 - j % 2])) for i, t in enumerate(topics) for j in range(6)]
+    found = event_clusters(spark.createDataFrame(rows, "id string, titulo string"), "id", "titulo").collect()
+    got = {r.id: r.cluster for r in found}
+    same = lambda i: i.split("-")[0]
+    hits = [(same(a) == same(b), got[a] == got[b]) for a, b in combinations(sorted(got), 2)]
+    both = sum(x and y for x, y in hits)
+    assert len(got) == 240 and both >= 0.9 * sum(x for x, _ in hits) and both >= 0.95 * sum(y for _, y in hits)
 
 
 def test_empty_and_long(spark):
@@ -66,15 +111,14 @@ def test_no_row_is_left_after_the_single_rounds(spark):
     assert all(r.id == r.pivot for r in pivot_clusters(apart, near, 0.98, 2).collect()) and pivot_clusters(apart, near, 0.98, 2).count() == 150
 
 
-def test_spellings_meet():
+def test_spellings_meet(spark):
     base = "trumelite"
-    wrong = ["trumeliet", "trumellite", "trumelte", "trumelit"]
-    assert all(set(spellings(base)) & set(spellings(w)) for w in wrong)
-    assert not set(spellings(base)) & set(spellings("trumovite"))
-    import re
-
-    h = headline("&quot;Isla Bonita&quot;: 1.250 casas y 3,5 metros", re.compile(r"\b(isla)\s+(\w+)"))
-    assert h["f"]["kind"] == "isla" and h["f"]["name"] == "bonita" and h["f"]["figures"] == [3.5, 1250.0] and 1000.0 in h["f"]["rounded"]
+    words = [base, "trumeliet", "trumellite", "trumelte", "trumelit", "trumovite", "ab"]
+    got = {r.w: (set(r.s), r.same) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", spellings(F.col("w")).alias("s"), slip(F.col("w"), F.lit(base)).alias("same")).collect()}
+    assert all(got[base][0] & got[w][0] and got[w][1] for w in words[1:5])
+    assert not got[base][0] & got["trumovite"][0] and not got["trumovite"][1] and got["ab"][0] == {"ab"}
+    h = headline("&quot;Isla Bonita&quot;: 1.250 casas y 3,5 metros")
+    assert h["words"] == ["bonita", "casas", "isla", "metros"] and h["figures"] == [3.5, 1250.0] and 1000.0 in h["rounded"] and h["form"] == "isla bonita 1 250 casas y 3 5 metros"
 
 
 def test_pairs_query_has_no_pair_twice(spark, tmp_path):
