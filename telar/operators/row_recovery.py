@@ -6,8 +6,10 @@ The grammar is read by recursive descent::
     record := field ("," field)*
     field  := '"' (any character but '"' | '""')* '"'  |  (any character but '"' and ",")*
 
-After a broken quote the parser resumes at the next record-start anchor: a line that begins like a record and
-reads as a whole record of the expected width. Each line between is a fault with its place and reason.
+After a broken quote the parser resumes at the next record-start anchor. In whole files (``parse_text``) that is a line
+that begins like a record and reads as a whole record of the expected width, and each line between is a fault with its
+place and reason; in tables of lines (``parse_lines``) a block of lines is one text and its lines' beginnings are the
+anchors.
 """
 
 from __future__ import annotations
@@ -32,10 +34,14 @@ class Fault(Exception):
 
 @dataclass
 class Grammar:
-    """Recursive descent over one text. ``newline`` ends a record outside quotes; None: the text is one record."""
+    """Recursive descent over one text. ``newline`` ends a record outside quotes; None: the text is one record.
+
+    ``limit`` is where the next record is known to begin: a quote that isn't closed before it is never closed.
+    """
 
     text: str
     newline: str | None = None
+    limit: int | None = None
 
     def __post_init__(self) -> None:
         self.stops = re.compile('[",]' if self.newline is None else f'[",{self.newline}]')
@@ -55,7 +61,7 @@ class Grammar:
     def quoted(self, at: int) -> tuple[str, int]:
         opened, parts, at = at, [], at + 1
         while True:
-            close = self.text.find('"', at)
+            close = self.text.find('"', at, self.limit)
             if close < 0:
                 raise Fault(opened, "comillas sin cerrar")
             parts.append(self.text[at:close])
@@ -65,9 +71,10 @@ class Grammar:
                 continue
             at = close + 1
             rest = self.text[at : at + 2]
-            if rest[:1] not in ("", ",", self.newline) and not (self.newline and rest == "\r" + self.newline):
+            returned = self.newline == "\n" and rest == "\r\n"
+            if rest[:1] not in ("", ",", self.newline) and not returned:
                 raise Fault(at, "texto tras las comillas de cierre")
-            return "".join(parts), at + (1 if self.newline and rest == "\r" + self.newline else 0)
+            return "".join(parts), at + returned
 
     def bare(self, at: int) -> tuple[str, int]:
         found = self.stops.search(self.text, at)
@@ -180,29 +187,43 @@ INDICATORS = Contract(
 )
 CONTRACTS = {"noticias": NEWS, "indicadores": INDICATORS}
 
+def parse_lines(lines: list[str | None]) -> Iterator[tuple[list[str | None] | None, int | None, str | None]]:
+    """(fields or None, place of the fault in the line, reason) of each line of a block, read as one text.
+
+    The lines' beginnings are the record-start anchors. An anchor is valid if the record before it ends there; after a
+    broken quote parsing resumes at the next one, so that a quote costs its own line only. A final carriage return is
+    ignored, line breaks inside quotes are data.
+    """
+    texts = [(line or "").removesuffix("\r") for line in lines]
+    whole = "".join(texts)
+    # Records end with a character that no line holds.
+    end = next(c for c in map(chr, range(0x1E, 0x110000)) if c not in whole and c not in '",]\\^-')
+    grammar, at = Grammar(end.join([*texts, ""]), end), 0
+    for line, text in zip(lines, texts):
+        grammar.limit = at + len(text)
+        try:
+            if line is None:
+                raise Fault(at, "línea nula")
+            values, stop = grammar.record(at)
+            if stop != grammar.limit:
+                raise Fault(stop, "texto tras el registro")
+            yield values, None, None
+        except Fault as fault:
+            yield None, fault.at - at, fault.reason
+        at = grammar.limit + 1
+
+
 _PARSED = T.StructType().add("fields", T.ArrayType(T.StringType())).add("at", T.IntegerType()).add("reason", T.StringType())
+BLOCK_LINES = 2000
 
 
 @F.arrow_udf(_PARSED)
-def _parse_line(lines: pa.Array) -> pa.Array:
-    """One record per line; a final carriage return is ignored, line breaks inside quotes are data."""
-    fields, places, reasons = [], [], []
-    for line in lines.to_pylist():
-        at = reason = values = None
-        if line is None:
-            at, reason = 0, "línea nula"
-        else:
-            line = line.removesuffix("\r")
-            if '"' not in line:
-                values = [v.strip() or None for v in line.split(",")]
-            else:
-                try:
-                    values, _ = Grammar(line).record(0)
-                except Fault as fault:
-                    at, reason = fault.at, fault.reason
-        fields.append(values)
-        places.append(at)
-        reasons.append(reason)
+def _parse_block(lines: pa.Array) -> pa.Array:
+    """The records of a batch of lines, in blocks of at most ``BLOCK_LINES``."""
+    every, found = lines.to_pylist(), []
+    for i in range(0, len(every), BLOCK_LINES):
+        found.extend(parse_lines(every[i : i + BLOCK_LINES]))
+    fields, places, reasons = zip(*found) if found else ((), (), ())
     return pa.StructArray.from_arrays(
         [pa.array(fields, pa.list_(pa.string())), pa.array(places, pa.int32()), pa.array(reasons, pa.string())], ["fields", "at", "reason"]
     )
@@ -274,11 +295,11 @@ def load_lines(df: DataFrame, id: str, contract: str, file: str, position: str,
       lines at the same position don't exclude each other. Repeated rows keep their ids and are judged by position.
     * Very long lines are parsed whole. An empty table gives empty results; other columns are ignored.
 
-    The first position per (file, key) is found by a grouped minimum, so a key that fills a third of the rows is
+    Each Arrow batch is read by the recovering grammar in blocks of lines (``parse_lines``). The first position per (file, key) is found by a grouped minimum, so a key that fills a third of the rows is
     reduced before the shuffle. The parsed lines are written to the checkpoint folder once: both passes read them.
     """
     lines = df.select(
-        F.col(id).alias("id"), F.col(contract).alias("contract"), F.col(file).alias("file"), F.col(position).alias("position"), _parse_line(F.col(line)).alias("p")
+        F.col(id).alias("id"), F.col(contract).alias("contract"), F.col(file).alias("file"), F.col(position).alias("position"), _parse_block(F.col(line)).alias("p")
     )
     checked = F.array(F.struct(F.lit("estructura_invalida").alias("tipo_error"), F.lit("contrato desconocido").alias("motivo")))
     key = F.lit(None).cast("array<string>")

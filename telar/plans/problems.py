@@ -60,7 +60,7 @@ FROM h GROUP BY tema, pata
 _FIELD = '("([^"]|"")*"|[^",]*)'
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(8195) || chr(8239) || chr(12288)"
 _P6 = """
-WITH l AS (SELECT id_linea, contrato, archivo, fila, regexp_replace(linea, '\\r$', '') AS t FROM filas_crudas),
+WITH l AS (SELECT id_linea, contrato, archivo, fila, linea, regexp_replace(linea, '\\r$', '') AS t FROM filas_crudas),
 s AS (SELECT *, CASE contrato WHEN 'noticias' THEN 11 ELSE 9 END AS ancho,
         coalesce(regexp_full_match(t, '(?s)FIELD(,FIELD)*'), false) AS bien FROM l),
 x AS (SELECT *, CASE WHEN bien THEN list_transform(regexp_extract_all(',' || t, '(?s),("(?:[^"]|"")*"|[^",]*)', 1),
@@ -86,6 +86,42 @@ SELECT DISTINCT id_linea, tipo_error FROM (
   UNION ALL SELECT id_linea, 'url_mal_formada' FROM c WHERE e3 UNION ALL SELECT id_linea, 'fecha_invalida' FROM c WHERE e4
   UNION ALL SELECT id_linea, 'valor_invalido' FROM c WHERE e5 UNION ALL SELECT id_linea, 'id_duplicado' FROM d WHERE dup)
 """
+_P6_COLUMNS = {
+    "es": "id_noticia titulo url medio idioma fecha_publicacion fecha_deteccion fecha_extraccion tema origen alcance_texto".split(),
+    "NOT es": "id_indicador pais_iso3 indicador_id anio valor unidad fuente_url fecha_extraccion licencia".split(),
+}
+_WRONG_DATE = "(f[{i}] IS NOT NULL AND NOT (regexp_full_match(f[{i}], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z') AND f[{i}] NOT LIKE '0000%' AND f[{i}][18:19] < '60' AND f[{i}][12:13] < '24' AND try_strptime(f[{i}], '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL))"
+
+
+def _motives(test: str, *columns: str) -> str:
+    """SQL for the names, in order, of the columns for which a test (of ``f[i]``) holds, by contract."""
+    each = [f"CASE WHEN {which} AND {test.format(i=names.index(c) + 1)} THEN '{c}' END" for which, names in _P6_COLUMNS.items() for c in columns if c in names]
+    return f"concat_ws(', ', {', '.join(each)})"
+
+
+ORACLE["p6_errores"] = _P6 + f""",
+r AS (SELECT *, regexp_extract(t, '(?s)^((?:{_FIELD},)*)', 1) AS antes FROM a WHERE rota),
+o AS (SELECT *, t[length(antes) + 1:] AS resto FROM r),
+m AS (SELECT id_linea, archivo, fila, 'estructura_invalida' AS tipo_error, CASE
+    WHEN linea IS NULL THEN 'línea nula en el carácter 1'
+    WHEN contrato IS NULL OR contrato NOT IN ('noticias', 'indicadores') THEN 'contrato desconocido'
+    WHEN bien THEN len(f) || ' campos en vez de ' || ancho
+    WHEN resto NOT LIKE '"%' THEN 'comillas dentro de un campo sin comillas en el carácter ' || (length(antes) + instr(resto, '"'))
+    WHEN regexp_full_match(resto, '(?s)"([^"]|"")*') THEN 'comillas sin cerrar en el carácter ' || (length(antes) + 1)
+    ELSE 'texto tras las comillas de cierre en el carácter ' || (length(antes) + length(regexp_extract(resto, '(?s)^"([^"]|"")*"')) + 1) END AS motivo
+  FROM o),
+q AS (SELECT * FROM m
+  UNION ALL SELECT id_linea, archivo, fila, 'obligatorio_vacio', concat_ws(', ', nullif({_motives("f[{i}] IS NULL", "id_noticia", "titulo", "url", "medio", "pais_iso3", "indicador_id", "anio", "unidad", "fuente_url")}, ''),
+      CASE WHEN NOT es AND f[8] IS NULL THEN 'fecha_extraccion' END, CASE WHEN NOT es AND f[9] IS NULL THEN 'licencia' END,
+      CASE WHEN es AND f[6] IS NULL AND f[7] IS NULL THEN 'fecha_publicacion y fecha_deteccion' END) FROM c WHERE e1
+  UNION ALL SELECT id_linea, archivo, fila, 'id_formato_invalido', CASE WHEN es THEN 'id_noticia' ELSE 'id_indicador' END FROM c WHERE e2
+  UNION ALL SELECT id_linea, archivo, fila, 'url_mal_formada', CASE WHEN es THEN 'url' ELSE 'fuente_url' END FROM c WHERE e3
+  UNION ALL SELECT id_linea, archivo, fila, 'fecha_invalida', {_motives(_WRONG_DATE, "fecha_publicacion", "fecha_deteccion", "fecha_extraccion")} FROM c WHERE e4
+  UNION ALL SELECT id_linea, archivo, fila, 'valor_invalido', concat_ws(', ', CASE WHEN NOT regexp_full_match(f[2], '[A-Z]{{3}}') THEN 'pais_iso3' END,
+      CASE WHEN NOT regexp_full_match(f[5], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'valor' END, CASE WHEN NOT (regexp_full_match(f[4], '[0-9]{{4}}') AND f[4] BETWEEN '1960' AND '2100') THEN 'anio' END) FROM c WHERE e5
+  UNION ALL SELECT id_linea, archivo, fila, 'id_duplicado', 'ya está en la fila ' || primera FROM (SELECT *, min(fila) OVER (PARTITION BY contrato, archivo, k) AS primera FROM ok) WHERE primera < fila)
+SELECT * FROM q
+"""
 ORACLE["p6_validas_indicadores"] = _P6 + """
 SELECT id_linea, archivo, fila, f[1] AS id_indicador, f[2] AS pais_iso3, f[3] AS indicador_id, CAST(f[4] AS INTEGER) AS anio, CAST(f[5] AS DOUBLE) AS valor,
   f[6] AS unidad, f[7] AS fuente_url, CAST(f[8] AS TIMESTAMPTZ) AS fecha_extraccion, f[9] AS licencia FROM d WHERE NOT dup AND NOT es

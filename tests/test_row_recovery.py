@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from telar.operators.row_recovery import INDICATORS, NEWS, Fault, Grammar, load_lines, parse_text, read_files
+from telar.operators.row_recovery import INDICATORS, NEWS, Fault, Grammar, load_lines, parse_lines, parse_text, read_files
 
 GOOD = 'NOT-0123456789,"Agua, ""luz"" y más",https://d.example/a,Diario,es,2026-06-01T00:00:00Z,,2026-06-02T00:00:00Z,agua,RSS,titular'
 IND = "IND-PAN-IX.A-2020,PAN,IX.A,2020,1.5e3,%,https://d.example/b,2026-06-02T00:00:00Z,CC"
@@ -110,3 +110,28 @@ def test_recovery_in_whole_files(spark, tmp_path):
     rows = read_files(spark, str(tmp_path / "a.csv"), NEWS, header=True).collect()
     assert [r.fields[0] if r.fields else None for r in rows][:4] == ["NOT-0123456789", None, "NOT-1123456789", "NOT-2123456789"]
     assert len(INDICATORS.columns) == 9
+
+
+def test_a_quote_over_several_lines_costs_its_own_line_only(spark):
+    broken, odd = GOOD.replace('"Agua, ""luz"" y más"', '"Agua'), GOOD.replace("NOT-0123456789", "X-1")
+    inside = GOOD.replace("0123456789", "2123456789").replace("y más", "y\nNOT-9123456789,más")
+    rows = [broken, odd, 'tres,"campos",x"', inside, broken + '"', GOOD]
+    assert kinds(spark, [("noticias", "f", i, r) for i, r in enumerate(rows)]) == [
+        (1, "estructura_invalida"), (2, "id_formato_invalido"), (3, "estructura_invalida"), (5, "estructura_invalida"),
+    ]
+    motives = {r.id: r.motivo for r in loaded(spark, [("noticias", "f", i, r) for i, r in enumerate(rows)]).errors.collect()}
+    assert motives[1] == "comillas sin cerrar en el carácter 16" and motives[3] == "comillas dentro de un campo sin comillas en el carácter 16"
+
+
+@settings(max_examples=300)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet='ab,"\n\r\x1e é', max_size=12)), max_size=6))
+def test_a_block_reads_each_line_as_it_would_be_read_alone(block):
+    def alone(line):
+        if line is None:
+            return None, 0
+        try:
+            return Grammar(line.removesuffix("\r")).record(0)[0], None
+        except Fault as fault:
+            return None, fault.at
+
+    assert [(fields, at) for fields, at, _ in parse_lines(block)] == [alone(line) for line in block]
