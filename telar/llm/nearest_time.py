@@ -12,29 +12,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telar.session import shuffle_partitions
+from telar.session import cut
 
 _ASOF = """
 WITH q AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM l),
-     b AS (SELECT q.n, q.__row AS k, r.__id AS id, q.__t - r.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t >= r.__t),
-     f AS (SELECT q.n, q.__row AS k, r.__id AS id, r.__t - q.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t <= r.__t)
-SELECT coalesce(b.k, f.k) AS row_id, CASE WHEN f.d IS NULL OR b.d <= f.d THEN b.id ELSE f.id END AS match_id,
-       CAST(least(b.d, f.d) AS BIGINT) AS distance_us
-FROM b FULL JOIN f ON b.n = f.n WHERE least(b.d, f.d) <= {tolerance}
+     b AS (SELECT q.n, q.__row AS k, q.__key AS key, q.__copies AS copies, r.__id AS id, r.__t AS t, q.__t - r.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t >= r.__t),
+     f AS (SELECT q.n, q.__row AS k, q.__key AS key, q.__copies AS copies, r.__id AS id, r.__t AS t, r.__t - q.__t AS d FROM q ASOF JOIN r ON q.__cell = r.__cell AND q.__t <= r.__t),
+     x AS (SELECT coalesce(b.k, f.k) AS row_id, coalesce(b.key, f.key) AS key, coalesce(b.copies, f.copies) AS copies, f.d IS NULL OR b.d <= f.d AS before,
+                  b.id AS bid, f.id AS fid, b.t AS bt, f.t AS ft, CAST(least(b.d, f.d) AS BIGINT) AS distance_us FROM b FULL JOIN f ON b.n = f.n)
+SELECT row_id, CASE WHEN before THEN bid ELSE fid END AS match_id, distance_us, CASE WHEN before THEN bt ELSE ft END AS match_t, key, copies
+FROM x WHERE distance_us <= {tolerance}
 """
 
 
 @lru_cache(maxsize=1)
 def _connection():
-    """One DuckDB per Python worker."""
+    """One DuckDB per Python worker, which never spills: its groups are bounded."""
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
 
 
 def nearest_in_time(
     left: DataFrame, right: DataFrame, row: str, entity: str, time: str, right_id: str, right_entity: str, right_time: str,
-    tolerance_s: int, cell_s: int = 86_400, cell_rows: int = 100_000, groups: int | None = None,
+    tolerance_s: int, cell_s: int = 86_400, cell_rows: int = 100_000, group_rows: int = 100_000,
 ) -> DataFrame:
     """``row_id``, ``match_id`` and ``distance_us`` of each left row that has a right row of its entity within ``tolerance_s``.
 
@@ -42,12 +43,12 @@ def nearest_in_time(
     * The tolerance is inclusive. Rows without row, id, entity or time on either side take part in no pair.
     * Repeated left rows each give a row. Empty tables give an empty result. Other columns are ignored.
 
-    A right row is sent to the cells it can reach, ``2 * tolerance / cell + 1`` of them. Cells of more than
-    ``cell_rows`` left rows (an entity that holds a third of all rows, a burst) are split by a hash of the row and
-    get their right rows in each part. ``groups`` (default four per shuffle partition) is the number of Arrow groups.
+    A right row is sent to the cells it can reach, ``2 * tolerance / cell + 1`` of them. The rows of each cell are
+    counted on both sides: a cell of more than ``cell_rows`` left rows (an entity that holds a third of all rows, a
+    burst) is split by a hash of the row and gets its right rows in each part; one of more than ``cell_rows`` right rows
+    is split by a hash of these, its left rows go to each part, and the nearest of the parts' answers is taken. There is
+    a group for every ``group_rows`` rows counted, so that a task's size doesn't depend on the table's.
     """
-    spark = left.sparkSession
-    groups = groups or 4 * shuffle_partitions(spark)
     size, reach = cell_s * 1_000_000, tolerance_s * 1_000_000
 
     def cell(micros: Column) -> Column:
@@ -62,17 +63,22 @@ def nearest_in_time(
         .where("__id is not null and __e is not null and __t is not null").groupBy("__e", "__t").agg(F.min("__id").alias("__id"))
         .withColumn("__c", F.explode(F.sequence(cell(F.col("__t") - reach), cell(F.col("__t") + reach))))
     )
-    hot = (
-        queries.groupBy("__e", "__c").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows)
-        .select("__e", "__c", F.ceil(F.col("__n") / cell_rows).cast("int").alias("__parts"))
-    )
-    parts = F.coalesce("__parts", F.lit(1))
-    queries = queries.join(hot, ["__e", "__c"], "left").withColumn("__part", F.pmod(F.xxhash64("__row"), parts).cast("int"))
-    points = points.join(hot, ["__e", "__c"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = queries.select("__e", "__c", one.alias("l"), none.alias("r")).union(points.select("__e", "__c", none.alias("l"), one.alias("r")))
+    counts = cut(both.groupBy("__e", "__c").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 and r > 0"))
+    total = counts.agg(F.coalesce(F.sum(F.col("l") + F.col("r")), none)).first()[0]
+    groups = max(1, -(-total // group_rows))
+    share = lambda n: F.greatest(F.ceil(F.col(n) / cell_rows).cast("int"), F.lit(1))
+    # Cells that only one side has are left out here; the others know how they are split.
+    split = counts.select("__e", "__c", share("l").alias("__lparts"), share("r").alias("__rparts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    queries = queries.join(split, ["__e", "__c"]).withColumn("__l", own("__row", "__lparts")).withColumn("__r", every("__rparts"))
+    points = points.join(split, ["__e", "__c"]).withColumn("__r", own("__id", "__rparts")).withColumn("__l", every("__lparts"))
 
     def placed(df: DataFrame, *columns: str) -> DataFrame:
-        key = F.xxhash64("__e", "__c", "__part")
-        name = F.concat_ws("\u0001", F.col("__e").cast("string"), "__c", "__part")
+        key = F.xxhash64("__e", "__c", "__l", "__r")
+        name = F.concat_ws("\u0001", F.col("__e").cast("string"), "__c", "__l", "__r")
         return df.select(*columns, "__t", name.alias("__cell"), F.pmod(key, F.lit(groups)).alias("__group"))
 
     query = _ASOF.format(tolerance=reach)
@@ -86,15 +92,27 @@ def nearest_in_time(
         con.unregister("r")
         return found.cast(schema)
 
-    types = {"row_id": left.schema[row].dataType, "match_id": right.schema[right_id].dataType}
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()] + [("distance_us", pa.int64())])
-    ddl = ", ".join([f"{n} {t.simpleString()}" for n, t in types.items()] + ["distance_us bigint"])
-    return (
-        placed(queries, "__row").groupBy("__group")
-        .cogroup(placed(points, "__id").groupBy("__group")).applyInArrow(asof, ddl)
-    )
+    types = {"row_id": left.schema[row].dataType, "match_id": right.schema[right_id].dataType}
+    extra = {"match_t": "bigint", "key": "bigint", "copies": "bigint"}
+    schema = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()] + [("distance_us", pa.int64()), *[(n, pa.int64()) for n in extra]])
+    ddl = ", ".join([f"{n} {t.simpleString()}" for n, t in types.items()] + ["distance_us bigint", *[f"{n} {k}" for n, k in extra.items()]])
+
+    def pairs(queries: DataFrame, points: DataFrame) -> DataFrame:
+        left_side, right_side = placed(queries, "__row", "__key", "__copies"), placed(points, "__id")
+        return left_side.groupBy("__group").cogroup(right_side.groupBy("__group")).applyInArrow(asof, ddl)
+
+    plain = queries.where("__rparts = 1").withColumns({"__key": none, "__copies": one})
+    found = pairs(plain, points.where("__rparts = 1")).select("row_id", "match_id", "distance_us")
+    if counts.where(F.col("r") > cell_rows).isEmpty():
+        return found
+    # Cells of many right rows: left rows that repeat are one until the parts' answers have been compared.
+    crowded = queries.where("__rparts > 1").groupBy("__row", "__e", "__t", "__c", "__l", "__r").agg(F.count(one).alias("__copies"))
+    parts = pairs(crowded.withColumn("__key", F.xxhash64("__e", "__t")), points.where("__rparts > 1"))
+    nearest = F.min(F.struct("distance_us", "match_t", "match_id"))
+    best = parts.groupBy("row_id", "key").agg(nearest.alias("b"), F.max("copies").alias("n"))
+    return found.union(best.select("row_id", "b.match_id", "b.distance_us", F.explode(F.sequence(one, F.col("n"))).alias("k")).drop("k"))
 
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()

@@ -30,13 +30,24 @@ def brute(left, right, tolerance):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cell_rows", [100_000, 5])
-def test_against_brute_force(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows, group_rows", [(100_000, 100_000), (5, 100_000), (40, 10), (5, 7)])
+def test_against_brute_force(spark, cell_rows, group_rows):
     rng = random.Random(3)
     moment = lambda: T0 + timedelta(seconds=rng.randrange(400_000))
     left = [(i, rng.choice("AAAAB"), moment(), "x") for i in range(300)]
     right = [(f"q{i}", rng.choice("AAB"), moment()) for i in range(60)]
-    assert pair(*frames(spark, left, right), tolerance=7200, cell_rows=cell_rows) == brute(left, right, 7200)
+    left += left[:20] * 2
+    assert pair(*frames(spark, left, right), tolerance=7200, cell_rows=cell_rows, group_rows=group_rows) == brute(left, right, 7200)
+
+
+def test_a_cell_of_many_right_rows_is_many_groups(spark):
+    """A million quakes in one zone and day are split by their hash, and the nearest of all parts is found."""
+    b = spark.range(1_000_000).select(F.concat(F.lit("q"), "id").alias("d"), F.lit("A").alias("e"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") * F.lit(0.05))).alias("t"))
+    times = [T0 + timedelta(seconds=s) for s in (0, 10.01, 49_999.94, 60_000)]
+    a = spark.createDataFrame([(i, "A", t, "x") for i, t in enumerate(times)] + [(0, "A", times[0], "x")], "k long, e string, t timestamp, d string")
+    found = nearest_in_time(a, b, "k", "e", "t", "d", "e", "t", 3600, cell_rows=50_000, group_rows=50_000)
+    got = sorted((r.row_id, r.match_id, r.distance_us) for r in found.collect())
+    assert got == [(0, "q0", 0), (0, "q0", 0), (1, "q200", 10_000), (2, "q999999", 10_000)]
 
 
 def test_ties_border_nulls_and_repeats(spark):
