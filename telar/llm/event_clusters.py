@@ -136,15 +136,17 @@ def medoids(df: DataFrame, clusters: DataFrame) -> DataFrame:
 def cluster(df: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
     """``id``, ``medoid`` (the cluster's name), ``size`` for rows (id, weight, keys, f, traits); see the module."""
     df = cut(df.withColumn("order", F.xxhash64("id")))
-    first = cut(closest_pivot(df, cut(pivot_clusters(df, similarity, threshold)), similarity, threshold))
+    slim = df.select("id", "order", "keys", "f")
+    first = cut(closest_pivot(slim, cut(pivot_clusters(slim, similarity, threshold)), similarity, threshold))
     centres = cut(medoids(df, first))
-    upper = _join(df.drop("order", "weight"), centres.select(F.col("medoid").alias("id"), (-F.col("size")).alias("order")), "id")
-    joined = pivot_clusters(upper, similarity, threshold)
-    merged = (
-        _join(first, centres.select("pivot", "medoid"), "pivot").select(F.col("id").alias("member"), F.col("medoid").alias("id"))
-    )
-    merged = cut(_join(merged, joined, "id").select(F.col("member").alias("id"), "pivot"))
-    return _join(merged, medoids(df, merged), "pivot").select("id", "medoid", "size")
+    upper = _join(slim.drop("order"), centres.select(F.col("medoid").alias("id"), (-F.col("size")).alias("order")), "id")
+    joined = pivot_clusters(upper, similarity, threshold).select(F.col("id").alias("medoid"), F.col("pivot").alias("root"))
+    merged = cut(_join(first, _join(centres, joined, "medoid"), "pivot").select("id", F.col("root").alias("pivot"), "medoid", "size"))
+    # Only clusters that were joined have a new medoid.
+    grown = merged.where("pivot <> medoid").select("pivot").distinct()
+    again = _join(merged.select("id", "pivot"), grown, "pivot", "left_semi")
+    new = _join(again, medoids(df, again), "pivot").select("id", "medoid", "size")
+    return new.union(_join(merged, grown, "pivot", "left_anti").select("id", "medoid", "size"))
 
 
 _FIGURE = re.compile(r"\d+(?:[.,]\d{3})*(?:[.,]\d+)?")
@@ -205,7 +207,7 @@ def same_event(a: Column, b: Column) -> Column:
     """Similarity of two headlines: a name in common, agreeing figures, frequent words in common by weight.
 
     With a common name 0.7 and more if figures agree (equal within a hundredth, or one the other rounded to one or two
-    digits), 0.55 and more if one of them has none; the rest comes from the share of the lighter one's words that both
+    digits), 0.5 and more if one of them has none; the rest comes from the share of the lighter one's words that both
     have (of its names, where one has no frequent words). Without names: the share of all their words. Figures that disagree, or names of which none is common: 0.
     """
     none = (F.size(a["figures"]) == 0) | (F.size(b["figures"]) == 0)
@@ -218,7 +220,7 @@ def same_event(a: Column, b: Column) -> Column:
     whole = shared / F.greatest(a["mass"] + b["mass"] - shared, F.lit(1e-9))
     common = F.arrays_overlap(a["names"], b["names"])
     nameless = (F.size(a["names"]) == 0) & (F.size(b["names"]) == 0)
-    known = F.when(agree, 0.7).when(none, 0.55) + 0.3 * F.least(part / 0.6, F.lit(1.0))
+    known = F.when(agree, 0.7 + 0.3 * F.least(part / 0.4, F.lit(1.0))).when(none, 0.5 + 0.5 * F.least(part / 0.8, F.lit(1.0)))
     return F.coalesce(F.when(common, known).when(nameless & (none | agree), 0.1 + whole), F.lit(0.0))
 
 
@@ -295,8 +297,9 @@ def event_clusters(
     """
     spark = df.sparkSession
     one = df.where(F.col(id).isNotNull() & F.col(title).isNotNull()).groupBy(F.col(id).alias("item")).agg(F.min(title).alias("title"))
-    read = one.withColumn("h", headlines(F.col("title"))).select("item", "title", "h.*").where("form <> ''")
-    forms = read.groupBy(F.xxhash64("form").alias("form"), F.xxhash64(F.lit(2), "form").alias("form2")).agg(
+    codes = [F.xxhash64("h.form").alias("form"), F.xxhash64(F.lit(2), "h.form").alias("form2")]
+    read = cut(one.withColumn("h", headlines(F.col("title"))).where("h.form <> ''").select("item", "title", *codes, "h.words", "h.figures", "h.rounded"))
+    forms = read.groupBy("form", "form2").agg(
         F.min(F.struct("item", "title", "words", "figures", "rounded")).alias("r"), F.count(F.lit(1)).alias("weight")
     )
     rows = cut(forms.select(F.col("r.item").alias("id"), "form", "form2", "weight", "r.title", "r.words", "r.figures", "r.rounded"))
@@ -308,10 +311,9 @@ def event_clusters(
     ready = named.withColumn("mass", mass).select(
         "id", "weight", F.struct("names", "words", "mass", "figures", "rounded").alias("f"),
         F.when(F.size("names") > 0, F.col("names")).otherwise(F.transform(_prefix(F.col("words"), F.col("mass"), threshold - 0.1), lambda c: c.cast("bigint"))).alias("keys"),
-        F.concat("names", F.transform("words", lambda x: F.xxhash64(x["c"])), F.transform("figures", lambda x: F.xxhash64(x))).alias("traits"),
+        F.concat("names", F.transform(F.slice("words", 1, 6), lambda x: F.xxhash64(x["c"])), F.transform("figures", lambda x: F.xxhash64(x))).alias("traits"),
     )
     found = cluster(ready, same_event, threshold)
     typical = _join(found, rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
     by_form = _join(typical, rows.select("id", "form", "form2"), "id").select("form", "form2", F.col("medoid").alias("cluster"), "size", "typical")
-    items = read.select("item", F.xxhash64("form").alias("form"), F.xxhash64(F.lit(2), "form").alias("form2"))
-    return _join(items, by_form, ["form", "form2"]).select(F.col("item").alias("id"), "cluster", "size", "typical")
+    return _join(read.select("item", "form", "form2"), by_form, ["form", "form2"]).select(F.col("item").alias("id"), "cluster", "size", "typical")
