@@ -55,7 +55,7 @@ def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(
-    items: DataFrame, containers: DataFrame, id: str, size: str, name: str, capacity: str, bucket_items: int = 20_000, max_kinds: int = 1000,
+    items: DataFrame, containers: DataFrame, id: str, size: str, name: str, capacity: str, bucket_pieces: int = 20_000, max_kinds: int = 1000,
 ) -> DataFrame:
     """``container`` (of ``containers.name``), ``bin``, ``id``, ``part``, ``from_token``, ``to_token``, ``size`` of each piece.
 
@@ -64,22 +64,29 @@ def pack(
     * Items of null or no size are left out: there is nothing to place. Repeated ids are items of their own.
     * Containers without a positive capacity take nothing. An empty table gives an empty result.
 
-    Buckets are hashes of the id and part. Their number follows the number of items, counted once, so that one bucket
-    holds about ``bucket_items``. ``max_kinds`` bounds the kinds of container and is checked.
+    Buckets are hashes of the id and part. Their number follows the number of pieces, summed once for each kind of
+    container, so that one bucket holds about ``bucket_pieces``, be they many items or one very long one's parts.
+    ``max_kinds`` bounds the kinds of container and is checked.
     """
     sized = items.select(F.col(id).alias("id"), F.col(size).cast("bigint").alias("size")).where("size > 0")
-    n_buckets = max(1, sized.count() // bucket_items)
     boxes = containers.select(F.col(name).alias("container"), F.col(capacity).cast("bigint").alias("capacity")).where("capacity > 0").distinct()
     known = boxes.limit(max_kinds + 1).collect()
     if len(known) > max_kinds:
         raise ValueError(f"more than {max_kinds} kinds of container")
-    kinds = F.from_json(F.lit(json.dumps([r.asDict() for r in known])), "array<struct<container:string,capacity:bigint>>")
+    parts = F.ceil(F.col("size") / F.col("capacity"))
+
+    def each(kinds: list[dict], fields: str) -> DataFrame:
+        return sized.withColumn("box", F.explode(F.from_json(F.lit(json.dumps(kinds)), f"array<struct<{fields}>>"))).select("id", "size", "box.*")
+
+    kinds = [r.asDict() for r in known]
+    counts = {(r.container, r.capacity): r.n for r in each(kinds, "container:string,capacity:bigint").groupBy("container", "capacity").agg(F.sum(parts).alias("n")).collect()}
+    kinds = [k | {"buckets": max(1, counts.get((k["container"], k["capacity"]), 0) // bucket_pieces)} for k in kinds]
     pieces = (
-        sized.withColumn("box", F.explode(kinds)).select("id", "size", "box.*").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / F.col("capacity")) - 1)))
+        each(kinds, "container:string,capacity:bigint,buckets:bigint").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
         .withColumn("from_token", F.col("part") * F.col("capacity"))
         .withColumn("to_token", F.least((F.col("part") + 1) * F.col("capacity"), "size"))
         .withColumn("size", F.col("to_token") - F.col("from_token"))
-        .withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.lit(n_buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.col("buckets")).cast("int"))
     )
     columns = ["container", "bin", "id", "part", "from_token", "to_token", "size"]
 

@@ -50,3 +50,38 @@ def test_empty(spark):
     boxes = spark.createDataFrame([("caja", 10)], "nombre string, cap int")
     assert pack(docs, boxes, "id", "size", "nombre", "cap").count() == 0
     assert pack(spark.createDataFrame([(1, 3)], "id long, size int"), boxes.limit(0), "id", "size", "nombre", "cap").count() == 0
+
+
+def test_a_very_long_item_is_many_buckets(spark):
+    """An item of 5 * 10^7 tokens among small ones: every token once, no container too full, no bucket of all its parts."""
+    docs = spark.createDataFrame([(0, 50_000_000)] + [(i, 100 + i) for i in range(1, 101)], "id long, size long")
+    boxes = spark.createDataFrame([("corto", 512), ("largo", 8192)], "nombre string, cap int")
+    packed = pack(docs, boxes, "id", "size", "nombre", "cap").cache()
+    buckets = packed.selectExpr("container", "split(bin, '-')[0] as b").groupBy("container", "b").count().collect()
+    assert max(r["count"] for r in buckets) < 50_000 and len([r for r in buckets if r.container == "corto"]) >= 4
+    bins = packed.groupBy("container", "bin").agg({"size": "sum"}).groupBy("container").max("sum(size)").collect()
+    assert {r[0]: r[1] for r in bins} == {"corto": 512, "largo": 8192}
+    whole = packed.groupBy("container", "id").agg({"size": "sum", "from_token": "min", "to_token": "max"}).collect()
+    sizes = {r.id: r["size"] for r in docs.collect()}
+    assert len(whole) == 202 and all(r["sum(size)"] == r["max(to_token)"] == sizes[r.id] and r["min(from_token)"] == 0 for r in whole)
+
+
+def test_every_token_of_the_test_table_once(spark):
+    from pathlib import Path
+
+    import pytest
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables")
+    from telar.llm.queries import _tokens, p8_contenedores
+
+    tokens = {r.doc_id: r.tokens for r in _tokens(spark, data).where("tokens > 0").collect()}
+    room = {r.nombre: r.capacidad_tokens for r in spark.read.parquet(f"{data}/contenedores.parquet").collect()}
+    placed, used = defaultdict(int), defaultdict(int)
+    for r in p8_contenedores(spark, data).collect():
+        placed[r.nombre, r.doc_id] += r.tokens
+        used[r.nombre, r.contenedor] += r.tokens
+        assert r.hasta - r.desde == r.tokens and (r.parte == 0 or tokens[r.doc_id] > room[r.nombre])
+    assert placed == {(n, d): t for n in room for d, t in tokens.items()}
+    assert all(u <= room[n] for (n, _), u in used.items())
