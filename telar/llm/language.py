@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,30 +23,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NOT_LETTER = re.compile(r"[^\w]+|_+")
+_SPACELESS = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 _DIGITS = re.compile(r"\d+")
 
 
 def plain(text: str) -> str:
-    """Lower-case words in single spaces, a space at both ends; figures become 0. Empty if there is no word."""
+    """Lower-case words in single spaces, a space at both ends; figures become 0. Empty if there is no word.
+
+    In scripts without spaces every character is a word.
+    """
     while "&" in text and (resolved := html.unescape(text)) != text:
         text = resolved
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
+        text = _SPACELESS.sub(r" \g<0> ", text)
     text = _DIGITS.sub("0", _NOT_LETTER.sub(" ", text.lower())).strip()
     return f" {text} " if text else ""
 
 
 class SuffixAutomaton:
-    """Of one text; ``next``, ``link`` and ``length`` by state, state 0 the empty match."""
+    """Of one sequence; ``next``, ``link`` and ``length`` by state, state 0 the empty match."""
 
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+    def __init__(self, text: Iterable):
+        self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
         last = 0
         for c in text:
             last = self._extend(last, c)
 
-    def _extend(self, last: int, c: str) -> int:
+    def _extend(self, last: int, c) -> int:
         nxt, link, length = self.next, self.link, self.length
         new = len(nxt)
         nxt.append({})
@@ -70,9 +76,9 @@ class SuffixAutomaton:
                 link[q] = link[new] = clone
         return new
 
-    def table(self, codes: dict[str, int], width: int) -> np.ndarray:
-        """[state, character] → next state * 256 + the most a match can be long after it, failures resolved."""
-        n = len(self.next)
+    def table(self, width: int, bits: int) -> np.ndarray:
+        """[state, character number] → next state << ``bits`` | the most a match can be long after it, failures resolved."""
+        n, most = len(self.next), (1 << bits) - 1
         out = np.zeros((n, width), np.int64)
         length = np.array(self.length)
         for s in np.argsort(length, kind="stable"):
@@ -80,12 +86,25 @@ class SuffixAutomaton:
                 parent = self.link[s]
                 out[s] = out[parent]
             for c, target in self.next[s].items():
-                if c in codes:
+                if c > 0:
                     # Seen from here a match grows by one; seen from a longer state that fails, it is cut to this length.
-                    out[s, codes[c]] = target * 256 + min(self.length[s] + 1, 255)
+                    out[s, c] = (target << bits) | min(self.length[s] + 1, most)
         return out
 
 
+#: Characters with a number of their own; rarer ones of the training text share OTHERS numbers by their code point, so
+#: that the tables of languages with thousands of characters stay bounded.
+OWN, OTHERS = 192, 64
+
+
+def character_codes(texts: list[str]) -> dict[str, int]:
+    """A number from 1 for each character but the line end."""
+    counts = Counter("".join(texts))
+    counts.pop("\n", None)
+    ranked = sorted(counts, key=lambda c: (-counts[c], c))
+    return {c: i for i, c in enumerate(ranked[:OWN], 1)} | {c: OWN + 1 + ord(c) % OTHERS for c in ranked[OWN:]}
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -93,34 +112,43 @@ class Model:
     roots: np.ndarray
     table: np.ndarray
     bits: np.ndarray
-    change_bits: float = 40.0
+    change_bits: float
+    length_bits: int
 
     @classmethod
     def train(cls, texts: dict[str, str], change_bits: float = 40.0) -> Model:
-        """One automaton per language of its plain texts, joined by line ends that no query contains."""
+        """One automaton per language of its plain texts, joined by line ends that no query contains.
+
+        A match is at most as long as the longest line; states and lengths share an integer as wide as they need.
+        """
         languages = sorted(texts)
-        codes = {c: i for i, c in enumerate(sorted(set("".join(texts.values())) - {"\n"}), 1)}
+        codes = character_codes(list(texts.values()))
+        width = max(codes.values(), default=0) + 1
+        longest = max((len(line) for t in texts.values() for line in t.split("\n")), default=1)
+        length_bits = (longest + 1).bit_length()
+        automata = [SuffixAutomaton(codes.get(c, -1) for c in texts[x]) for x in languages]
+        kind = np.int32 if sum(len(a.next) for a in automata) << length_bits < 1 << 31 else np.int64
         tables, roots, offset = [], [], 0
-        for language in languages:
-            t = SuffixAutomaton(texts[language]).table(codes, len(codes) + 1)
+        for automaton in automata:
+            t = automaton.table(width, length_bits)
             roots.append(offset)
-            tables.append(t + offset * 256)
+            tables.append((t + (offset << length_bits)).astype(kind))
             offset += len(t)
-        table = np.concatenate(tables) if tables else np.zeros((1, 1), np.int64)
+        table = np.concatenate(tables) if tables else np.zeros((1, 1), kind)
         bits = np.array([math.log2(max(len(texts[x]), 2)) for x in languages])
-        return cls(languages, codes, np.array(roots, np.int64), table.astype(np.int32), bits, change_bits)
+        return cls(languages, codes, np.array(roots, np.int64), table, bits, change_bits, length_bits)
 
     def matches(self, codes: np.ndarray) -> np.ndarray:
-        """[language, text, position] length of the longest match that ends there, up to 255."""
+        """[language, text, position] length of the longest match that ends there."""
         flat, width = self.table.reshape(-1), self.table.shape[1]
         n, size = codes.shape
-        out = np.zeros((len(self.languages), n, size), np.uint8)
+        out = np.zeros((len(self.languages), n, size), np.min_scalar_type((1 << self.length_bits) - 1))
         state = np.repeat(self.roots[:, None], n, 1).astype(np.int64)
-        length = np.zeros_like(state)
+        length, most = np.zeros_like(state), (1 << self.length_bits) - 1
         for i in range(size):
             found = flat[state * width + codes[:, i]]
-            state = (found >> 8).astype(np.int64)
-            length = np.minimum(length + 1, found & 255)
+            state = (found >> self.length_bits).astype(np.int64)
+            length = np.minimum(length + 1, found & most)
             out[:, :, i] = length
         return out
 
@@ -166,7 +194,7 @@ class Model:
     def _batch(self, texts: list[str]) -> list[list[tuple[str, float, str]]]:
         n, sizes = len(texts), np.array([len(t) for t in texts])
         size = int(sizes.max())
-        lookup = np.zeros(0x110000 if max(map(max, texts)) > "￿" else 0x10000, np.uint8)
+        lookup = np.zeros(0x110000 if max(map(max, texts)) > "￿" else 0x10000, np.uint16)
         for c, i in self.codes.items():
             if ord(c) < len(lookup):
                 lookup[ord(c)] = i
@@ -185,7 +213,7 @@ class Model:
         text = np.arange(n)[:, None]
         spent = np.moveaxis(cost[:, text, stop] - cost[:, text, np.where(real, start, 0)], 0, 2)
         # A word that no language's text has whole is a name or a misspelling: it says nothing about the language.
-        whole = (longest[:, text, stop] >= np.minimum(stop - start + 1, 255)[None]).any(0) & real
+        whole = (longest[:, text, stop] >= (stop - start + 1)[None]).any(0) & real
         spent = np.where(whole[:, :, None], spent, 0.0)
         path = self._path(spent)
         totals = np.concatenate([np.zeros((n, 1, spent.shape[2])), np.cumsum(spent, axis=1)], axis=1)

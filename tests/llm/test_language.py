@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telar.llm.language import Model, SuffixAutomaton, clean_sample, fit, language_runs, plain
 
+DATA = "/root/testdata/sf0.01"
 TEXTS = {
     "es": ["el alcalde dijo que las obras del puente siguen", "la lluvia dañó las casas cerca del río", "los vecinos piden agua para las familias del barrio", "una avería dejó sin luz a la ciudad durante la noche"],
     "en": ["the mayor said that the works on the bridge go on", "heavy rain damaged the homes near the river", "the neighbours ask for water for the families", "a fault left the city without power during the night"],
@@ -100,3 +102,33 @@ def test_a_long_text_does_not_use_up_the_budget(spark):
         assert model.languages == ["de", "en", "es"]
     model = fit(spark.createDataFrame([*rows, (long, "de")], "text string, k string"), "text", "k", change_bits=25.0)
     assert [r[0] for r in model.runs([plain(query)])[0]] == ["de"]
+
+
+def test_matches_longer_than_a_byte_counts():
+    """A line of 700 characters is matched whole, against brute force."""
+    rng = random.Random(9)
+    line = " " + "".join(rng.choice("ab") for _ in range(700)) + " "
+    m = Model.train({"x": line + "\n b ", "y": " ab "})
+    codes = np.array([[m.codes.get(c, 0) for c in line]])
+    assert m.matches(codes)[m.languages.index("x"), 0].tolist() == list(range(1, 703))
+    assert [r[0] for r in m.runs([line])[0]] == ["x"]
+
+
+def test_scripts_of_thousands_of_characters():
+    """Characters beyond those with a number of their own share some; words of scripts without spaces are characters."""
+    rng = random.Random(7)
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(12)) for _ in range(80)]
+    kana = ["".join(chr(0x3041 + rng.randrange(80)) for _ in range(12)) for _ in range(80)]
+    texts = {"ja": kana, "zh": han, "es": TEXTS["es"]}
+    m = Model.train({k: "\n".join(plain(t) for t in v) for k, v in texts.items()}, change_bits=25.0)
+    assert m.table.shape[1] <= 257 and len(m.codes) > 600
+    assert [[r[0] for r in runs] for runs in m.runs([plain(han[3]), plain(kana[5]), plain(TEXTS["es"][1]), plain(kana[1] + " " + TEXTS["es"][2])])] == [["zh"], ["ja"], ["es"], ["ja", "es"]]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_held_out_labels(spark):
+    """Headlines whose label names a language mostly have that language: labels are right far more often than not."""
+    from telar.llm.queries import _languages
+
+    rows = [r for r in _languages(spark, DATA).where("nombrado is not null").collect() if r.tramos]
+    assert len(rows) > 100 and sum(len(r.tramos) > 1 or r.tramos[0].language == r.nombrado for r in rows) > 0.8 * len(rows)
