@@ -63,6 +63,7 @@ def p3_idiomas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fila", "nombrado", (F.col("k") + 1).alias("segmento"), F.col("t.language").alias("idioma"), F.col("t.confidence").alias("confianza"), F.col("t.text").alias("texto"))
 
 
+_MOST_CLASSES = 1000
 # Fixed value: letters with accents and what they are without.
 _ACCENTED, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 
@@ -85,7 +86,9 @@ def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame,
     tema = latest.withColumn("forma", _loose("tema_humano")).join(keys, "forma").select("item", "annotator", "value")
     joined = F.regexp_replace(F.lower(F.trim("grupo")), r"[^\p{L}\p{N}\p{M}]+", "-")
     grupo = latest.select("item", "annotator", F.nullif(F.regexp_replace(joined, "^-|-$", ""), F.lit("")).alias("value"))
-    classes = sorted(r.tema for r in themes.select("tema").distinct().limit(1000).collect())
+    classes = sorted(r.tema for r in themes.select("tema").distinct().limit(_MOST_CLASSES + 1).collect())
+    if len(classes) > _MOST_CLASSES:
+        raise ValueError(f"more than {_MOST_CLASSES} values of temas.tema")
     return {"tema_humano": consensus.closed(tema, items, classes), "grupo": consensus.open_values(grupo, items)}
 
 
