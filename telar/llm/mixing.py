@@ -59,21 +59,33 @@ def rate_for(mean: float, cap: int) -> float:
 
 
 def plan(sources: pd.DataFrame, total: float | None = None) -> pd.DataFrame:
-    """Target tokens and rate of each source from ``tokens``, ``weight`` and ``cap``.
+    """Target tokens, rate and what limits each source, from ``tokens``, ``weight`` and ``cap``.
 
     Sources without tokens can't contribute: the weights of the others are scaled up to one. ``total`` defaults to the
-    largest size at which every other source meets its weight within its cap; a larger one leaves short sources short.
+    largest size at which every other source meets its weight within its cap. At a larger one the sources that don't
+    reach theirs are used up to their caps, and the others share the rest by their weights, as far as their caps go.
+    ``limit`` is ``empty``, ``weight`` or ``cap`` for sources that can't meet their share, and null for the others.
     """
     out = sources.copy()
     able = (out["tokens"] > 0) & (out["weight"] > 0) & (out["cap"] > 0)
     share = out["weight"].where(able, 0.0)
     share = share / share.sum() if share.sum() > 0 else share
+    room = (out["cap"] * out["tokens"]).where(able, 0.0)
     if total is None:
-        room = out["cap"] * out["tokens"] / share.where(able)
-        total = float(room.min()) if able.any() else 0.0
-    out["target"] = np.where(able, share * total, 0.0)
-    out["target"] = np.minimum(out["target"], out["cap"] * out["tokens"])
+        total = float((room / share.where(able)).min()) if able.any() else 0.0
+    target, open_, left = np.zeros(len(out)), able.to_numpy().copy(), float(min(total, room.sum()))
+    while open_.any():
+        each = np.where(open_, share / share[open_].sum() * left, 0.0)
+        full = open_ & (each > room.to_numpy() * (1 + 1e-12))
+        if not full.any():
+            target[open_] = each[open_]
+            break
+        target[full] = room[full]
+        left -= float(room[full].sum())
+        open_ &= ~full
+    out["target"] = np.minimum(target, room)
     out["rate"] = [rate_for(t / n, int(c)) if t > 0 else 0.0 for t, n, c in zip(out["target"], out["tokens"], out["cap"])]
+    out["limit"] = np.where(out["tokens"] <= 0, "empty", np.where(~able, "weight", np.where(out["target"] < share * total * (1 - 1e-9), "cap", "")))
     return out
 
 
@@ -87,7 +99,9 @@ def mix(
       without documents and for the default total.
     * Rows of other sources, of null source, and of null or no size take no part. Repeated rows draw the same number
       of copies. Repeated targets of a source count once, by the largest weight. An empty table gives an empty mix.
-    * The report has a row per target source: target and actual share, tokens, documents, copies, largest repetition.
+    * The report has a row per target source: its weight (``target_share``), the share it can have of this mix
+      (``effective_share``), the one it has (``actual_share``), what keeps it from its weight (``reason``: ``empty``,
+      ``weight`` or ``cap``), tokens, documents, copies and largest repetition, and documents and tokens not used.
 
     Only totals per target source (at most ``max_sources``, checked) come to the driver. Each calibration round is one
     aggregation that tries ``steps`` rates per source over all its rows, the first one at ``shifts`` seeds.
@@ -129,25 +143,33 @@ def mix(
             state.at[i, "shift"], state.at[i, "rate"] = seeds[best[0]], rates[best[1]]
             low[i], high[i] = rates[max(best[1] - 1, 0)], rates[min(best[1] + 1, steps - 1)]
     rates = spark.createDataFrame(
-        [(r.mix_source, float(r.rate), float(r.shift), int(r.cap), float(r.weight)) for r in state.itertuples()],
-        "mix_source string, mix_rate double, mix_shift double, mix_cap int, mix_weight double",
+        [
+            (r.mix_source, float(r.rate), float(r.shift), int(r.cap), float(r.weight), float(r.target / max(state["target"].sum(), 1.0)), r.limit or None, int(r.docs), int(r.tokens))
+            for r in state.itertuples()
+        ],
+        "mix_source string, mix_rate double, mix_shift double, mix_cap int, mix_weight double, mix_share double, mix_limit string, mix_docs bigint, mix_tokens bigint",
     )
 
     def copies(u: pa.Array, rate: pa.Array, most: pa.Array) -> pa.Array:
         return pa.array(poisson_inverse(*(x.to_numpy(zero_copy_only=False) for x in (u, rate, most))).astype("int32"), pa.int32())
 
-    counted = drawn.join(F.broadcast(rates), F.col(source) == F.col("mix_source")).withColumn(
+    known_rates = rates.select("mix_source", "mix_rate", "mix_shift", "mix_cap")
+    counted = drawn.join(F.broadcast(known_rates), F.col(source) == F.col("mix_source")).withColumn(
         "mix_copies", F.arrow_udf(copies, T.IntegerType())((F.col("mix_u") + F.col("mix_shift")) % 1, "mix_rate", "mix_cap")
     )
     used = counted.where("mix_copies > 0")
     actual = used.groupBy("mix_source").agg(
         F.sum(F.col(size) * F.col("mix_copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"),
-        F.sum("mix_copies").alias("copies"), F.max("mix_copies").alias("most_copies"),
+        F.sum("mix_copies").alias("copies"), F.max("mix_copies").alias("most_copies"), F.sum(size).alias("once"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     report = (
-        rates.select("mix_source", "mix_weight", "mix_cap").join(actual, "mix_source", "left")
-        .select(F.col("mix_source").alias("source"), F.col("mix_weight").alias("target_share"), zero("tokens"), zero("documents"), zero("copies"), zero("most_copies"), F.col("mix_cap").alias("cap"))
+        rates.join(actual, "mix_source", "left")
+        .select(
+            F.col("mix_source").alias("source"), F.col("mix_weight").alias("target_share"), F.col("mix_share").alias("effective_share"), F.col("mix_limit").alias("reason"),
+            zero("tokens"), zero("documents"), zero("copies"), zero("most_copies"), F.col("mix_cap").alias("cap"),
+            (F.col("mix_docs") - F.coalesce("documents", F.lit(0))).alias("unused_documents"), (F.col("mix_tokens") - F.coalesce("once", F.lit(0))).cast("bigint").alias("unused_tokens"),
+        )
         .withColumn("actual_share", F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0)))
     )
     rows = (

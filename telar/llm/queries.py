@@ -171,21 +171,40 @@ def p8_llenado(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed, boxes, "nombre", "capacidad_tokens")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    targets = table(spark, sf_dir, "mezcla_objetivo")
-    return mix(_tokens(spark, sf_dir), targets, "doc_id", "source", "tokens", "source", "peso_objetivo", "max_repeticiones")
+def _mixed(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The mix at which every source has its weight; ``full``: of as many tokens as the target sources hold."""
+    targets, tokens = table(spark, sf_dir, "mezcla_objetivo"), _tokens(spark, sf_dir)
+    total = None
+    if full:
+        wanted = tokens.join(targets.select("source").distinct(), "source", "left_semi")
+        total = float(wanted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    return mix(tokens, targets, "doc_id", "source", "tokens", "source", "peso_objetivo", "max_repeticiones", total=total)
+
+
+def _mix_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "source", "tokens", F.col("mix_copy").alias("copia"), F.col("mix_order").alias("orden"))
 
 
 def p9_mezcla(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix: a row per use of a document, in shuffled order."""
-    return _mixed(spark, sf_dir)[0].select("doc_id", "source", "tokens", F.col("mix_copy").alias("copia"), F.col("mix_order").alias("orden"))
+    return _mix_rows(_mixed(spark, sf_dir)[0])
 
 
 def p9_reparto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares of the sources of the mix."""
+    """Target, effective and actual shares of the sources of the mix, and what is left out."""
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_mezcla_plena(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of as many tokens as the target sources hold: short sources go to their caps, the others share the rest."""
+    return _mix_rows(_mixed(spark, sf_dir, full=True)[0])
+
+
+def p9_reparto_pleno(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, effective and actual shares of the sources of the full mix, and what is left out."""
+    return _mixed(spark, sf_dir, full=True)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly keywords, links or tags."""
     return judge_pages(table(spark, sf_dir, "documents"), "doc_id", "text").where("flagged").select(F.col("id").alias("doc_id")).distinct()
@@ -215,6 +234,7 @@ QUERIES = {
     "p5_found": p5_found, "p5_grupos": p5_grupos,
     "p7_found": p7_found, "p7_registros": p7_registros,
     "p8_contenedores": p8_contenedores, "p8_llenado": p8_llenado, "p9_mezcla": p9_mezcla, "p9_reparto": p9_reparto,
+    "p9_mezcla_plena": p9_mezcla_plena, "p9_reparto_pleno": p9_reparto_pleno,
     "p10_found": p10_found, "p10_paginas": p10_paginas,
 }
 ORACLE = {

@@ -28,7 +28,12 @@ def test_plan():
     assert p["target"].tolist() == pytest.approx([200, 200, 0])
     assert np.isinf(p["rate"][1]) and p["rate"][2] == 0
     short = plan(pd.DataFrame({"tokens": [1000.0, 100.0], "weight": [0.5, 0.5], "cap": [1, 2]}), total=2000)
-    assert short["target"].tolist() == [1000, 200]
+    assert short["target"].tolist() == [1000, 200] and short["limit"].tolist() == ["", "cap"]
+    # A short source goes to its cap; the others share the rest by their weights.
+    large = plan(pd.DataFrame({"tokens": [1000.0, 100.0, 4000.0, 0.0], "weight": [0.25, 0.25, 0.5, 0.1], "cap": [2, 2, 1, 3]}), total=2000)
+    assert large["target"].tolist() == pytest.approx([600, 200, 1200, 0]) and large["limit"].tolist() == ["", "cap", "", "empty"]
+    huge = plan(pd.DataFrame({"tokens": [10.0, 10.0], "weight": [0.9, 0.1], "cap": [1, 3]}), total=1e9)
+    assert huge["target"].tolist() == [10, 30]
 
 
 def data(spark, n=4000):
@@ -56,3 +61,19 @@ def test_empty(spark):
     assert rows.count() == 0 and [x.tokens for x in report.collect()] == [0]
     rows, report = mix(data(spark), targets.limit(0), "id", "source", "size", "s", "w", "m")
     assert rows.count() == 0 and report.count() == 0
+
+
+def test_a_total_beyond_the_short_source(spark):
+    """Replication and shuffle at a size where most documents are used: shares within a hundredth of what each source can have."""
+    targets = spark.createDataFrame([("grande", 0.6, 2), ("chica", 0.4, 3), ("vacia", 0.3, 9)], "s string, w double, m int")
+    total = 300_000.0
+    rows, report = mix(data(spark), targets, "id", "source", "size", "s", "w", "m", total=total)
+    r = {x.source: x for x in report.collect()}
+    assert r["chica"].reason == "cap" and r["vacia"].reason == "empty" and r["grande"].reason is None
+    assert all(abs(x.actual_share - x.effective_share) < 0.01 for x in r.values())
+    assert abs(sum(x.tokens for x in r.values()) - total) < 0.01 * total
+    used = rows.groupBy("source", "id").count().toPandas()
+    docs = data(spark).groupBy("source").count().toPandas().set_index("source")["count"]
+    for name in ("grande", "chica"):
+        assert r[name].unused_documents == docs[name] - len(used[used.source == name]) and r[name].copies == used[used.source == name]["count"].sum()
+    assert used[used.source == "chica"]["count"].eq(3).all() and used["count"].max() <= 3
