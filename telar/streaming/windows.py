@@ -51,20 +51,26 @@ def last_state(events: DataFrame, keys: list[str], order: Column, columns: list[
     return events.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("s")).select(*keys, "s.*")
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return the table it leaves: the last batch in complete mode, else all batches.
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and return the table its batches leave.
 
     Batches are written to the checkpoint folder by ``foreachBatch``, each to a directory of its own number, so a batch
-    that is run again replaces itself.
+    that is run again replaces itself. In ``append`` mode the table is all of them: windows come out when the watermark
+    has passed them, their state goes, and rows later than that are dropped. In ``update`` mode a later batch's row
+    replaces the earlier one of the same ``keys``. In ``complete`` mode, for small states only, it is the last batch.
     """
     spark = stream.sparkSession
     home = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/{'last' if mode == 'complete' else f'batches/batch={number}'}")
+        batch.write.mode("overwrite").parquet(f"{home}/batches/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.parquet(f"{home}/last") if mode == "complete" else spark.read.parquet(f"{home}/batches").drop("batch")
+    rows = spark.read.parquet(f"{home}/batches")
+    if mode != "update":
+        return rows.drop("batch")
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(*keys, "s.*")

@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from telar.streaming import windows
 
 
 def put(path, text):
+    path.parent.mkdir(exist_ok=True)
     path.write_text(text, encoding="utf-8")
     return str(path)
 
@@ -111,3 +113,54 @@ def test_stream_in_several_batches(spark, tmp_path):
     assert sorted((r.u, r.n, r.total) for r in got.collect()) == [("u", 3, 3.0), ("v", 3, 6.0)]
     once = windows.run_once(windows.first_seen(windows.file_stream(spark, str(path), 1), "ts", ["u"]), "append")
     assert sorted(r.u for r in once.collect()) == ["u", "v"]
+
+
+def test_late_rows_and_evicted_windows(spark, tmp_path):
+    """Files come one after another; a row behind the watermark is dropped, one within it counts, open windows stay back."""
+    path, seen = tmp_path / "events", set()
+    days = [["01 10:00", "01 11:00"], ["05 09:00"], ["05 10:00"], ["01 12:00", "04 23:30"], ["09 00:00"]]
+    for i, moments in enumerate(days):
+        rows = [(j, f"2026-01-{m}:00", "u", 1.0) for j, m in enumerate(moments)]
+        spark.createDataFrame(rows, "id long, s string, u string, x double").withColumn("ts", F.to_timestamp("s")).coalesce(1).write.mode("append").parquet(str(path))
+        for p in set(path.glob("*.parquet")) - seen:
+            os.utime(p, (1_700_000_000 + 60 * i,) * 2)  # files are read in the order of their times
+            seen.add(p)
+    stream = windows.file_stream(spark, str(path), files_per_trigger=1)
+    got = windows.run_once(windows.windowed_counts(stream, "ts", ["u"], "x", "1 day", late="1 day"), "append")
+    # The 1st closes with two rows: the third came when the watermark was at the 4th. The 9th is open.
+    assert sorted((r.start.day, r.n) for r in got.collect()) == [(1, 2), (4, 1), (5, 2)]
+    state = windows.run_once(windows.last_state(windows.file_stream(spark, str(path), 1), ["u"], F.col("ts"), ["id", "ts"]), "update", ["u"])
+    assert [(r.u, r.ts.day) for r in state.collect()] == [("u", 9)]
+
+
+def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    table = str(tmp_path / "t")
+    writers.write_table(spark.createDataFrame([(1, "a")], "id int, t string"), table)
+    bad = spark.range(3).select(F.col("id").cast("int").alias("id"), F.raise_error(F.lit("roto")).cast("string").alias("t"))
+    with pytest.raises(Exception, match="roto"):
+        writers.write_table(bad, table)
+    assert [r.t for r in spark.read.parquet(table).collect()] == ["a"]
+    writers.write_table(spark.read.parquet(table).withColumn("t", F.lit("b")), table)
+    assert [r.t for r in spark.read.parquet(table).collect()] == ["b"]
+    writers.append_positional(spark.createDataFrame([("7", "z")], "x string, y string"), table)
+    assert sorted((r.id, r.t) for r in spark.read.parquet(table).collect()) == [(1, "b"), (7, "z")]
+    with pytest.raises(ValueError):
+        writers.append_positional(spark.range(1), table)
+
+
+def test_sheets_caches_and_trees(spark, tmp_path):
+    sheet = str(tmp_path / "s")
+    empty, full = (spark.createDataFrame([(1, v)], "id int, v string") for v in (None, "sí"))
+    assert writers.write_once(empty, sheet, "v") and writers.write_once(full, sheet, "v") and not writers.write_once(empty, sheet, "v")
+    cache = str(tmp_path / "c")
+    writers.put_in_cache(spark, cache, spark.createDataFrame([("q1", "r1"), ("q2", "r2")], "request string, response string"), "request")
+    assert writers.prune_cache(spark, cache, spark.createDataFrame([("q2",), ("q3",)], "request string"), "request") == 1
+    assert [r.request for r in spark.read.parquet(cache).collect()] == ["q2"]
+    put(tmp_path / "tree" / "a.txt", "x")
+    put(tmp_path / "tree" / "b.log", "x")
+    before = spark.createDataFrame(writers.file_prints(spark, str(tmp_path / "tree")).collect())
+    put(tmp_path / "tree" / "a.txt", "y")
+    put(tmp_path / "tree" / "b.log", "y")
+    put(tmp_path / "tree" / "n.txt", "z")
+    changes = writers.tree_changes(before, writers.file_prints(spark, str(tmp_path / "tree")), skip=r"\.log$")
+    assert sorted((r.file.rsplit("/", 1)[1], r.state) for r in changes.collect()) == [("a.txt", "changed"), ("n.txt", "new")]
