@@ -140,3 +140,39 @@ def figures(text: Column, stem: int = 5) -> Column:
         numeral(F.regexp_extract(m, rf"^({NUMERAL})", 1)).alias("value"), F.substring(F.regexp_extract(m, r"\s(\p{L}+)$", 1), 1, stem).alias("unit")
     ))
     return F.filter(split, lambda s: s["value"].isNotNull() & ~((s["value"] >= 1900) & (s["value"] <= 2100) & (s["value"] == F.floor(s["value"]))))
+
+
+def proper_names(text: Column, least: int = 3) -> Column:
+    """Words with a capital that don't open a sentence, in order; one that does counts if another such word follows it at once."""
+    w = F.split(F.trim(F.regexp_replace(text, "\\s+", " ")), " ")
+    core = lambda x: F.regexp_replace(x, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
+    capital = lambda x: core(x).rlike("^\\p{Lu}") & (F.length(core(x)) >= least)
+
+    def named(i: Column) -> Column:
+        here, before, after = F.get(w, i), F.coalesce(F.get(w, i - 1), F.lit("")), F.coalesce(F.get(w, i + 1), F.lit(""))
+        opens = (i == 0) | before.rlike("[.?!:;¿¡«\"“(—\\[-]$")
+        joined = capital(after) & here.rlike("[\\p{L}\\p{N}]$") & after.rlike("^[\\p{L}\\p{N}]")
+        return capital(here) & (~opens | joined)
+
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), named), lambda i: core(F.get(w, i)))
+
+
+PERCENTAGE = r"(\d+(?:[.,]\d+)?)\s*(?:%|por ciento)"
+
+
+def bound_percentage(sentence: Column, words: tuple[str, ...], window: int = 40) -> tuple[Column, Column]:
+    """(value, kind) of the one percentage of a sentence, if one of ``words`` stands before it, ``window`` characters at most.
+
+    Between them a verb of change makes it a ``variacion`` (negative for a fall), one followed by ``a`` or ``hasta`` the
+    ``nivel`` reached, none a ``nivel``; words of approximation, other figures or a second percentage give null.
+    """
+    every = F.array_distinct(F.regexp_extract_all(sentence, F.lit(PERCENTAGE), F.lit(1)))
+    pattern = f"(?:{'|'.join(words)})([^0-9%]{{0,{window}}}?){PERCENTAGE}"
+    between, found = F.regexp_extract(sentence, pattern, 1), F.regexp_extract(sentence, pattern, 2)
+    clear = (F.size(every) == 1) & (found != "") & (found == F.get(every, F.lit(0))) & ~between.rlike("(casi|cerca de|menos de|más de|unos|unas)")
+    value = F.translate(found, ",", ".").try_cast("double")
+    fall, rise = "(cayeron|cayó|bajaron|bajó)", "(subieron|subió|crecieron|creció)"
+    reached = between.rlike(rf"({fall}|{rise})\s+(a|hasta)\s*$")
+    kind = F.when(reached, "nivel").when(between.rlike(f"{fall}|{rise}"), "variacion").otherwise("nivel")
+    signed = F.when(~reached & between.rlike(fall), -value).otherwise(value)
+    return F.when(clear, signed), F.when(clear, kind)

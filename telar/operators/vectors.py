@@ -35,6 +35,29 @@ def centroids(df: DataFrame, keys: list[str], vector: str, normalise: bool = Tru
     return parts.groupBy(*keys).agg((unit(mean) if normalise else mean).alias("centroid"))
 
 
+def with_centroids(df: DataFrame, centres: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """``df`` with ``cs``, an array of (key, centroid) in order of key; more than ``most`` centroids raise, so the array is bounded."""
+    if len(centres.select(key).limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} centroids to send to every row: use nearest()")
+    every = centres.agg(F.array_sort(F.collect_list(F.struct(key, "centroid"))).alias("cs"))
+    return df.crossJoin(F.broadcast(every))
+
+
+def encode(df: DataFrame, text: str, encoder, size: int, column: str = "embedding") -> DataFrame:
+    """``df`` with the vector of a text by any ``encoder`` (list of texts to matrix of ``size`` columns); null texts are empty.
+
+    The encoder is built once per task and gets whole Arrow batches; a matrix of another shape raises.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = np.asarray(encoder([t or "" for t in texts.to_pylist()]), np.float32).reshape(len(texts), -1) if len(texts) else np.zeros((0, size), np.float32)
+        if found.shape[1] != size:
+            raise ValueError(f"the encoder gives {found.shape[1]} numbers instead of {size}")
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), size).cast(pa.list_(pa.float32()))
+
+    return df.withColumn(column, F.arrow_udf(run, T.ArrayType(T.FloatType()))(text))
+
+
 def medoid(df: DataFrame, keys: list[str], id: str, vector: str, epsilon: float = 1e-9) -> DataFrame:
     """Per key the member with the highest mean similarity to its members; within ``epsilon`` the smallest id.
 

@@ -50,8 +50,7 @@ SELECT vec_id, CASE WHEN max(CASE WHEN k = 1 THEN s END) >= 0.3 THEN max(CASE WH
 def decide(t: Tables) -> DataFrame:
     """M5: most similar label, none under a threshold, and a second within a margin; the centroids are as many as labels."""
     centre = vectors.centroids(t.embeddings, ["label"], "embedding")
-    all_ = centre.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
-    scored = t.embeddings.crossJoin(F.broadcast(all_)).select("vec_id", F.array_sort(F.transform("cs", lambda c: F.struct((-stats.cosine(F.col("embedding"), c["centroid"])).alias("s"), c["label"].alias("label")))).alias("r"))
+    scored = vectors.with_centroids(t.embeddings, centre, "label").select("vec_id", F.array_sort(F.transform("cs", lambda c: F.struct((-stats.cosine(F.col("embedding"), c["centroid"])).alias("s"), c["label"].alias("label")))).alias("r"))
     first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     near = (-second["s"] >= 0.3) & (second["s"] - first["s"] <= 0.1)
     return scored.select("vec_id", F.when(-first["s"] >= 0.3, first["label"]).alias("elegido"), F.when(near, second["label"]).alias("segundo"))
@@ -165,9 +164,9 @@ def macro(t: Tables) -> DataFrame:
 
 @query("e04_remuestreo")
 def bootstrap(t: Tables) -> DataFrame:
-    """Share of proposals that are right, with a bootstrap interval."""
+    """E5: share of proposals that are right, with bootstrap and Wilson intervals and whether it is degenerate."""
     rows = _sheet(t).withColumn("id", F.concat_ws("|", "id_noticia", "etiquetado_por", "fecha_etiquetado"))
-    return metrics.bootstrap_mean(rows, "id", (F.col("tema_humano") == F.col("propuesta_tema")).cast("double"), resamples=200)
+    return metrics.proportion(rows, "id", F.col("tema_humano") == F.col("propuesta_tema"))
 
 
 @query("e06_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")

@@ -9,7 +9,7 @@ from telar.functions import text
 from telar.operators import governance as ops
 from telar.operators import tables
 from telar.plans.registry import Registry, Tables
-from telar.plans.scalars import CANONICAL, bare, iso, sql_iso
+from telar.plans.scalars import CANONICAL, bare, iso, sql_figures, sql_iso
 from telar.functions.urls import canonical_url
 
 registry = Registry()
@@ -82,12 +82,15 @@ def closure(t: Tables) -> DataFrame:
     return ops.bases(_chain(t)[1])
 
 
-@query("v04_cifras_sustentadas")
+@query("v04_cifras_sustentadas", f"""
+WITH h AS (SELECT DISTINCT id_grupo, id_noticia, unnest({sql_figures('titulo')}).value AS v FROM hoja_preetiquetado WHERE titulo IS NOT NULL AND id_grupo IS NOT NULL), k AS (SELECT id_grupo, v, count(DISTINCT id_noticia) AS n FROM h GROUP BY 1, 2)
+SELECT DISTINCT id_noticia, v FROM h JOIN k USING (id_grupo, v) WHERE n = 1""")
 def supported(t: Tables) -> DataFrame:
-    """Figures of a sheet's headline that the cited record's headlines lack."""
-    cited = t.hoja_preetiquetado.where("titulo is not null").select("id_noticia", text.figures(F.col("titulo")).alias("f")).select("id_noticia", F.explode("f.value").alias("v")).distinct()
-    known = t.noticias.where("titulo is not null").select("id_noticia", text.figures(F.col("titulo")).alias("f")).select("id_noticia", F.explode("f.value").alias("v")).distinct()
-    return cited.join(known, ["id_noticia", "v"], "left_anti")
+    """Figures of a headline that no other headline of its group supports."""
+    rows = t.hoja_preetiquetado.where("titulo is not null and id_grupo is not null").select("id_grupo", "id_noticia", F.explode(text.figures(F.col("titulo"))).alias("f"))
+    each = rows.select("id_grupo", "id_noticia", F.col("f.value").alias("v")).distinct()
+    alone = each.groupBy("id_grupo", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id_noticia").alias("id_noticia")).where("n = 1")
+    return alone.select("id_noticia", "v").distinct()
 
 
 @query("v05_fuga_de_ngramas", f"""
@@ -102,7 +105,10 @@ def leak(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.size(F.filter(grams, lambda g: F.array_contains(bad, g))).cast("long").alias("fugas"))
 
 
-@query("r14_cifras_en_conflicto")
+@query("r14_cifras_en_conflicto", f"""
+WITH h AS (SELECT id_grupo, unnest({sql_figures('titulo')}) AS f FROM (SELECT DISTINCT id_grupo, id_noticia, titulo FROM hoja_preetiquetado WHERE id_grupo IS NOT NULL AND titulo IS NOT NULL)),
+c AS (SELECT id_grupo, f.unit AS unidad, f.value AS valor, count(*) AS n FROM h WHERE f.unit <> '' GROUP BY ALL)
+SELECT a.id_grupo, a.unidad, a.valor, a.n, b.valor AS other, b.n AS n_other FROM c a JOIN c b USING (id_grupo, unidad) WHERE a.valor < b.valor AND abs(a.valor - b.valor) > 1e-9 * greatest(abs(a.valor), abs(b.valor))""")
 def conflicts(t: Tables) -> DataFrame:
     """Different figures of one unit within a group of headlines, by value, not by headline."""
     rows = t.hoja_preetiquetado.where("id_grupo is not null and titulo is not null").select("id_grupo", "id_noticia", "titulo").distinct()
@@ -110,6 +116,19 @@ def conflicts(t: Tables) -> DataFrame:
     return ops.conflicting_values(each, ["id_grupo"], "unidad", "valor")
 
 
+@query("z101_contradiccion_cubierta", f"""
+WITH t AS (SELECT DISTINCT id_grupo, id_noticia, {sql_figures('titulo')} AS fs FROM hoja_preetiquetado WHERE id_grupo IS NOT NULL AND titulo IS NOT NULL), h AS (SELECT id_grupo, unnest(fs) AS f FROM t), g AS (SELECT id_grupo, f.unit AS unidad, count(DISTINCT f.value) AS valores FROM h WHERE f.unit <> '' GROUP BY ALL),
+m AS (SELECT id_grupo, unidad, max(n) AS juntas FROM (SELECT id_grupo, id_noticia, f.unit AS unidad, count(DISTINCT f.value) AS n FROM (SELECT id_grupo, id_noticia, unnest(fs) AS f FROM t) WHERE f.unit <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT id_grupo, unidad, valores, juntas >= 2 AS cubierta FROM g JOIN m USING (id_grupo, unidad) WHERE valores > 1""")
+def covered(t: Tables) -> DataFrame:
+    """Z101, Z49: groups with contradicting figures of one unit, and whether one headline names both sides."""
+    rows = t.hoja_preetiquetado.where("id_grupo is not null and titulo is not null").select("id_grupo", "id_noticia", F.explode(text.figures(F.col("titulo"))).alias("f"))
+    each = rows.select("id_grupo", "id_noticia", F.col("f.unit").alias("unidad"), F.col("f.value").alias("v")).where("unidad <> ''").distinct()
+    sides = each.groupBy("id_grupo", "unidad").agg(F.countDistinct("v").alias("valores")).where("valores > 1")
+    most = each.groupBy("id_grupo", "unidad", "id_noticia").agg(F.count(F.lit(1)).alias("n")).groupBy("id_grupo", "unidad").agg(F.max("n").alias("juntas"))
+    return sides.join(most, ["id_grupo", "unidad"]).select("id_grupo", "unidad", "valores", (F.col("juntas") >= 2).alias("cubierta"))
+
+
 @query("l03_versiones_nuevas", f"""
 WITH h AS (SELECT fila, id_noticia, sha256(concat_ws('|', coalesce(titulo, '∅'), coalesce(tema, '∅'))) AS h FROM noticias), p AS (SELECT *, lag(h) OVER (PARTITION BY id_noticia ORDER BY fila) AS antes FROM h)
 SELECT id_noticia, fila, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS version FROM p WHERE antes IS NULL OR antes <> h""")

@@ -203,10 +203,10 @@ def exists(t: Tables) -> DataFrame:
     return t.customer.join(hit, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.col("k").isNotNull().alias("pendiente"))
 
 
-@query("j03_no_existe", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j03_no_existe", "SELECT DISTINCT id_noticia FROM noticias n WHERE NOT EXISTS (SELECT 1 FROM hoja_preetiquetado h WHERE h.id_noticia = n.id_noticia)")
 def not_exists(t: Tables) -> DataFrame:
-    """Anti-join."""
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Anti-join; records that the sheet lacks."""
+    return t.noticias.select("id_noticia").distinct().join(t.hoja_preetiquetado, "id_noticia", "left_anti")
 
 
 @query("j04_escalar_correlado", "SELECT c_custkey, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS ultimo FROM customer")

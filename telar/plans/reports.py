@@ -73,9 +73,9 @@ s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], c) AS s, row_nu
 SELECT vec_id, round(max(CASE WHEN k = 1 THEN s END) - max(CASE WHEN k = 2 THEN s END), 6) AS margen FROM s GROUP BY vec_id ORDER BY round(max(CASE WHEN k = 1 THEN s END) - max(CASE WHEN k = 2 THEN s END), 6), vec_id LIMIT 50""")
 def doubtful(t: Tables) -> DataFrame:
     """The fifty vectors that are least sure of their label (a top-k report)."""
-    centre = vectors.centroids(t.embeddings, ["label"], "embedding").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
+    centre = vectors.centroids(t.embeddings, ["label"], "embedding")
     scores = F.array_sort(F.transform("cs", lambda c: -stats.cosine(F.col("embedding"), c["centroid"])))
-    margin = t.embeddings.crossJoin(F.broadcast(centre)).select("vec_id", F.round(F.get(scores, F.lit(1)) - F.get(scores, F.lit(0)), 6).alias("margen"))
+    margin = vectors.with_centroids(t.embeddings, centre, "label").select("vec_id", F.round(F.get(scores, F.lit(1)) - F.get(scores, F.lit(0)), 6).alias("margen"))
     return margin.orderBy("margen", "vec_id").limit(50)
 
 

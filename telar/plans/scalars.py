@@ -97,7 +97,20 @@ def numerals(t: Tables) -> DataFrame:
     return found.withColumn("valor", text.numeral(F.col("texto")))
 
 
-@query("f10_cifras_con_unidad")
+def sql_figures(c: str) -> str:
+    """SQL for the array of (value, unit) of ``text.figures``: runs of digits and separators, read whole or not at all."""
+    runs = rf"regexp_extract_all({bare(c)}, '[:./-]?[0-9][0-9.,:/-]*(?:\s+\p{{L}}+)?')"
+    run = r"regexp_extract(m, '^([:./-]?[0-9][0-9.,:/-]*)', 1)"
+    kept = rf"regexp_replace({run}, '[.,]+$', '')"
+    value = rf"""CASE WHEN regexp_full_match({kept}, '[0-9]{{1,3}}([.,][0-9]{{3}})+') THEN TRY_CAST(regexp_replace({kept}, '[.,]', '', 'g') AS DOUBLE)
+      WHEN regexp_full_match({kept}, '[0-9]{{1,3}}(\.[0-9]{{3}})+,[0-9]+') THEN TRY_CAST(replace(replace({kept}, '.', ''), ',', '.') AS DOUBLE)
+      WHEN regexp_full_match({kept}, '[0-9]{{1,3}}(,[0-9]{{3}})+\.[0-9]+') THEN TRY_CAST(replace({kept}, ',', '') AS DOUBLE) WHEN regexp_full_match({kept}, '[0-9]+([.,][0-9]+)*') THEN TRY_CAST(replace({kept}, ',', '.') AS DOUBLE) END"""
+    unit = rf"CASE WHEN {kept} = {run} THEN regexp_extract(m, '\s(\p{{L}}+)$', 1)[1:5] ELSE '' END"
+    pairs = f"list_transform({runs}, lambda m: {{'value': {value}, 'unit': {unit}}})"
+    return f"list_filter({pairs}, lambda s: s.value IS NOT NULL AND NOT (s.value >= 1900 AND s.value <= 2100 AND s.value = floor(s.value)))"
+
+
+@query("f10_cifras_con_unidad", f"SELECT fila, n FROM (SELECT fila, len(list_filter({sql_figures('titulo')}, lambda s: s.unit <> '')) AS n FROM noticias) WHERE n > 0")
 def figures_with_unit(t: Tables) -> DataFrame:
     """number of figures with a unit per headline; years are left out."""
     f = F.filter(text.figures(F.col("titulo")), lambda s: s["unit"] != "")
