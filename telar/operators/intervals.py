@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telar.session import cut
+
 MICROS_DAY = 86_400_000_000
 
 
@@ -28,62 +30,57 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, slice_
     * An empty table gives an empty result; other columns of ``df`` are ignored, whatever their names.
 
     ``slice_days`` bounds what one task holds: the distinct starts of one key within one slice. The windows by key
-    alone see one row per slice, not per range.
+    alone see one row per slice, not per range. Merged ranges are written to the checkpoint folder twice, so that each
+    step reads them instead of merging again.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
+    # One key that is never null: its fields may be, and two nulls are equal, so that joins need no other key.
     ranges = (
-        df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(start).alias("__s"), F.col(end).alias("__e"))
+        df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"))
         .where("__s is not null and __e is not null and __e > __s")
-        .groupBy(*names, "__s")
+        .groupBy("__k", "__s")
         .agg(F.max("__e").alias("__e"))
         .withColumn("__slice", F.floor(_micros("__s") / (slice_days * MICROS_DAY)).cast("long"))
     )
     span = (_micros("__e") - _micros("__s")).cast("decimal(24,6)") / F.lit(1_000_000)
-    sessions = (
+    in_slice = Window.partitionBy("__k", "__slice").orderBy("__s")
+    by_key = Window.partitionBy("__k").orderBy("__slice")
+    before = in_slice.rowsBetween(Window.unboundedPreceding, -1)
+    # Touching sessions stay apart in some releases: the running end within the slice joins them.
+    local = cut(
         ranges.withColumn("__gap", F.make_interval(secs=span.cast("decimal(18,6)")))
-        .groupBy(*names, "__slice", F.session_window("__s", F.col("__gap")).alias("__w"))
+        .groupBy("__k", "__slice", F.session_window("__s", F.col("__gap")).alias("__w"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*names, "__slice", F.col("__w.start").alias("__s"), F.col("__w.end").alias("__e"))
+        .select("__k", "__slice", F.col("__w.start").alias("__s"), F.col("__w.end").alias("__e"))
+        .withColumn("__before", F.max("__e").over(before))
     )
-    in_slice = Window.partitionBy(*names, "__slice").orderBy("__s")
-    # Touching sessions stay apart in some releases: the running end within the slice joins them.
-    local = sessions.withColumn("__before", F.max("__e").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)))
-    by_key = Window.partitionBy(*names).orderBy("__slice")
     carried = (
-        local.groupBy(*names, "__slice").agg(F.max("__e").alias("__max"))
+        local.groupBy("__k", "__slice").agg(F.max("__e").alias("__max"))
         .withColumn("__carry", F.max("__max").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*[F.col(n).alias(f"c{n}") for n in names], F.col("__slice").alias("__cslice"), "__carry", "__max")
     )
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"c{n}"))
-    opened = (
-        local.join(carried, same & (F.col("__slice") == F.col("__cslice")))
+    opened = cut(
+        local.join(carried.hint("merge"), ["__k", "__slice"])
         .withColumn("__prev", F.greatest("__before", "__carry"))
         .withColumn("__top", F.greatest("__max", "__carry"))
         .withColumn("__opens", F.col("__prev").isNull() | (F.col("__s") > F.col("__prev")))
+        .select("__k", "__slice", "__s", "__prev", "__top", "__opens")
     )
     # A slice that opens no period passes on; __first is the end of the period before the slice's first opening.
     slices = (
-        opened.groupBy(*names, "__slice")
+        opened.groupBy("__k", "__slice")
         .agg(F.min(F.when(F.col("__opens"), F.struct("__s", "__prev"))).alias("__first"), F.max("__top").alias("__top"))
         .withColumn("__next", F.first("__first", ignorenulls=True).over(by_key.rowsBetween(1, Window.unboundedFollowing)))
-        .withColumn("__last", F.max("__top").over(Window.partitionBy(*names)))
-        .select(*[F.col(n).alias(f"c{n}") for n in names], F.col("__slice").alias("__cslice"), F.coalesce("__next.__prev", "__last").alias("__after"))
-    )
-    periods = (
-        opened.where("__opens").select(*names, "__slice", "__s", "__prev")
-        .withColumn("__here", F.lead("__prev").over(in_slice))
-        .join(slices, same & (F.col("__slice") == F.col("__cslice")))
+        .withColumn("__last", F.max("__top").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .select("__k", "__slice", F.coalesce("__next.__prev", "__last").alias("__after"))
     )
+    periods = opened.where("__opens").withColumn("__here", F.lead("__prev").over(in_slice)).join(slices.hint("merge"), ["__k", "__slice"])
     rows = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("__s").alias("start"), F.coalesce("__here", "__after").alias("end")),
         F.struct(F.lit("gap").alias("kind"), F.col("__prev").alias("start"), F.col("__s").alias("end")),
     )
     return (
-        periods.select(*names, F.explode(rows).alias("__r"))
+        periods.select("__k", F.explode(rows).alias("__r"))
         .where("__r.start is not null")
-        .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "__r.kind", "__r.start", "__r.end")
+        .select(*[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)], "__r.kind", "__r.start", "__r.end")
     )
 
 
