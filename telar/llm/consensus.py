@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,27 +55,44 @@ def _features(text: str | None, hint: str | None, width: int) -> list[int]:
     return [0, *sorted({1 + zlib.crc32(m.encode()) % (width - 1) for m in marks})]
 
 
-def _log_prior(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
-    out = np.array([weights[r].sum(0) for r in rows]) if rows else np.zeros((0, weights.shape[1]))
-    out -= out.max(1, keepdims=True, initial=0)
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and each row's length; nothing is turned into Python objects."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    return column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ints(column) -> tuple[np.ndarray, np.ndarray]:
+    values, lengths = _flat(column)
+    return values.to_numpy(zero_copy_only=False).astype(np.int64), lengths
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+def _log_prior(weights: np.ndarray, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Log of the classifier's output; each row has a feature at least, the bias."""
+    if not len(lengths):
+        return np.zeros((0, weights.shape[1]))
+    out = np.add.reduceat(weights[features], _starts(lengths), axis=0)
+    out -= out.max(1, keepdims=True)
     return out - np.log(np.exp(out).sum(1, keepdims=True))
 
 
 def _prior(weights: np.ndarray, x: Column) -> Column:
     def prior(rows: pa.Array) -> pa.Array:
-        return pa.array(list(_log_prior(weights, rows.to_pylist())), pa.list_(pa.float64()))
+        return pa.array(list(_log_prior(weights, *_ints(rows))), pa.list_(pa.float64()))
 
     return F.arrow_udf(prior, T.ArrayType(T.DoubleType()))(x)
 
 
-def _fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, weights: np.ndarray, decay: float = 1.0, steps: int = 100) -> np.ndarray:
+def _fit_classifier(feature: np.ndarray, lengths: np.ndarray, target: np.ndarray, width: int, weights: np.ndarray, decay: float = 1.0, steps: int = 100) -> np.ndarray:
     """Multinomial logistic regression on soft targets with an L2 penalty, by gradient steps per feature within the curvature's bound."""
-    if not rows:
+    if not len(lengths):
         return weights
-    lengths = [len(r) for r in rows]
-    feature, row = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), lengths)
+    row, starts = np.repeat(np.arange(len(lengths)), lengths), _starts(lengths)
     scale = 1.0 / (np.bincount(feature, np.repeat(lengths, lengths) / 2, minlength=width) + decay)[:, None]
-    starts = np.cumsum([0, *lengths[:-1]])
     order = np.argsort(feature, kind="stable")
     by_feature, bounds = row[order], np.searchsorted(feature[order], np.arange(width + 1))
     present = np.flatnonzero(np.diff(bounds))
@@ -122,7 +141,7 @@ def closed(
     k = len(classes)
     packed = cut(_numbered(lab, names).groupBy("item").agg(F.collect_list(F.struct("a", "v")).alias("g")).join(x, "item").select("item", "x", F.col("g.a").alias("a"), F.col("g.v").alias("v")))
     sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("x", "a", "v").toArrow()
-    rows, annotator, given = sample["x"].to_pylist(), sample["a"].to_pylist(), sample["v"].to_pylist()
+    held = _ints(sample["x"]), _ints(sample["a"]), _ints(sample["v"])[0]
     share = smoothing * np.where(np.eye(k, dtype=bool), 0.7, 0.3 / max(k - 1, 1))
     confusion = np.repeat(np.log(share / smoothing).T[None], max(len(names), 1), 0)
     weights, counts = np.zeros((width, k)), np.zeros((len(names), k, k))
@@ -131,8 +150,8 @@ def closed(
         final = (confusion, weights)
         if r == rounds - 1:
             break
-        post = _weigh(rows, annotator, given, confusion, weights)
-        weights = _fit_classifier(rows, post, width, weights)
+        post = _weigh(*held, confusion, weights)
+        weights = _fit_classifier(*held[0], post, width, weights)
         confusion = np.log((counts + share.T[None]) / (counts.sum(1, keepdims=True) + smoothing))
     consensus = _agreed(packed, final, classes)
     total = counts.sum((1, 2))
@@ -154,13 +173,11 @@ def _numbered(lab: DataFrame, names: dict[str, int]) -> DataFrame:
     return lab.join(F.broadcast(numbers), "annotator").drop("annotator")
 
 
-def _weigh(x: list, annotator: list, given: list, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """[item, class] posterior of items with at least one label each."""
-    if not x:
+def _weigh(x: tuple, annotator: tuple, given: np.ndarray, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """[item, class] posterior of items with at least one label each; ``x`` and ``annotator`` are values and lengths."""
+    if not len(x[1]):
         return np.zeros((0, weights.shape[1]))
-    starts = np.cumsum([0, *map(len, annotator[:-1])])
-    evidence = confusion[np.concatenate(annotator).astype(int), np.concatenate(given).astype(int)]
-    score = _log_prior(weights, x) + np.add.reduceat(evidence, starts, axis=0)
+    score = _log_prior(weights, *x) + np.add.reduceat(confusion[annotator[0], given], _starts(annotator[1]), axis=0)
     odds = np.exp(score - score.max(1, keepdims=True))
     return odds / odds.sum(1, keepdims=True)
 
@@ -172,9 +189,8 @@ def _confusion_counts(packed: DataFrame, confusion: np.ndarray, weights: np.ndar
     def count(batches):
         total = np.zeros((n, k, k))
         for batch in batches:
-            x, a, v = (c.to_pylist() for c in batch.columns)
-            post = _weigh(x, a, v, confusion, weights)
-            np.add.at(total, (np.concatenate(a).astype(int), np.concatenate(v).astype(int)), np.repeat(post, list(map(len, a)), 0)) if x else None
+            x, a, v = _ints(batch.column(0)), _ints(batch.column(1)), _ints(batch.column(2))[0]
+            np.add.at(total, (a[0], v), np.repeat(_weigh(x, a, v, confusion, weights), a[1], 0))
         i, j = np.nonzero(total.any(2))
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(total[i, j, t]) for t in range(k)]], ["a", "v", *[f"p{t}" for t in range(k)]])
 
@@ -188,14 +204,16 @@ def _confusion_counts(packed: DataFrame, confusion: np.ndarray, weights: np.ndar
 
 
 def _agreed(packed: DataFrame, final: tuple[np.ndarray, np.ndarray], classes: list[str]) -> DataFrame:
+    names = np.array(classes, object)
+
     def decide(batches):
         for batch in batches:
-            item, x, a, v = batch.columns
-            post = _weigh(x.to_pylist(), a.to_pylist(), v.to_pylist(), *final)
+            x, a, v = _ints(batch.column(1)), _ints(batch.column(2)), _ints(batch.column(3))[0]
+            post, many = _weigh(x, a, v, *final), a[1]
             best = post.argmax(1) if len(post) else np.zeros(0, int)
-            same = [sum(g == b for g in labels) / len(labels) for labels, b in zip(v.to_pylist(), best)]
+            same = np.add.reduceat((v == np.repeat(best, many)).astype(float), _starts(many)) / many if len(many) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [item, pa.array([classes[b] for b in best], pa.string()), pa.array(post.max(1) if len(post) else [], pa.float64()), pa.array(same, pa.float64()), pa.array([len(g) for g in v.to_pylist()], pa.int64())],
+                [batch.column(0), pa.array(names[best], pa.string()), pa.array(post.max(1, initial=0)), pa.array(same), pa.array(many)],
                 ["item", "value", "confidence", "agreement", "n_labels"],
             )
 
@@ -209,7 +227,8 @@ def _closed_joined(lab: DataFrame, x: DataFrame, classes: list[str], rounds: int
     p, l = [f"p{t}" for t in range(k)], [f"l{t}" for t in range(k)]
 
     sample = x.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("item", "x").collect()
-    rows = [r.x for r in sample]
+    lengths = np.array([len(r.x) for r in sample], np.int64)
+    features = np.array([f for r in sample for f in r.x], np.int64)
     chosen = lab.sparkSession.createDataFrame([(r.item,) for r in sample], x.select("item").schema)
     weights = np.zeros((width, k))
     share = smoothing * np.where(np.eye(k, dtype=bool), 0.7, 0.3 / max(k - 1, 1))
@@ -237,7 +256,7 @@ def _closed_joined(lab: DataFrame, x: DataFrame, classes: list[str], rounds: int
         found = post.join(chosen, "item").collect() if sample else []
         targets = {r.item: [r[c] for c in p] for r in found}
         if targets:
-            weights = _fit_classifier(rows, np.array([targets[r.item] for r in sample]), width, weights)
+            weights = _fit_classifier(features, lengths, np.array([targets[r.item] for r in sample]), width, weights)
     best = F.greatest(*p) if k > 1 else F.col(p[0])
     value = F.coalesce(*[F.when(F.col(p[t]) == best, F.lit(t)) for t in range(k)])
     agreed = post.select("item", value.alias("t"), best.alias("confidence"))
@@ -251,16 +270,17 @@ def _closed_joined(lab: DataFrame, x: DataFrame, classes: list[str], rounds: int
 
 
 def _match_features(text: str | None, value: str) -> list[float]:
-    """How well a value's words are found in the item's text: share found, share of letters found, words not found."""
+    """How well a value's words are found in the item's text: share found, its longest word found, words not found.
+
+    The value's longest word counts by itself: of a composed value it is the one that names something.
+    """
     words = [w for w in re.split(r"[^\w]+", bare(value)) if w]
     there = bare(text) if text else ""
     tokens = set(_WORD.findall(there))
     if not words:
         return [0.0, 0.0, 0.0]
-    rest = words[1:] or words
-    found = [w in tokens for w in rest]
-    near = [1.0 if f else 0.75 * _one_apart(w, tokens) for w, f in zip(rest, found)]
-    return [sum(near) / len(rest), float(words[0] in there), float(len(rest) - sum(near))]
+    near = [1.0 if w in tokens else 0.75 * _one_apart(w, tokens) for w in words]
+    return [sum(near) / len(words), near[max(range(len(words)), key=lambda i: len(words[i]))], float(len(words) - sum(near))]
 
 
 def _one_apart(word: str, tokens: set[str]) -> bool:
@@ -275,7 +295,7 @@ def _one_apart(word: str, tokens: set[str]) -> bool:
 
 
 BUCKETS = 128
-START = np.array([2.0, 0.5, -0.5, 0.1])
+START = np.array([2.0, 0.5, -1.0, 0.1])
 
 
 def _bucket(value: str) -> Column:
@@ -308,7 +328,7 @@ def open_values(
     each = F.array_sort(F.collect_list(F.struct("value", _bucket("value").alias("b"), "x", "a")))
     packed = cut(cand.join(who, ["item", "value"]).groupBy("item").agg(each.alias("c")).select("item", "c.value", "c.b", "c.x", "c.a"))
     sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("value", "b", "x", "a").toArrow()
-    held = [sample[c].to_pylist() for c in ("value", "b", "x", "a")]
+    held = _candidates(*[sample[c] for c in ("b", "x", "a")])
     gain, weights = np.full((max(len(names), 1), BUCKETS), 3.0), START
     sums = np.zeros((len(names), 2))
     for r in range(rounds):
@@ -317,8 +337,7 @@ def open_values(
         final = (gain, weights)
         if r == rounds - 1:
             break
-        post, starts = _choose(*held[1:], gain, weights)
-        weights = _fit_packed(held[2], post, starts, weights, decay)
+        weights = _fit_packed(held, _choose(held, gain, weights), weights, decay)
         sure = (right + 3.0) / (sums[:, 1] + 4.0)
         slip = np.minimum((wrong + 2.0 / BUCKETS) / (wrong.sum(1, keepdims=True) + 2.0), 0.999)
         gain = np.log(1 + sure[:, None] / ((1 - sure[:, None]) * slip))
@@ -328,18 +347,31 @@ def open_values(
     return _chosen(packed, final), annotators
 
 
-def _choose(b: list, x: list, a: list, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of every candidate, items one after another, and where each item begins."""
-    if not b:
-        return np.zeros(0), np.zeros(0, int)
-    starts = np.cumsum([0, *map(len, b[:-1])])
-    owners = [w for item in a for w in item]
-    first = np.cumsum([0, *map(len, owners[:-1])])
-    evidence = gain[np.concatenate(owners).astype(int), np.repeat(np.concatenate(b).astype(int), list(map(len, owners)))]
-    score = np.concatenate([np.array(v, float) for v in x]) @ weights + np.add.reduceat(evidence, first)
-    group = np.repeat(np.arange(len(b)), list(map(len, b)))
-    odds = np.exp(score - np.maximum.reduceat(score, starts)[group])
-    return odds / np.add.reduceat(odds, starts)[group], starts
+class _Candidates(NamedTuple):
+    """Candidates of a batch of items, one item after another."""
+
+    bucket: np.ndarray  # of each candidate
+    sizes: np.ndarray  # candidates of each item
+    features: np.ndarray  # [candidate, feature]
+    owners: np.ndarray  # annotators of each candidate, one after another
+    many: np.ndarray  # annotators of each candidate
+
+
+def _candidates(b, x, a) -> _Candidates:
+    bucket, sizes = _ints(b)
+    features = _flat(_flat(x)[0])[0].to_numpy(zero_copy_only=False).reshape(-1, len(START))
+    owners, many = _ints(_flat(a)[0])
+    return _Candidates(bucket, sizes, features, owners, many)
+
+
+def _choose(c: _Candidates, gain: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Posterior of every candidate; each has an annotator at least."""
+    if not len(c.sizes):
+        return np.zeros(0)
+    evidence = np.add.reduceat(gain[c.owners, np.repeat(c.bucket, c.many)], _starts(c.many))
+    score, starts = c.features @ weights + evidence, _starts(c.sizes)
+    odds = np.exp(score - np.repeat(np.maximum.reduceat(score, starts), c.sizes))
+    return odds / np.repeat(np.add.reduceat(odds, starts), c.sizes)
 
 
 def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,14 +381,10 @@ def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) ->
     def count(batches):
         right, wrong = np.zeros(n), np.zeros((n, BUCKETS))
         for batch in batches:
-            b, x, a = (c.to_pylist() for c in batch.columns)
-            if not b:
-                continue
-            post, _ = _choose(b, x, a, gain, weights)
-            owners = [w for item in a for w in item]
-            who, many = np.concatenate(owners).astype(int), list(map(len, owners))
-            np.add.at(right, who, np.repeat(post, many))
-            np.add.at(wrong, (who, np.repeat(np.concatenate(b).astype(int), many)), np.repeat(1 - post, many))
+            c = _candidates(*batch.columns)
+            post = np.repeat(_choose(c, gain, weights), c.many)
+            np.add.at(right, c.owners, post)
+            np.add.at(wrong, (c.owners, np.repeat(c.bucket, c.many)), 1 - post)
         i, j = np.nonzero(wrong)
         k = np.flatnonzero(right)
         yield pa.RecordBatch.from_arrays([
@@ -374,24 +402,26 @@ def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) ->
 def _chosen(packed: DataFrame, final: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def decide(batches):
         for batch in batches:
-            item, value, b, x, a = (c.to_pylist() for c in batch.columns)
-            post, starts = _choose(b, x, a, *final)
-            best = [int(np.argmax(post[s : s + len(v)])) for s, v in zip(starts, value)]
-            labels = [sum(map(len, w)) for w in a]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([v[k] for v, k in zip(value, best)], pa.string()), pa.array([float(post[s + k]) for s, k in zip(starts, best)], pa.float64()),
-                pa.array([len(w[k]) / n for w, k, n in zip(a, best, labels)], pa.float64()), pa.array(labels, pa.int64()),
-            ], ["item", "value", "confidence", "agreement", "n_labels"])
+            c = _candidates(*[batch.column(i) for i in (2, 3, 4)])
+            post, starts = _choose(c, *final), _starts(c.sizes)
+            # The first candidate, by value, of those with the item's highest posterior.
+            top = np.repeat(np.maximum.reduceat(post, starts), c.sizes) if len(post) else post
+            place = np.where(post >= top, np.arange(len(post)), len(post))
+            best = np.minimum.reduceat(place, starts) if len(post) else np.zeros(0, np.int64)
+            labels = np.add.reduceat(c.many, starts) if len(post) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _flat(batch.column(1))[0].take(pa.array(best)).cast(pa.string()), pa.array(post[best]), pa.array(c.many[best] / np.maximum(labels, 1)), pa.array(labels)],
+                ["item", "value", "confidence", "agreement", "n_labels"],
+            )
 
     kind = packed.schema["item"].dataType.simpleString()
     return packed.select("item", "value", "b", "x", "a").mapInArrow(decide, f"item {kind}, value string, confidence double, agreement double, n_labels bigint")
 
 
-def _fit_packed(x: list, post: np.ndarray, starts: np.ndarray, weights: np.ndarray, decay: float) -> np.ndarray:
-    if not x:
+def _fit_packed(c: _Candidates, post: np.ndarray, weights: np.ndarray, decay: float) -> np.ndarray:
+    if not len(c.sizes):
         return weights
-    sizes = np.diff([*starts, len(post)])
-    return _ascend(np.concatenate([np.array(v, float) for v in x]), post, starts, np.repeat(np.arange(len(starts)), sizes), weights, decay)
+    return _ascend(c.features, post, _starts(c.sizes), np.repeat(np.arange(len(c.sizes)), c.sizes), weights, decay)
 
 
 def _open_joined(lab: DataFrame, cand: DataFrame, rounds: int, sample_items: int, decay: float) -> tuple[DataFrame, DataFrame]:

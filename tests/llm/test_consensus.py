@@ -80,3 +80,17 @@ def test_edges(spark):
     assert [x.count() for x in closed(lab, items, [])] == [0, 0]
     tie = spark.createDataFrame([("a", "ana", "luz"), ("a", "bea", "agua")], "item string, annotator string, value string")
     assert closed(tie, items.limit(0), CLASSES)[0].first().value == "agua"
+
+
+def test_both_ways_give_the_same_rows(spark):
+    """Matrices sent with each round, or joined as a table: the same values, confidences and reliabilities."""
+    truth, labels, items = simulated(120, seed=5)
+    lab = spark.createDataFrame(labels, "item string, annotator string, value string")
+    it = spark.createDataFrame(items, "item string, text string, hint string")
+    for make in (lambda most: closed(lab, it, CLASSES, max_annotators=most), lambda most: open_values(lab, it, max_annotators=most)):
+        (a, who_a), (b, who_b) = make(20_000), make(0)
+        x, y = ({r.item: r for r in agreed.collect()} for agreed in (a, b))
+        assert {i: r.value for i, r in x.items()} == {i: r.value for i, r in y.items()}
+        assert all(abs(x[i].confidence - y[i].confidence) < 1e-6 and abs(x[i].agreement - y[i].agreement) < 1e-12 and x[i].n_labels == y[i].n_labels for i in x)
+        p, q = ({r.annotator: r.reliability for r in w.collect()} for w in (who_a, who_b))
+        assert p.keys() == q.keys() and all(abs(p[k] - q[k]) < 1e-6 for k in p)
