@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions.stats import wilson
-from telar.operators.prefix import running_before
+from telar.operators.prefix import places, running_before
+from telar.session import cut
 
 
 def merge_first_non_null(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -172,24 +173,42 @@ def within_interval(left: DataFrame, right: DataFrame, key: str, left_time: str,
 def rank_with_ties(df: DataFrame, score: str, second: str, id: str, decimals: int = 1, second_decimals: int = 9) -> DataFrame:
     """``position`` by rounded score and second score, both descending, then id; ``ties``: others with the same rounded score. A null score comes last.
 
-    Positions come from counts per rounded score and a sort within each, so that no task sees the whole table.
+    Positions are places in ranges of the whole order and ties counts per rounded score, so that no task sees the whole
+    table or all rows of one score.
     """
     shown, then = F.coalesce(F.round(F.col(score).cast("double"), decimals), F.lit(float("-inf"))), F.round(F.col(second), second_decimals)
-    levels = df.groupBy(shown.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    before = running_before(levels, [-F.col("__s")], F.col("__n"), "__before")
-    inside = F.row_number().over(Window.partitionBy("__s").orderBy(F.desc("__u"), id))
-    return (
-        df.withColumn("__s", shown).withColumn("__u", then).join(before, "__s")
-        .withColumn("position", F.col("__before") + inside).withColumn("ties", F.col("__n") - 1).drop("__s", "__u", "__n", "__before")
-    )
+    levels = df.groupBy(shown.alias("__s")).agg((F.count(F.lit(1)) - 1).alias("ties"))
+    last = F.coalesce(-then, F.lit(float("inf")))
+    return places(df.withColumn("__s", shown), [-shown, last, F.col(id)], "position").join(levels, "__s").drop("__s")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and interpolated percentiles by name, exact: from counts per value, so that no task holds a group's values.
+
+    Null values are left out; a group without others gives no row. Equal values are one row from the start.
+    """
+    names = [f"__g{i}" for i in range(len(keys))]
+    levels = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    order = [o for n in names for o in (F.col(n).isNull(), F.col(n))]
+    at = cut(running_before(levels, [*order, F.col("__v")], F.col("__n"), "__b"))
+    sizes = at.groupBy(*names).agg(F.min("__b").alias("__first"), F.sum("__n").alias("__all")).select(*[F.col(n).alias(f"j{n}") for n in names], "__first", "__all")
+    same = reduce(lambda c, n: c & F.col(n).eqNullSafe(F.col(f"j{n}")), names, F.lit(True))
+    rows = at.join(sizes, same).withColumn("__from", F.col("__b") - F.col("__first"))
+    place = lambda q: (F.col("__all") - 1) * F.lit(q)
+    here = lambda i: F.when((F.col("__from") <= i) & (i < F.col("__from") + F.col("__n")), F.col("__v"))
+    ends = [F.max(here(end(place(q)))).alias(f"{n}_{k}") for n, q in shares.items() for k, end in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*names).agg(F.first("__all").alias("__all"), *ends)
+    between = lambda n, p: (F.ceil(p) - p) * F.col(f"{n}_low") + (p - F.floor(p)) * F.col(f"{n}_high")
+    value_at = lambda n, q: F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(between(n, place(q)))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[value_at(n, q).alias(n) for n, q in shares.items()])
 
 
 def tie_at_cut(df: DataFrame, score: str, k: int) -> DataFrame:
     """Value at the k-th place, rows with that value, and how many of them lie inside and outside of the cut."""
     best = df.orderBy(F.desc(score)).limit(k)
-    cut = best.agg(F.min(score).alias("value"))
-    inside = best.join(F.broadcast(cut), F.col(score) == F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("inside"))
-    every = df.join(F.broadcast(cut), F.col(score) == F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("tied"))
+    edge = best.agg(F.min(score).alias("value"))
+    inside = best.join(F.broadcast(edge), F.col(score) == F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("inside"))
+    every = df.join(F.broadcast(edge), F.col(score) == F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("tied"))
     return every.join(inside, "value").withColumn("outside", F.col("tied") - F.col("inside"))
 
 

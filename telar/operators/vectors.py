@@ -15,6 +15,12 @@ from telar.functions.stats import dot, unit
 from telar.session import cut
 
 
+def _units(rows: list) -> np.ndarray:
+    """Rows as a matrix of vectors of length 1; vectors of zeros stay."""
+    m = np.array(rows, np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def hashed_words(words: Column, size: int = 256) -> Column:
     """A bag of words of fixed size by CRC-32, the encoder that needs no model; an empty bag is a vector of zeros."""
 
@@ -100,26 +106,45 @@ def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int,
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_edges(df: DataFrame, id: str, vector: str, threshold: float, chunk: int = 1000) -> DataFrame:
-    """``a`` < ``b`` with cosine above the threshold: exact, by products of blocks of rows.
+def similar_edges(df: DataFrame, id: str, vector: str, threshold: float, chunk: int = 1000, max_pivots: int = 1000) -> DataFrame:
+    """``a`` < ``b`` with cosine above the threshold: exact, by products of blocks of rows that may hold such a pair.
 
-    Rows are cut into numbered blocks; each pair of blocks is one product of two matrices, so the work is spread over
-    (n/chunk)² / 2 tasks and no task holds more than two blocks. Rows without id or vector have no edges.
+    An index of pivots says which: each row goes to the pivot at the smallest angle, and two blocks whose pivots lie
+    further apart than their radii and the threshold's angle together hold no pair (triangle inequality), so nothing is
+    missed. Pivots, one per ``chunk`` rows and at most ``max_pivots``, are the rows of smallest hash; every row is
+    indexed. Blocks of more than ``chunk`` rows are split by hash, so that no task holds more than two parts. What
+    comes to the driver is one row per pivot. Rows without id or vector have no edges.
     """
     kind = df.schema[id].dataType.simpleString()
-    df = df.where(F.col(id).isNotNull() & F.col(vector).isNotNull())
-    n_blocks = max(1, -(-df.count() // chunk))
-    rows = df.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(n_blocks)).cast("int").alias("block"))
-    pairs = F.array(*[F.lit(0)]) if n_blocks == 1 else F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    spread = rows.withColumn("other", F.explode(pairs)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    df = df.where(F.col(id).isNotNull() & F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("v"))
+    spark, n = df.sparkSession, df.count()
+    chosen = df.orderBy(F.xxhash64("id"), "id").limit(min(max_pivots, max(1, -(-n // chunk)))).select("v").collect()
+    pivots = _units([r.v for r in chosen])
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def place(vectors: pa.Array) -> pa.Array:
+        rows = vectors.to_pylist()
+        cos = np.clip(_units(rows) @ shared.value.T, -1.0, 1.0) if rows else np.zeros((0, 1))
+        best = cos.argmax(1)
+        return pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(np.arccos(cos[np.arange(len(rows)), best]))], ["block", "angle"])
+
+    placed = cut(df.withColumn("p", F.arrow_udf(place, "struct<block:int,angle:double>")("v")).select("id", "v", "p.block", "p.angle"))
+    blocks = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
+    number, radius = np.array([r.block for r in blocks], int), np.array([r.r for r in blocks])
+    apart = np.arccos(np.clip(pivots[number] @ pivots[number].T, -1.0, 1.0)) if blocks else np.zeros((0, 0))
+    i, j = np.nonzero(apart - radius[:, None] - radius[None] <= np.arccos(np.clip(threshold, -1.0, 1.0)) + 1e-6)
+    parts = {r.block: -(-r.n // chunk) for r in blocks}
+    meets = spark.createDataFrame([(int(number[x]), int(number[y]), parts[int(number[x])], parts[int(number[y])]) for x, y in zip(i, j)], "block int, other int, own bigint, parts bigint")
+    code = lambda block, part: F.shiftleft(F.col(block).cast("bigint"), 32) + part
+    each = placed.join(F.broadcast(meets), "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    each = each.withColumns({"block": code("block", F.pmod(F.xxhash64("id"), F.col("own"))), "with": code("other", F.col("part"))})
+    spread = each.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).select("id", "v", "block", "lo", "hi")
 
     def edges(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame[frame["block"] == key[0]], frame[frame["block"] == key[1]]
         if lo.empty or hi.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        m = [np.stack(f["v"].to_numpy()).astype(np.float64) for f in (lo, hi)]
-        m = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in m]
-        s = m[0] @ m[1].T
+        s = _units(lo["v"].tolist()) @ _units(hi["v"].tolist()).T
         i, j = np.nonzero(s > threshold)
         x, y = lo["id"].to_numpy()[i], hi["id"].to_numpy()[j]
         keep = x < y if key[0] == key[1] else x != y

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions import stats, text, urls
-from telar.operators import metrics, retrieval, vectors
+from telar.operators import metrics, retrieval, tables, vectors
 from telar.plans.registry import Registry, Tables
 from telar.plans.scalars import bare, spaced
 
@@ -172,7 +172,7 @@ def bootstrap(t: Tables) -> DataFrame:
 @query("e06_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def percentiles(t: Tables) -> DataFrame:
     """Exact interpolated percentiles."""
-    return t.events.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    return tables.percentiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("e08_recuerdo", f"""

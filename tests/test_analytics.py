@@ -31,6 +31,17 @@ def test_nearest_and_edges(spark):
     for chunk in (1000, 13):
         assert sorted((r.a, r.b) for r in vectors.similar_edges(df, "id", "v", 0.8, chunk).collect()) == want
     assert vectors.similar_edges(df.limit(0), "id", "v", 0.8).count() == 0
+    # Clustered points: blocks that can hold no pair aren't compared, and none is missed; few pivots make parts.
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 8))
+    many = [(i, (centres[i % 6] + 0.15 * rng.normal(size=8)).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8)]
+    m = np.array([v for _, v in many[:300]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    want = sorted((i, j) for i, j in combinations(range(300), 2) if s[i, j] > 0.9)
+    frame = spark.createDataFrame(many, "id long, v array<double>")
+    for chunk, most in ((20, 1000), (20, 3), (7, 10)):
+        assert sorted((r.a, r.b) for r in vectors.similar_edges(frame, "id", "v", 0.9, chunk, most).collect()) == want
 
 
 def test_components_against_union_find(spark):

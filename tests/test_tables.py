@@ -83,3 +83,16 @@ def test_running_totals_and_places(spark):
         total += v
     assert sorted((r.id, r.p) for r in places(d, [-F.col("x"), F.col("id")], "p").collect()) == sorted((r[0], n) for n, r in enumerate(sorted(data, key=lambda r: (-r[1], r[0])), 1))
     assert places(d.limit(0), [F.col("x")], "p").count() == 0
+
+
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), (None, 101), ("c", 40)) for v in rng.integers(0, 30, n)] + [("a", None), ("d", None)]
+    got = {r.g: (r.p50, r.p9) for r in ops.percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"p50": 0.5, "p9": 0.9}).collect()}
+    for g in ("a", "b", "c", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose(got[g], (np.quantile(own, 0.5), np.quantile(own, 0.9)))
+    assert set(got) == {"a", "b", "c", None}
+    assert ops.percentiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", {"p": 0.5}).count() == 0
