@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -67,6 +68,24 @@ def _ints(column) -> tuple[np.ndarray, np.ndarray]:
     return values.to_numpy(zero_copy_only=False).astype(np.int64), lengths
 
 
+def _blobs(packed: DataFrame, columns: list[str], read: Callable[..., tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """A row of flat arrays per batch of items, written once: the rounds read arrays and no lists."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                arrays = read(*batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays], names)
+
+    return cut(packed.select(*columns).mapInArrow(pack, ", ".join(f"{n} binary" for n in names)))
+
+
+def _arrays(batches, kinds: list) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [np.frombuffer(c[i].as_buffer(), k) for c, k in zip(batch.columns, kinds)]
+
+
 def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
@@ -140,13 +159,14 @@ def closed(
         return _closed_joined(lab, x, classes, rounds, sample_items, width, smoothing)
     k = len(classes)
     packed = cut(_numbered(lab, names).groupBy("item").agg(F.collect_list(F.struct("a", "v")).alias("g")).join(x, "item").select("item", "x", F.col("g.a").alias("a"), F.col("g.v").alias("v")))
+    rounds_read = _blobs(packed, ["x", "a", "v"], lambda x, a, v: (*_ints(x), *_ints(a), _ints(v)[0]), ["x", "nx", "a", "na", "v"])
     sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("x", "a", "v").toArrow()
     held = _ints(sample["x"]), _ints(sample["a"]), _ints(sample["v"])[0]
     share = smoothing * np.where(np.eye(k, dtype=bool), 0.7, 0.3 / max(k - 1, 1))
     confusion = np.repeat(np.log(share / smoothing).T[None], max(len(names), 1), 0)
     weights, counts = np.zeros((width, k)), np.zeros((len(names), k, k))
     for r in range(rounds):
-        counts = _confusion_counts(packed, confusion, weights)
+        counts = _confusion_counts(rounds_read, confusion, weights)
         final = (confusion, weights)
         if r == rounds - 1:
             break
@@ -182,20 +202,19 @@ def _weigh(x: tuple, annotator: tuple, given: np.ndarray, confusion: np.ndarray,
     return odds / odds.sum(1, keepdims=True)
 
 
-def _confusion_counts(packed: DataFrame, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _confusion_counts(blobs: DataFrame, confusion: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """[annotator, given, class] summed posteriors over all items."""
     n, k, _ = confusion.shape
 
     def count(batches):
         total = np.zeros((n, k, k))
-        for batch in batches:
-            x, a, v = _ints(batch.column(0)), _ints(batch.column(1)), _ints(batch.column(2))[0]
-            np.add.at(total, (a[0], v), np.repeat(_weigh(x, a, v, confusion, weights), a[1], 0))
+        for x, nx, a, na, v in _arrays(batches, [np.int64] * 5):
+            np.add.at(total, (a, v), np.repeat(_weigh((x, nx), (a, na), v, confusion, weights), na, 0))
         i, j = np.nonzero(total.any(2))
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(total[i, j, t]) for t in range(k)]], ["a", "v", *[f"p{t}" for t in range(k)]])
 
     columns = [f"p{t}" for t in range(k)]
-    partial = packed.select("x", "a", "v").mapInArrow(count, "a int, v int, " + ", ".join(f"{c} double" for c in columns))
+    partial = blobs.mapInArrow(count, "a int, v int, " + ", ".join(f"{c} double" for c in columns))
     found = partial.groupBy("a", "v").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     out = np.zeros((n, k, k))
     if found.num_rows:
@@ -327,12 +346,13 @@ def open_values(
     who = _numbered(lab, names).groupBy("item", "value").agg(F.collect_list("a").alias("a"))
     each = F.array_sort(F.collect_list(F.struct("value", _bucket("value").alias("b"), "x", "a")))
     packed = cut(cand.join(who, ["item", "value"]).groupBy("item").agg(each.alias("c")).select("item", "c.value", "c.b", "c.x", "c.a"))
-    sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("value", "b", "x", "a").toArrow()
+    rounds_read = _blobs(packed, ["b", "x", "a"], _candidates, list(_Candidates._fields))
+    sample = packed.withColumn("h", F.xxhash64("item")).orderBy("h", "item").limit(sample_items).select("b", "x", "a").toArrow()
     held = _candidates(*[sample[c] for c in ("b", "x", "a")])
     gain, weights = np.full((max(len(names), 1), BUCKETS), 3.0), START
     sums = np.zeros((len(names), 2))
     for r in range(rounds):
-        right, wrong = _choice_counts(packed, gain, weights)
+        right, wrong = _choice_counts(rounds_read, gain, weights)
         sums = np.stack([right, right + wrong.sum(1)], 1)
         final = (gain, weights)
         if r == rounds - 1:
@@ -374,14 +394,14 @@ def _choose(c: _Candidates, gain: np.ndarray, weights: np.ndarray) -> np.ndarray
     return odds / np.repeat(np.add.reduceat(odds, starts), c.sizes)
 
 
-def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _choice_counts(blobs: DataFrame, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[annotator] expected right labels, [annotator, bucket] expected wrong ones, over all items."""
     n = gain.shape[0]
 
     def count(batches):
         right, wrong = np.zeros(n), np.zeros((n, BUCKETS))
-        for batch in batches:
-            c = _candidates(*batch.columns)
+        for arrays in _arrays(batches, [np.int64, np.int64, np.float64, np.int64, np.int64]):
+            c = _Candidates(*arrays)._replace(features=arrays[2].reshape(-1, len(START)))
             post = np.repeat(_choose(c, gain, weights), c.many)
             np.add.at(right, c.owners, post)
             np.add.at(wrong, (c.owners, np.repeat(c.bucket, c.many)), 1 - post)
@@ -391,7 +411,7 @@ def _choice_counts(packed: DataFrame, gain: np.ndarray, weights: np.ndarray) ->
             pa.array(np.concatenate([i, k]), pa.int32()), pa.array(np.concatenate([j, np.full(len(k), -1)]), pa.int32()), pa.array(np.concatenate([wrong[i, j], right[k]]), pa.float64())
         ], ["a", "b", "s"])
 
-    found = packed.select("b", "x", "a").mapInArrow(count, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()
+    found = blobs.mapInArrow(count, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()
     right, wrong = np.zeros(n), np.zeros((n, BUCKETS))
     a, b, s = (found[c].to_numpy() for c in ("a", "b", "s"))
     right[a[b < 0]] = s[b < 0]
