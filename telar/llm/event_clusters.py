@@ -155,7 +155,8 @@ _READ = (
     T.StructType().add("form", T.StringType()).add("words", T.ArrayType(T.StringType()))
     .add("figures", T.ArrayType(T.DoubleType())).add("rounded", T.ArrayType(T.DoubleType()))
 )
-_WEIGHED = T.ArrayType(T.StructType().add("c", T.IntegerType()).add("w", T.DoubleType()))
+#: A frequent word is one integer: its number, and its weight in steps of 1 / _STEPS in the lowest _BITS.
+_BITS, _STEPS = 10, 64.0
 
 
 def _figure(text: str) -> float:
@@ -203,6 +204,11 @@ def headlines(title: Column) -> Column:
     return F.arrow_udf(convert, _READ)(title)
 
 
+def _mass(words: Column) -> Column:
+    """Summed weight of coded words."""
+    return F.aggregate(words, F.lit(0), lambda s, x: s + x.bitwiseAND(F.lit((1 << _BITS) - 1))) / F.lit(_STEPS)
+
+
 def same_event(a: Column, b: Column) -> Column:
     """Similarity of two headlines: a name in common, agreeing figures, frequent words in common by weight.
 
@@ -213,7 +219,7 @@ def same_event(a: Column, b: Column) -> Column:
     none = (F.size(a["figures"]) == 0) | (F.size(b["figures"]) == 0)
     near = F.exists(a["figures"], lambda p: F.exists(b["figures"], lambda q: F.abs(p - q) <= F.greatest(p, q) * 0.01))
     agree = near | F.arrays_overlap(a["figures"], b["rounded"]) | F.arrays_overlap(a["rounded"], b["figures"])
-    shared = F.aggregate(F.array_intersect(a["words"], b["words"]), F.lit(0.0), lambda s, x: s + x["w"])
+    shared = _mass(F.array_intersect(a["words"], b["words"]))
     names = F.size(F.array_intersect(a["names"], b["names"])) / F.greatest(F.least(F.size(a["names"]), F.size(b["names"])), F.lit(1))
     lighter = F.least(a["mass"], b["mass"])
     part = F.when(lighter > 0, shared / F.greatest(lighter, F.lit(1e-9))).otherwise(names)
@@ -224,8 +230,8 @@ def same_event(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(common, known).when(nameless & (none | agree), 0.1 + whole), F.lit(0.0))
 
 
-def _frequent(rows: DataFrame, n: int, share: float, least: int, most: int) -> dict[str, tuple[int, float]]:
-    """Number and weight (logarithm of inverse frequency) of the words that more than ``share`` of the rows have.
+def _frequent(rows: DataFrame, n: int, share: float, least: int, most: int) -> dict[str, int]:
+    """Code of the words that more than ``share`` of the rows have; the weight is the logarithm of inverse frequency.
 
     There are at most (distinct words of a row on average) / ``share`` of them, whatever the table's size; checked.
     A word whose rows mostly agree on one figure is not among them: it names one event that many headlines report.
@@ -239,22 +245,21 @@ def _frequent(rows: DataFrame, n: int, share: float, least: int, most: int) -> d
     agreed = each.join(F.broadcast(known), "w").select("w", F.explode("rounded").alias("x")).groupBy("w", "x").agg(F.count(F.lit(1)).alias("c"))
     top = {r.w: r.c for r in agreed.groupBy("w").agg(F.max("c").alias("c")).collect()}
     kept = sorted(w for w, c in counts.items() if 2 * top.get(w, 0) <= c)
-    return {w: (i, math.log(n / counts[w])) for i, w in enumerate(kept)}
+    return {w: i << _BITS | min(round(_STEPS * math.log(n / counts[w])), (1 << _BITS) - 1) for i, w in enumerate(kept)}
 
 
-def _split(words: Column, frequent, keep: float) -> tuple[Column, Column]:
-    """The words that aren't frequent, and the frequent ones with number and weight, the heaviest first."""
+def _split(words: Column, frequent) -> tuple[Column, Column]:
+    """The words that aren't frequent, and the codes of those that are, the heaviest first."""
 
     def names(lists: pa.Array) -> pa.Array:
         known = frequent.value
         return pa.array([[w for w in ws if w not in known] for ws in lists.to_pylist()], pa.list_(pa.string()))
 
-    def weighed(lists: pa.Array) -> pa.Array:
-        known = frequent.value
-        kind = pa.list_(pa.struct([("c", pa.int32()), ("w", pa.float64())]))
-        return pa.array([[{"c": c, "w": w} for w, c in sorted(((known[w][1], known[w][0]) for w in ws if w in known), key=lambda x: (-x[0], x[1]))] for ws in lists.to_pylist()], kind)
+    def coded(lists: pa.Array) -> pa.Array:
+        known, low = frequent.value, (1 << _BITS) - 1
+        return pa.array([sorted((known[w] for w in ws if w in known), key=lambda c: (-(c & low), c)) for ws in lists.to_pylist()], pa.list_(pa.int32()))
 
-    return F.arrow_udf(names, T.ArrayType(T.StringType()))(words), F.arrow_udf(weighed, _WEIGHED)(words)
+    return F.arrow_udf(names, T.ArrayType(T.StringType()))(words), F.arrow_udf(coded, T.ArrayType(T.IntegerType()))(words)
 
 
 def _prefix(words: Column, mass: Column, threshold: float) -> Column:
@@ -262,21 +267,23 @@ def _prefix(words: Column, mass: Column, threshold: float) -> Column:
 
     Two headlines that share that much of all their words share one of these (prefix filtering).
     """
+    weight = lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1)) / F.lit(_STEPS)
     start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("k"))
-    step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(mass - a["s"] >= threshold * mass, F.array_append(a["k"], x["c"])).otherwise(a["k"]).alias("k"))
-    return F.aggregate(F.filter(words, lambda x: x["w"] > 0), start, step)["k"]
+    step = lambda a, x: F.struct((a["s"] + weight(x)).alias("s"), F.when(mass - a["s"] >= threshold * mass, F.array_append(a["k"], x)).otherwise(a["k"]).alias("k"))
+    return F.aggregate(F.filter(words, lambda x: weight(x) > 0), start, step)["k"]
 
 
 def name_codes(rows: DataFrame) -> DataFrame:
     """``id``, ``names``: hashes of the rare words of each row and, for each, of the more frequent ones it may be a slip of.
 
-    Each distinct name is spelled once. Per spelling the most frequent name is kept, so that no group is gathered.
+    Each distinct name is spelled once. Of the names of one spelling the most frequent is what the others may mean.
     """
     each = rows.select("id", F.explode("rare").alias("t"))
     counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     spelled = counts.select("t", "c", F.explode(spellings(F.col("t"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    best = spelled.groupBy("s").agg(F.max(F.struct("c", "t")).alias("b"))
-    pairs = _join(spelled, best, "s").where(F.struct("c", "t") < F.col("b")).select("t", F.col("b.t").alias("u")).distinct()
+    # At most as many names share a spelling as there are letters to put in.
+    best = F.max(F.struct("c", "t")).over(Window.partitionBy("s"))
+    pairs = spelled.withColumn("b", best).where(F.struct("c", "t") < F.col("b")).select("t", F.col("b.t").alias("u")).distinct()
     meant = pairs.where(slip(F.col("t"), F.col("u"))).groupBy("t").agg(F.collect_set(F.xxhash64("u")).alias("u"))
     coded = _join(each, meant, "t", "left").select("id", F.array_append(F.coalesce("u", F.array().cast("array<bigint>")), F.xxhash64("t")).alias("n"))
     return coded.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("names"))
@@ -304,14 +311,13 @@ def event_clusters(
     )
     rows = cut(forms.select(F.col("r.item").alias("id"), "form", "form2", "weight", "r.title", "r.words", "r.figures", "r.rounded"))
     frequent = spark.sparkContext.broadcast(_frequent(rows, rows.count(), frequent_share, least_frequent, max_frequent))
-    rare, weighed = _split(F.col("words"), frequent, threshold)
+    rare, weighed = _split(F.col("words"), frequent)
     parts = cut(rows.select("id", "weight", rare.alias("rare"), weighed.alias("words"), "figures", "rounded"))
     named = _join(parts, name_codes(parts), "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<bigint>")))
-    mass = F.aggregate("words", F.lit(0.0), lambda s, x: s + x["w"])
-    ready = named.withColumn("mass", mass).select(
+    ready = named.withColumn("mass", _mass(F.col("words"))).select(
         "id", "weight", F.struct("names", "words", "mass", "figures", "rounded").alias("f"),
         F.when(F.size("names") > 0, F.col("names")).otherwise(F.transform(_prefix(F.col("words"), F.col("mass"), threshold - 0.1), lambda c: c.cast("bigint"))).alias("keys"),
-        F.concat("names", F.transform(F.slice("words", 1, 6), lambda x: F.xxhash64(x["c"])), F.transform("figures", lambda x: F.xxhash64(x))).alias("traits"),
+        F.concat("names", F.transform(F.slice("words", 1, 6), lambda x: F.xxhash64(x)), F.transform("figures", lambda x: F.xxhash64(x))).alias("traits"),
     )
     found = cluster(ready, same_event, threshold)
     typical = _join(found, rows.select(F.col("id").alias("medoid"), F.col("title").alias("typical")), "medoid")
