@@ -1,8 +1,8 @@
 """All core queries and their SQL, by name."""
 
-from telar.plans import analytics, governance, grounding, problems, records, relational, reports, scalars, streams
+from telar.plans import analytics, governance, grounding, problems, records, relational, reports, reviews, scalars, streams
 
-MODULES = [problems, scalars, relational, analytics, governance, reports, records, grounding, streams]
+MODULES = [problems, scalars, relational, analytics, governance, reports, records, grounding, reviews, streams]
 
 # DuckDB's sums of integers and products of decimals are wider than the queries' types.
 WIDER = {
