@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions import stats, text, urls
 from telar.operators import metrics
 from telar.operators.prefix import places
-from telar.plans.analytics import _SHEET, _sheet
+from telar.plans import analytics
+from telar.plans.analytics import ORACLE as _SQL, _SHEET, _sheet
 from telar.plans.registry import Registry, Tables
-from telar.plans.scalars import alnum, bare
+from telar.plans.scalars import alnum, bare, iso, sql_iso
 
 registry = Registry()
 query = registry.query
@@ -219,4 +222,125 @@ def snapshots(t: Tables) -> DataFrame:
     return versions.join(last, "id_noticia").select("id_noticia", "huella", "fila", "vistas", (F.col("fila") == F.col("m")).alias("actual"))
 
 
+@query("z035_informe_de_grupos", """
+WITH g AS (SELECT id_grupo, count(DISTINCT id_noticia) AS n, count(DISTINCT propuesta_tema) AS temas FROM hoja_preetiquetado WHERE id_grupo IS NOT NULL GROUP BY 1)
+SELECT count(*) AS grupos, CAST(sum(n) AS BIGINT) AS titulares, max(n) AS mayor, count(*) FILTER (WHERE n = 1) AS solos, count(*) FILTER (WHERE temas > 1) AS mezclados, round(avg(n), 9) AS media FROM g""")
+def group_report(t: Tables) -> DataFrame:
+    """A clustering in figures: groups, members, the largest, singles and groups of several topics."""
+    g = t.hoja_preetiquetado.where("id_grupo is not null").groupBy("id_grupo").agg(F.countDistinct("id_noticia").alias("n"), F.countDistinct("propuesta_tema").alias("k"))
+    return g.agg(F.count(F.lit(1)).alias("grupos"), F.sum("n").alias("titulares"), F.max("n").alias("mayor"), F.count_if(F.col("n") == 1).alias("solos"), F.count_if(F.col("k") > 1).alias("mezclados"), F.round(F.avg("n"), 9).alias("media"))
+
+
+@query("z047_informe_de_posiciones", """
+WITH r AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER (PARTITION BY o_totalprice) AS iguales FROM orders)
+SELECT o_orderstatus, min(k) AS primera, max(k) AS ultima, count(*) AS filas, count(*) FILTER (WHERE k <= 100) AS entre_cien, count(*) FILTER (WHERE iguales > 1) AS empatadas FROM r GROUP BY 1""")
+def rank_report(t: Tables) -> DataFrame:
+    """A ranking in figures for each class: first and last place, how many come high, how many are tied."""
+    rows = places(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), [-F.col("o_totalprice"), F.col("o_orderkey")], "k")
+    ties = t.orders.groupBy("o_totalprice").agg(F.count(F.lit(1)).alias("iguales")).where("iguales > 1")
+    joined = rows.join(ties, "o_totalprice", "left")
+    return joined.groupBy("o_orderstatus").agg(F.min("k").alias("primera"), F.max("k").alias("ultima"), F.count(F.lit(1)).alias("filas"), F.count_if(F.col("k") <= 100).alias("entre_cien"), F.count_if(F.col("iguales").isNotNull()).alias("empatadas"))
+
+
+@query("z080_comparacion_compuesta", f"""
+SELECT 'clasificacion' AS tarea, 'macro_f1' AS medida, macro_f1 AS valor FROM ({_SQL["e03_macro_f1"]}) UNION ALL SELECT 'agrupacion', 'f1', f1 FROM ({_SQL["e09_pares"]}) UNION ALL SELECT 'agrupacion_por_texto', 'f1', f1 FROM ({registry.ORACLE["z075_texto_identico"]})
+UNION ALL SELECT 'busqueda', 'precision_5', precision_5 FROM ({_SQL["e08_recuerdo"]}) UNION ALL SELECT 'acuerdo', 'kappa', kappa FROM ({_SQL["e16_kappa"]})""")
+def composite(t: Tables) -> DataFrame:
+    """The measures of several tasks and of their baselines side by side."""
+    run = lambda name: analytics.QUERIES[name](t.spark, t.dir)
+    parts = [("clasificacion", "macro_f1", run("e03_macro_f1")), ("agrupacion", "f1", run("e09_pares")), ("agrupacion_por_texto", "f1", identical_text(t)), ("busqueda", "precision_5", run("e08_recuerdo")), ("acuerdo", "kappa", run("e16_kappa"))]
+    rows = [d.select(F.lit(task).alias("tarea"), F.lit(m).alias("medida"), F.col(m).cast("double").alias("valor")) for task, m, d in parts]
+    return reduce(DataFrame.union, rows)
+
+
+@query("z085_filas_de_etiqueta", r"""
+WITH h AS (SELECT *, CASE WHEN nullif(trim(etiquetado_por, ' '), '') IS NULL THEN 'sin_anotador' WHEN NOT coalesce(regexp_full_match(id_noticia, 'NOT-[0-9a-f]{10}'), false) THEN 'id_malo' WHEN NOT coalesce(regexp_full_match(fecha_etiquetado, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z'), false) THEN 'fecha_mala'
+  WHEN nullif(trim(tema_humano, ' '), '') IS NULL THEN 'sin_decision' WHEN tema_humano NOT IN (SELECT tema FROM temas) THEN 'tema_desconocido' ELSE 'ok' END AS estado FROM hoja_preetiquetado)
+SELECT estado, count(*) AS filas, count(DISTINCT id_noticia) AS titulares FROM h GROUP BY 1""")
+def label_rows(t: Tables) -> DataFrame:
+    """Label rows by the first check they fail."""
+    known = t.temas.select(F.col("tema").alias("tema_humano"), F.lit(True).alias("k")).distinct()
+    blank = lambda c: F.nullif(F.trim(c), F.lit("")).isNull()
+    fits = lambda c, p: F.coalesce(F.col(c).rlike(p), F.lit(False))
+    state = (
+        F.when(blank("etiquetado_por"), "sin_anotador").when(~fits("id_noticia", "^NOT-[0-9a-f]{10}$"), "id_malo").when(~fits("fecha_etiquetado", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), "fecha_mala")
+        .when(blank("tema_humano"), "sin_decision").when(F.col("k").isNull(), "tema_desconocido").otherwise("ok")
+    )
+    return t.hoja_preetiquetado.join(known, "tema_humano", "left").groupBy(state.alias("estado")).agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("id_noticia").alias("titulares"))
+
+
+@query("z074_banco_de_pruebas", """
+WITH n AS (SELECT DISTINCT id_noticia FROM noticias), b AS (SELECT bloque AS tipo, id_noticia, nullif(trim(titulo, ' '), '') AS consulta, propuesta_tema FROM hoja_preetiquetado)
+SELECT tipo, count(*) AS filas, count(DISTINCT b.id_noticia) AS casos, count(*) FILTER (WHERE consulta IS NULL) AS sin_consulta, count(*) FILTER (WHERE n.id_noticia IS NULL) AS sin_evidencia, count(*) FILTER (WHERE propuesta_tema = 'sin_tema') AS se_abstiene, count(*) > count(DISTINCT b.id_noticia) AS repetidos
+FROM b LEFT JOIN n ON n.id_noticia = b.id_noticia GROUP BY 1""")
+def benchmark(t: Tables) -> DataFrame:
+    """A benchmark file checked: counts for each type, empty questions, evidence that doesn't exist, repeated cases."""
+    known = t.noticias.select("id_noticia").distinct().withColumn("n", F.lit(True))
+    cases = F.countDistinct("id_noticia")
+    return t.hoja_preetiquetado.join(known, "id_noticia", "left").groupBy(F.col("bloque").alias("tipo")).agg(
+        F.count(F.lit(1)).alias("filas"), cases.alias("casos"), F.count_if(F.nullif(F.trim("titulo"), F.lit("")).isNull()).alias("sin_consulta"), F.count_if(F.col("n").isNull()).alias("sin_evidencia"),
+        F.count_if(F.col("propuesta_tema") == "sin_tema").alias("se_abstiene"), (F.count(F.lit(1)) > cases).alias("repetidos"))
+
+
+@query("z116_coherencia_de_artefactos", """
+WITH a AS (SELECT count(DISTINCT id_noticia) AS ids, max(fecha_extraccion) AS corte, count(DISTINCT tema) AS temas FROM noticias), b AS (SELECT count(DISTINCT id_noticia) AS ids, max(fecha_etiquetado) AS corte, count(DISTINCT propuesta_tema) AS temas FROM hoja_preetiquetado)
+SELECT unnest(['titulares', 'corte', 'temas']) AS comprobacion, unnest([a.ids::VARCHAR, a.corte, a.temas::VARCHAR]) AS uno, unnest([b.ids::VARCHAR, b.corte, b.temas::VARCHAR]) AS otro, unnest([a.ids = b.ids, a.corte = b.corte, a.temas = b.temas]) AS coincide FROM a, b""")
+def coherent(t: Tables) -> DataFrame:
+    """Z116: figures that two artefacts should share, as warnings where they differ."""
+    def facts(df: DataFrame, moment: str, topic: str, side: str) -> DataFrame:
+        row = df.agg(F.countDistinct("id_noticia").cast("string").alias("i"), F.max(moment).alias("c"), F.countDistinct(topic).cast("string").alias("k"))
+        cells = F.array(*[F.struct(F.lit(n).alias("comprobacion"), F.col(c).alias(side)) for n, c in (("titulares", "i"), ("corte", "c"), ("temas", "k"))])
+        return row.select(F.explode(cells).alias("x")).select("x.*")
+
+    both = facts(t.noticias, "fecha_extraccion", "tema", "uno").join(facts(t.hoja_preetiquetado, "fecha_etiquetado", "propuesta_tema", "otro"), "comprobacion")
+    return both.withColumn("coincide", F.col("uno") == F.col("otro"))
+
+
+_FAMILIES = {"deporte": "equipo|aficionados", "farandula": "festival|crucero", "empleo": "feria de empleo|plazas", "formato": "en video|fotos", "tiempo": "pronostico|horoscopo"}
+
+
+@query("z028_fuera_de_tema", f"SELECT fila, {', '.join(f"coalesce(regexp_matches({bare('titulo')}, '{p}'), false) AS {n}" for n, p in _FAMILIES.items())}, coalesce(regexp_matches({bare('titulo')}, '{'|'.join(_FAMILIES.values())}'), false) AS alguna FROM noticias")
+def off_topic(t: Tables) -> DataFrame:
+    """Five families of patterns and whether any holds; rows are marked, none is dropped."""
+    b = text.bare(F.col("titulo"))
+    holds = lambda p: F.coalesce(b.rlike(p), F.lit(False))
+    return t.noticias.select("fila", *[holds(p).alias(n) for n, p in _FAMILIES.items()], holds("|".join(_FAMILIES.values())).alias("alguna"))
+
+
+@query("z038_sismo_o_contexto", f"""
+WITH q AS (SELECT zona, CAST(hora_utc AT TIME ZONE 'UTC' AS DATE) AS dia, min(id_sismo) AS id_sismo, count(DISTINCT id_sismo) AS n FROM sismos WHERE zona IS NOT NULL GROUP BY 1, 2), z AS (SELECT zona, count(DISTINCT id_sismo) AS n FROM sismos WHERE zona IS NOT NULL GROUP BY 1),
+m AS (SELECT fila, zona, CAST(({sql_iso('fecha_publicacion')}) AT TIME ZONE 'UTC' AS DATE) AS dia FROM noticias WHERE zona IS NOT NULL)
+SELECT fila, CASE WHEN q.n = 1 THEN 'enlazado' WHEN q.n > 1 THEN 'ambiguo' WHEN z.n > 0 THEN 'contexto' ELSE 'sin_datos' END AS estado, CASE WHEN q.n = 1 THEN id_sismo END AS id_sismo, coalesce(z.n, 0) AS historicos FROM m LEFT JOIN q ON q.zona = m.zona AND q.dia = m.dia LEFT JOIN z ON z.zona = m.zona""")
+def quake_or_context(t: Tables) -> DataFrame:
+    """A headline's quake of its zone and day: one is linked, several are ambiguous, none falls back to the zone's history."""
+    day = lambda c: F.to_date(F.to_utc_timestamp(c, F.current_timezone()))
+    quakes = t.sismos.where("zona is not null")
+    per_day = quakes.groupBy("zona", day(F.col("hora_utc")).alias("dia")).agg(F.min("id_sismo").alias("id_sismo"), F.countDistinct("id_sismo").alias("n"))
+    per_zone = quakes.groupBy("zona").agg(F.countDistinct("id_sismo").alias("historicos"))
+    news = t.noticias.where("zona is not null").select("fila", "zona", day(iso("fecha_publicacion")).alias("dia"))
+    rows = news.join(per_day, ["zona", "dia"], "left").join(per_zone, "zona", "left")
+    state = F.when(F.col("n") == 1, "enlazado").when(F.col("n") > 1, "ambiguo").when(F.col("historicos") > 0, "contexto").otherwise("sin_datos")
+    return rows.select("fila", state.alias("estado"), F.when(F.col("n") == 1, F.col("id_sismo")).alias("id_sismo"), F.coalesce("historicos", F.lit(0)).cast("long").alias("historicos"))
+
+
+@query("z043_nombrado_por_si_mismo", f"""
+WITH w AS (SELECT fila, string_split({bare("regexp_replace(titulo, '[^\\p{L}\\p{N} ]+', '', 'g')")}, ' ') AS w FROM noticias WHERE titulo IS NOT NULL)
+SELECT fila, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'istmo' AND coalesce(w[i - 1], '') <> 'del')) > 0 OR len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'canal' AND coalesce(w[i - 1], '') <> 'del' AND coalesce(w[i + 1], '') <> 'seco')) > 0 AS nombrado FROM w""")
+def named_as_itself(t: Tables) -> DataFrame:
+    """A place named as itself: not within longer names, not by its look-alikes."""
+    plain = F.regexp_replace("titulo", r"[^\p{L}\p{N} ]+", "")
+    named = text.has_term(plain, "istmo", before=("del",)) | text.has_term(plain, "canal", before=("del",), not_after=("seco",))
+    return t.noticias.where("titulo is not null").select("fila", named.alias("nombrado"))
+
+
+@query("z051_enlaces_oficiales", """
+WITH u AS (SELECT id_sismo, max(updated) AS u FROM sismos GROUP BY 1), s AS (SELECT DISTINCT s.id_sismo, zona, magnitud, estado FROM sismos s JOIN u ON s.id_sismo = u.id_sismo AND updated = u)
+SELECT zona, id_sismo, estado FROM s WHERE magnitud IS NOT NULL AND estado IN ('reviewed', 'automatic')""")
+def official_links(t: Tables) -> DataFrame:
+    """Official links that have data and an accepted state."""
+    last = t.sismos.groupBy(F.col("id_sismo").alias("i")).agg(F.max("updated").alias("u"))
+    rows = t.sismos.join(last, (F.col("id_sismo") == F.col("i")) & (F.col("updated") == F.col("u"))).select("id_sismo", "zona", "magnitud", "estado").distinct()
+    return rows.where("magnitud is not null and estado in ('reviewed', 'automatic')").select("zona", "id_sismo", "estado")
+
+
 QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
