@@ -90,7 +90,7 @@ def linkage(t: Tables) -> DataFrame:
 
 @query("x02_codificador", f"SELECT doc_id, len(list_filter(string_split({spaced('text')}, ' '), lambda w: length(w) >= 2)) AS palabras FROM documents")
 def encoder(t: Tables) -> DataFrame:
-    """The hashed bag of words; its sum is the number of words of a text."""
+    """The hashed bag of words; its sum is the number of words of a text."""
     w = text.words(F.col("text"))
     bag = vectors.hashed_words(w, 64)
     return t.documents.select("doc_id", F.aggregate(bag, F.lit(0.0), lambda s, x: s + x).cast("long").alias("palabras"))
@@ -117,7 +117,7 @@ def bm25(t: Tables) -> DataFrame:
 @query("q03_reglas_en_orden", f"""
 SELECT regla, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, 'ignora|instruccion') THEN 'inyeccion' WHEN regexp_matches(t, 'sismo') AND regexp_matches(t, 'comunidades') THEN 'sismo' WHEN regexp_matches(t, 'agua') THEN 'agua' WHEN regexp_matches(t, 'familias') THEN 'familias' ELSE 'ninguna' END AS regla FROM (SELECT {bare('titulo')} AS t FROM noticias)) GROUP BY regla""")
 def ordered_rules(t: Tables) -> DataFrame:
-    """Ordered rules, some of two patterns; the first that holds decides."""
+    """Q3: ordered rules, some of two patterns; the first that holds decides."""
     b = text.bare(F.col("titulo"))
     rule = (
         F.when(b.rlike("ignora|instruccion"), "inyeccion").when(b.rlike("sismo") & b.rlike("comunidades"), "sismo")
@@ -152,13 +152,13 @@ _CLASS = f"""WITH s AS ({_SHEET}), k AS (SELECT tema AS cls, count_if(t = tema A
 
 @query("e02_por_clase", _CLASS + " SELECT cls, tp, fp, fn, round(tp / nullif((tp + fp)::DOUBLE, 0), 9) AS precision, round(tp / nullif((tp + fn)::DOUBLE, 0), 9) AS recall, round(2 * tp / nullif((2 * tp + fp + fn)::DOUBLE, 0), 9) AS f1 FROM k WHERE tp + fp + fn > 0")
 def classes(t: Tables) -> DataFrame:
-    """Precision, recall and F1 of each subject."""
+    """Precision, recall and F1 of each subject."""
     return metrics.per_class(_sheet(t), "tema_humano", "propuesta_tema").select("cls", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("e03_macro_f1", _CLASS + " SELECT round(avg(2 * tp / nullif((2 * tp + fp + fn)::DOUBLE, 0)), 9) AS macro_f1, count(*) AS n_classes FROM k WHERE tp + fn > 0")
 def macro(t: Tables) -> DataFrame:
-    """Macro F1."""
+    """Macro F1."""
     return metrics.macro_f1(metrics.per_class(_sheet(t), "tema_humano", "propuesta_tema")).withColumn("macro_f1", F.round("macro_f1", 9))
 
 
@@ -171,7 +171,7 @@ def bootstrap(t: Tables) -> DataFrame:
 
 @query("e06_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def percentiles(t: Tables) -> DataFrame:
-    """Exact interpolated percentiles."""
+    """Exact interpolated percentiles."""
     return tables.percentiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
@@ -179,7 +179,7 @@ def percentiles(t: Tables) -> DataFrame:
 WITH f AS (SELECT a.vec_id AS q, a.label, b.label AS l, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS k FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id)
 SELECT count(DISTINCT q) AS consultas, round(avg((l = label)::INT), 9) AS precision_5 FROM f WHERE k <= 5""")
 def recall(t: Tables) -> DataFrame:
-    """Share of the five nearest other vectors that have the label of the query."""
+    """Share of the five nearest other vectors that have the label of the query."""
     found = vectors.nearest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 6).where("query <> id")
     five = found.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("k <= 5")
     a, b = t.embeddings.select(F.col("vec_id").alias("query"), F.col("label").alias("x")), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
@@ -191,7 +191,7 @@ WITH s AS (SELECT id_grupo, lower(trim(grupo)) AS g FROM hoja_preetiquetado WHER
 n AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM s GROUP BY g, id_grupo)) AS tp, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM s GROUP BY g)) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM s GROUP BY id_grupo)) AS p)
 SELECT tp, p - tp AS fp, t - tp AS fn, round(tp / p, 9) AS precision, round(tp / t, 9) AS recall, round(2 * tp / (p + t), 9) AS f1 FROM n""")
 def pair_scores(t: Tables) -> DataFrame:
-    """Pair metrics of the pipeline's groups against the human ones, in closed form."""
+    """Pair metrics of the pipeline's groups against the human ones, in closed form."""
     rows = t.hoja_preetiquetado.withColumn("g", F.lower(F.trim("grupo")))
     return metrics.pair_metrics(rows, "g", "id_grupo").select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -209,7 +209,7 @@ WITH s AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_orderkey || '-' || l
 r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY sha256('42|' || id), id) AS k, count(*) OVER (PARTITION BY l_returnflag) AS population FROM u)
 SELECT l_returnflag, id, population, population / least(population, 40)::DOUBLE AS weight FROM r WHERE k <= 40""")
 def sample(t: Tables) -> DataFrame:
-    """Forty rows per stratum by salted hash, with weights (a sampling operator)."""
+    """Forty rows per stratum by salted hash, with weights (a sampling operator)."""
     rows = t.lineitem.select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")).distinct()
     return metrics.stratified_sample(rows, ["l_returnflag"], "id", 40).select("l_returnflag", "id", "population", "weight")
 
@@ -225,7 +225,7 @@ def kish(t: Tables) -> DataFrame:
 WITH c AS (SELECT id_noticia, tema_humano AS v, count(*) AS n FROM hoja_preetiquetado WHERE tema_humano IS NOT NULL GROUP BY 1, 2), b AS (SELECT id_noticia, max((n, v)) AS b, sum(n)::BIGINT AS total FROM c GROUP BY 1)
 SELECT id_noticia, CASE WHEN 2 * b[1] > total THEN b[2] END AS value, total AS labels, 2 * b[1] <= total AS disputed FROM b""")
 def majority(t: Tables) -> DataFrame:
-    """Majority label of each headline, and disputes."""
+    """Majority label of each headline, and disputes."""
     return metrics.majority(t.hoja_preetiquetado, "id_noticia", "tema_humano")
 
 
@@ -239,7 +239,7 @@ def auc(t: Tables) -> DataFrame:
 
 @query("e20_dos_niveles", "SELECT round(avg(m), 9) AS media_de_medias, count(*) AS grupos FROM (SELECT user_id, avg(value) AS m FROM events GROUP BY user_id)")
 def two_level(t: Tables) -> DataFrame:
-    """Mean of the means of groups."""
+    """Mean of the means of groups."""
     return t.events.groupBy("user_id").agg(F.avg("value").alias("m")).agg(F.round(F.avg("m"), 9).alias("media_de_medias"), F.count(F.lit(1)).alias("grupos"))
 
 
@@ -290,7 +290,7 @@ e AS MATERIALIZED (SELECT a.fila AS a, b.fila AS b FROM n a JOIN n b ON a.zona =
 r AS (SELECT fila AS id, fila AS x FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a), c AS (SELECT id, min(x) AS x FROM r GROUP BY id)
 SELECT zona, count(*) AS filas, count(DISTINCT x) AS procedencias FROM n JOIN c ON n.fila = c.id GROUP BY zona""")
 def provenance(t: Tables) -> DataFrame:
-    """Independent sources behind the news of each zone; same site or same headline is one source."""
+    """Independent sources behind the news of each zone; same site or same headline is one source."""
     rows = t.noticias.where("zona is not null")
     key = F.nullif(text.spaced_key(F.col("titulo")), F.lit(""))
     found = vectors.independent_sources(rows, "zona", "fila", {"sitio": urls.host(F.col("url")), "titular": key})
@@ -326,7 +326,7 @@ n AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM embedding
 r AS (SELECT c, sum(x) OVER (ORDER BY c DESC) AS tp, sum(y) OVER (ORDER BY c DESC) AS fp FROM k)
 SELECT round(c * 0.05, 9) AS threshold, tp, fp, t - tp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / t, 9) AS recall, round(2 * tp / (2 * tp + fp + t - tp), 9) AS f1 FROM r, n""")
 def sweep(t: Tables) -> DataFrame:
-    """Pair precision and recall over a grid of thresholds."""
+    """Pair precision and recall over a grid of thresholds."""
     edges = vectors.similar_edges(t.embeddings, "vec_id", "embedding", 0.2)
     a, b = t.embeddings.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), t.embeddings.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
     pairs = edges.join(a, "a").join(b, "b")
@@ -340,7 +340,7 @@ WITH l AS (SELECT p_retailprice AS s, count_if(p_size > 25) AS p, count_if(NOT p
 c AS (SELECT s, lag(s) OVER (ORDER BY s) AS low, coalesce(sum(p) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(n) OVER () - coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS errors FROM l)
 SELECT (s + low) / 2 AS cut, errors, (s - low) / 2 AS margin FROM c WHERE low IS NOT NULL ORDER BY errors, margin DESC, cut LIMIT 1""")
 def margin(t: Tables) -> DataFrame:
-    """The cut with fewest errors and the widest margin."""
+    """The cut with fewest errors and the widest margin."""
     return metrics.best_threshold(t.part, "p_retailprice", F.col("p_size") > 25)
 
 

@@ -24,7 +24,7 @@ UNION ALL SELECT 'url', count_if(NOT coalesce(regexp_matches(trim(url), '{_URL}'
 UNION ALL SELECT 'fecha', count_if(fecha_publicacion IS NULL AND fecha_deteccion IS NULL) FROM noticias UNION ALL SELECT 'extraida', count_if(({sql_iso('fecha_extraccion')}) IS NULL) FROM noticias)
 SELECT "check", broken, (SELECT count(*) FROM noticias) AS n, CASE WHEN broken = 0 THEN 'ok' ELSE 'error' END AS state FROM r""")
 def checks(t: Tables) -> DataFrame:
-    """Rules over a whole table in one pass."""
+    """Rules over a whole table in one pass."""
     return ops.check_rows(t.noticias, {
         "id": F.col("id_noticia").rlike("^NOT-[0-9a-f]{10}$"), "url": F.trim("url").rlike(_URL), "titulo": F.col("titulo").isNotNull(),
         "fecha": F.col("fecha_publicacion").isNotNull() | F.col("fecha_deteccion").isNotNull(), "extraida": iso("fecha_extraccion").isNotNull(),
@@ -43,14 +43,14 @@ def widened(t: Tables) -> DataFrame:
 
 @query("val15_patrones_sospechosos", f"SELECT fila, regexp_matches({bare('titulo')}, 'ignora|instrucciones|system prompt') AS inyeccion, regexp_matches({bare('titulo')}, '^(en video|fotos)|\\(fotos\\)\\s*$') AS promocional, {bare('titulo')} = {bare('medio')} AS es_el_medio FROM noticias")
 def suspicious(t: Tables) -> DataFrame:
-    """Flags that mark rows and drop none."""
+    """Flags that mark rows and drop none."""
     b = text.bare(F.col("titulo"))
     return t.noticias.select("fila", b.rlike("ignora|instrucciones|system prompt").alias("inyeccion"), b.rlike(r"^(en video|fotos)|\(fotos\)\s*$").alias("promocional"), (b == text.bare(F.col("medio"))).alias("es_el_medio"))
 
 
 @query("v01_citas", "SELECT h.id_noticia, n.id IS NOT NULL AS existe, h.n FROM (SELECT id_noticia, count(*) AS n FROM hoja_preetiquetado GROUP BY 1) h LEFT JOIN (SELECT DISTINCT id_noticia AS id FROM noticias) n ON n.id = h.id_noticia")
 def citations(t: Tables) -> DataFrame:
-    """Cited records that exist."""
+    """Cited records that exist."""
     cited = t.hoja_preetiquetado.groupBy("id_noticia").agg(F.count(F.lit(1)).alias("n"))
     there = t.noticias.select(F.col("id_noticia").alias("id")).distinct()
     return cited.join(there, F.col("id") == F.col("id_noticia"), "left").select("id_noticia", F.col("id").isNotNull().alias("existe"), "n")
@@ -133,7 +133,7 @@ def covered(t: Tables) -> DataFrame:
 WITH h AS (SELECT fila, id_noticia, sha256(concat_ws('|', coalesce(titulo, '∅'), coalesce(tema, '∅'))) AS h FROM noticias), p AS (SELECT *, lag(h) OVER (PARTITION BY id_noticia ORDER BY fila) AS antes FROM h)
 SELECT id_noticia, fila, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS version FROM p WHERE antes IS NULL OR antes <> h""")
 def new_versions(t: Tables) -> DataFrame:
-    """A version is kept only when its content differs from the one before."""
+    """L3: a version is kept only when its content differs from the one before."""
     w = Window.partitionBy("id_noticia").orderBy("fila")
     h = F.sha2(F.concat_ws("|", F.coalesce("titulo", F.lit("∅")), F.coalesce("tema", F.lit("∅"))), 256)
     rows = t.noticias.select("id_noticia", "fila", h.alias("h")).withColumn("antes", F.lag("h").over(w)).where("antes is null or antes <> h")
@@ -168,7 +168,7 @@ def reason_per_day(t: Tables) -> DataFrame:
 SELECT 'noticias' AS base, min(fecha_extraccion) AS desde, max(fecha_extraccion) AS hasta, count(*) AS n FROM noticias WHERE fecha_extraccion <> ''
 UNION ALL SELECT 'sismos', strftime(min(hora_utc) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), strftime(max(hora_utc) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), count(*) FROM sismos WHERE hora_utc IS NOT NULL""")
 def coverage(t: Tables) -> DataFrame:
-    """First and last date and rows of each base."""
+    """First and last date and rows of each base."""
     stamp = F.date_format("hora_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     a = t.noticias.where("fecha_extraccion <> ''").select(F.lit("noticias").alias("base"), F.col("fecha_extraccion").alias("f"))
     b = t.sismos.where("hora_utc is not null").select(F.lit("sismos").alias("base"), stamp.alias("f"))
@@ -195,7 +195,7 @@ WITH a AS (SELECT DISTINCT tema AS value FROM temas), b AS (SELECT DISTINCT trim
 SELECT 'temas' AS only_in, 'noticias' AS not_in, value FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'temas', 'consultas', value FROM (FROM a EXCEPT FROM c) UNION ALL SELECT 'noticias', 'temas', value FROM (FROM b EXCEPT FROM a)
 UNION ALL SELECT 'noticias', 'consultas', value FROM (FROM b EXCEPT FROM c) UNION ALL SELECT 'consultas', 'temas', value FROM (FROM c EXCEPT FROM a) UNION ALL SELECT 'consultas', 'noticias', value FROM (FROM c EXCEPT FROM b)""")
 def coherence(t: Tables) -> DataFrame:
-    """Z104, Z116, U4: values that one rule table has and another lacks."""
+    """Z104, U4: values that one rule table has and another lacks."""
     news = t.noticias.where("tema is not null").select(F.explode(F.split("tema", r"\|")).alias("v")).select(F.trim("v").alias("tema"))
     return ops.set_differences({"temas": t.temas.select("tema"), "noticias": news, "consultas": t.crudos_gdelt.select("tema")})
 

@@ -106,7 +106,7 @@ def next_version(t: Tables) -> DataFrame:
 WITH s AS (SELECT g, t, CAST(('0x' || substr(sha1(id_noticia), 1, 8))::BIGINT % 2 AS INTEGER) AS mitad FROM ({_SHEET}) WHERE g IS NOT NULL)
 SELECT coalesce(mitad::VARCHAR, 'todas') AS mitad, count_if(g = 'sin_tema' AND t = 'sin_tema') AS calla_bien, count_if(g = 'sin_tema' AND t <> 'sin_tema') AS calla_mal, count_if(g <> 'sin_tema' AND t = 'sin_tema') AS habla_mal, count(*) AS n FROM s GROUP BY GROUPING SETS ((mitad), ())""")
 def halves(t: Tables) -> DataFrame:
-    """Abstention right and wrong, by stable halves and over all."""
+    """Abstention right and wrong, by stable halves and over all."""
     from telar.functions.urls import fold
 
     rows = _sheet(t).where("propuesta_tema is not null").withColumn("mitad", fold(F.col("id_noticia"), 2))
@@ -119,7 +119,7 @@ def halves(t: Tables) -> DataFrame:
 WITH s AS (SELECT coalesce(propuesta_tema, 'ninguno') AS propuesta_tema, tema_humano IS NOT DISTINCT FROM propuesta_tema AS igual, length(titulo) AS l FROM hoja_preetiquetado)
 SELECT propuesta_tema, count(*) AS n, round(count(*) / (SELECT count(*) FROM s)::DOUBLE, 9) AS cuota, count_if(igual) AS iguales, min(l) AS minimo, quantile_cont(l, 0.5) AS mediana, max(l) AS maximo FROM s GROUP BY propuesta_tema""")
 def distribution(t: Tables) -> DataFrame:
-    """Share, agreement and spread of each subject."""
+    """Share, agreement and spread of each subject."""
     rows = t.hoja_preetiquetado
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     same, size = F.col("tema_humano").eqNullSafe(F.col("propuesta_tema")), F.length("titulo")
