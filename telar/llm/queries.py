@@ -14,6 +14,7 @@ from telar.llm.nearest_time import instant, nearest_in_time
 from telar.llm.packing import fill_report, pack
 from telar.llm.page_shapes import judge_pages
 from telar.llm.tokens import token_count
+from telar.plans.scalars import CANONICAL
 from telar.session import cut, table
 
 
@@ -228,6 +229,18 @@ p AS (SELECT t.fila, q.id_sismo, abs(epoch_us(t.t) - epoch_us(q.hora_utc)) AS d,
 b AS (SELECT * FROM p WHERE d <= 48 * 3600 * 1000000::BIGINT QUALIFY row_number() OVER (PARTITION BY fila ORDER BY d, hora_utc, id_sismo) = 1)
 """
 
+# Escapes of letters become the letter and its combining mark, which NFC composes; the others stand for punctuation.
+_PLAIN_TITLE = "replace(replace(replace(titulo, '&amp;', '&'), '&amp;', '&'), '&szlig;', 'ß')"
+for _name, _mark in {"acute": 0x301, "grave": 0x300, "circ": 0x302, "tilde": 0x303, "uml": 0x308, "cedil": 0x327, "ring": 0x30A}.items():
+    _PLAIN_TITLE = f"regexp_replace({_PLAIN_TITLE}, '&([A-Za-z]){_name};', '\\1' || chr({_mark}), 'g')"
+for _form, _value in (("&#[0-9]+;", "m[3:-2]"), ("&#[xX][0-9a-fA-F]+;", "('0x' || m[4:-2])")):
+    _PLAIN_TITLE = f"list_reduce(list_prepend({_PLAIN_TITLE}, regexp_extract_all({_PLAIN_TITLE}, '{_form}')), lambda a, m: replace(a, m, chr(CAST({_value} AS INTEGER))))"
+_PLAIN_TITLE = f"regexp_replace({_PLAIN_TITLE}, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z]+);', ' ', 'g')"
+_P7_SQL = f"""
+WITH n AS (SELECT fila, regexp_replace(replace(lower(nfc_normalize({_PLAIN_TITLE})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}\\x{{300}}-\\x{{36f}}]+', '', 'g') AS k, {CANONICAL} AS u FROM noticias WHERE titulo IS NOT NULL AND url IS NOT NULL),
+g AS (SELECT k, u, min(fila) AS primera, count(*) AS copias FROM n GROUP BY 1, 2)
+"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_pares": p1_pares, "p3_found": p3_found, "p3_idiomas": p3_idiomas,
     "p4_found": p4_found, "p4_consenso": p4_consenso, "p4_anotadores": p4_anotadores,
@@ -239,5 +252,7 @@ QUERIES = {
 }
 ORACLE = {
     "p1_found": _P1_SQL + "SELECT fila, id_sismo FROM b",
+    "p7_found": _P7_SQL + "SELECT primera AS fila_a, fila AS fila_b FROM n JOIN g USING (k, u) WHERE fila > primera",
+    "p7_registros": _P7_SQL + "SELECT primera AS fila, copias FROM g",
     "p1_pares": _P1_SQL + "SELECT fila, id_sismo, d / 1e6 AS distancia_s FROM b",
 }

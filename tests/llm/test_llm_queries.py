@@ -62,3 +62,33 @@ def test_tokens(spark):
         pytest.skip("no vocabulary")
     rows = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("a" * 50_000,)], "t string").select(token_count(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows][:3] == [2, 0, 0] and rows[3].n > 1 and rows[4].n > 1000
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["p1_found", "p1_pares", "p7_found", "p7_registros"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from telar.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for p in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = QUERIES[name](spark, DATA)
+    want = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall())
+    assert want and sorted(map(tuple, df.collect())) == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_events_and_consensus_agree(spark):
+    """Groups found from headlines alone against those that people agree on: two ways that share nothing but the truth."""
+    from itertools import combinations
+
+    from telar.llm.queries import p4_found, p5_found
+
+    data = "/root/testdata/sf0.01"
+    agreed = {r.id_noticia: re.sub("-(2|bis|nota)$", "", r.valor) for r in p4_found(spark, data).where("campo = 'grupo'").collect()}
+    want = {p for p in combinations(sorted(agreed), 2) if agreed[p[0]] == agreed[p[1]]}
+    got = {(r.id_a, r.id_b) for r in p5_found(spark, data).collect() if r.id_a in agreed and r.id_b in agreed}
+    assert len(want) > 50 and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
