@@ -47,22 +47,22 @@ def nearest_in_time(
     counted on both sides: a cell of more than ``cell_rows`` left rows (an entity that holds a third of all rows, a
     burst) is split by a hash of the row and gets its right rows in each part; one of more than ``cell_rows`` right rows
     is split by a hash of these, its left rows go to each part, and the nearest of the parts' answers is taken. There is
-    a group for every ``group_rows`` rows counted, so that a task's size doesn't depend on the table's.
+    a group for every ``group_rows`` rows counted, so that a task's size doesn't depend on the table's. Both sides are
+    written to the checkpoint folder once, as key and time: counting and pairing read them.
     """
     size, reach = cell_s * 1_000_000, tolerance_s * 1_000_000
 
     def cell(micros: Column) -> Column:
         return F.floor(micros / size).cast("long")
 
-    queries = (
+    queries = cut(
         left.select(F.col(row).alias("__row"), F.col(entity).alias("__e"), F.unix_micros(F.col(time)).alias("__t"))
         .where("__row is not null and __e is not null and __t is not null").withColumn("__c", cell(F.col("__t")))
     )
-    points = (
+    points = cut(
         right.select(F.col(right_id).alias("__id"), F.col(right_entity).alias("__e"), F.unix_micros(F.col(right_time)).alias("__t"))
         .where("__id is not null and __e is not null and __t is not null").groupBy("__e", "__t").agg(F.min("__id").alias("__id"))
-        .withColumn("__c", F.explode(F.sequence(cell(F.col("__t") - reach), cell(F.col("__t") + reach))))
-    )
+    ).withColumn("__c", F.explode(F.sequence(cell(F.col("__t") - reach), cell(F.col("__t") + reach))))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     both = queries.select("__e", "__c", one.alias("l"), none.alias("r")).union(points.select("__e", "__c", none.alias("l"), one.alias("r")))
     counts = cut(both.groupBy("__e", "__c").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 and r > 0"))
