@@ -268,3 +268,34 @@ def best_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
     lower = before.select((F.col("k") + 1).alias("k"), F.col("s").alias("low"))
     gaps = before.join(lower, "k").select("s", "low")
     return errors.join(gaps, "s").select(((F.col("s") + F.col("low")) / 2).alias("cut"), "errors", ((F.col("s") - F.col("low")) / 2).alias("margin")).orderBy("errors", F.desc("margin"), "cut").limit(1)
+
+
+def leave_one_out(df: DataFrame, score: str, positive: Column, most: int = 5000) -> DataFrame:
+    """One row: ``n``, ``errors`` and ``accuracy`` when each row is judged by the cut that ``best_threshold`` finds without it.
+
+    Rows of one score and class are alike and judged once. For sets of labelled cases: more than ``most`` different
+    scores raise, as the cuts are tried on the driver. Without a second score there is no cut and every row is an error.
+    """
+    levels = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).limit(most + 1).collect()
+    if len(levels) > most:
+        raise ValueError(f"more than {most} different scores")
+    levels = sorted((r.s, r.p, r.n) for r in levels)
+    total = wrong = 0
+    for i, (s, p, n) in enumerate(levels):
+        for count, side in ((p, 1), (n, 0)):
+            if count:
+                total += count
+                rest = [(a, b - (side if j == i else 0), c - (1 - side if j == i else 0)) for j, (a, b, c) in enumerate(levels)]
+                cut = _best_cut(np.array([r for r in rest if r[1] + r[2]]))
+                wrong += count * (cut is None or (s >= cut) != bool(side))
+    return df.sparkSession.createDataFrame([(total, wrong, 1 - wrong / total if total else None)], "n bigint, errors bigint, accuracy double")
+
+
+def _best_cut(levels: np.ndarray) -> float | None:
+    """The cut with the fewest errors, of several the widest gap, then the lowest."""
+    if len(levels) < 2:
+        return None
+    s, p, n = levels.T
+    errors = np.cumsum(p)[:-1] + n.sum() - np.cumsum(n)[:-1]
+    gaps, cuts = s[1:] - s[:-1], (s[1:] + s[:-1]) / 2
+    return float(cuts[np.lexsort((cuts, -gaps, errors))[0]])

@@ -14,6 +14,7 @@ from telar.plans.analytics import _CENTRES, _COS, _HITS, _RULES, _SHEET, _sheet
 from telar.plans.problems import _P2_PERIODS, _utc
 from telar.plans.registry import Registry, Tables
 from telar.plans.scalars import bare, spaced
+from telar.session import cut
 from telar.streaming import windows
 
 registry = Registry()
@@ -372,4 +373,41 @@ def gathered(t: Tables) -> DataFrame:
     return own.withColumn("de", F.lit("persona")).union(rest.join(own.select("id_noticia").distinct(), "id_noticia", "left_anti").withColumn("de", F.lit("hoja")))
 
 
+@query("e13_uno_fuera")
+def left_out(t: Tables) -> DataFrame:
+    """How the quakes' chosen cut does on each zone's share of reviewed quakes left out of its choice."""
+    zones = t.sismos.where("zona is not null").groupBy("zona").agg(F.round(F.avg(F.coalesce(F.col("estado") == "reviewed", F.lit(False)).cast("int")), 3).alias("x"), (F.avg("magnitud") > 3).alias("y")).where("y is not null")
+    return metrics.leave_one_out(zones, "x", F.col("y"))
+
+
+_CUTS = (0.42, 0.5)
+
+
+@query("z092_reagrupado", "WITH RECURSIVE " + ", ".join(
+    f"""g{i} AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > {c}), e{i} AS (SELECT a, b FROM g{i} UNION SELECT b, a FROM g{i}),
+r{i} AS (SELECT vec_id AS id, vec_id AS x FROM embeddings UNION SELECT r{i}.id, e{i}.b FROM r{i} JOIN e{i} ON r{i}.x = e{i}.a), c{i} AS (SELECT m, count(*) AS n FROM (SELECT id, min(x) AS m FROM r{i} GROUP BY id) GROUP BY m)""" for i, c in enumerate(_CUTS)
+) + " " + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS umbral, count(*) AS grupos, max(n) AS mayor, count(*) FILTER (WHERE n = 1) AS solos FROM c{i}" for i, c in enumerate(_CUTS)))
+def regrouped(t: Tables) -> DataFrame:
+    """The grouping again under varied rules, and the figures that hang on it; edges are found once."""
+    edges = cut(vectors.similar_edges(t.embeddings, "vec_id", "embedding", min(_CUTS)))
+    parts = []
+    for c in _CUTS:
+        found = vectors.components(edges.where(F.col("similarity") > c), t.embeddings, "vec_id").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(found.agg(F.lit(c).alias("umbral"), F.count(F.lit(1)).alias("grupos"), F.max("n").alias("mayor"), F.count_if(F.col("n") == 1).alias("solos")).select("umbral", "grupos", "mayor", "solos"))
+    return parts[0].union(parts[1])
+
+
+@query("m04_con_descripcion", """
+WITH d AS (SELECT tema, nombre AS x FROM temas UNION ALL SELECT tema_humano, titulo FROM hoja_preetiquetado WHERE titulo IS NOT NULL AND tema_humano IN (SELECT tema FROM temas)),
+v AS (SELECT tema, length(x)::DOUBLE AS a, length(regexp_replace(x, '[^aeiou]', '', 'g'))::DOUBLE AS b FROM d), u AS (SELECT tema, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b FROM v WHERE a > 0), m AS (SELECT tema, count(*) AS textos, avg(a) AS a, avg(b) AS b FROM u GROUP BY tema)
+SELECT tema, textos, round(a / sqrt(a * a + b * b), 6) AS c1, round(b / sqrt(a * a + b * b), 6) AS c2 FROM m""")
+def described(t: Tables) -> DataFrame:
+    """M4: topic centroids of their description together with examples, by an encoder put in."""
+    examples = _sheet(t).where("titulo is not null").select(F.col("tema_humano").alias("tema"), F.col("titulo").alias("x"))
+    rows = t.temas.select("tema", F.col("nombre").alias("x")).union(examples).where("length(x) > 0")
+    coded = vectors.encode(rows, "x", lambda texts: [[len(x), sum(c in "aeiou" for c in x)] for x in texts], 2).withColumn("u", stats.unit(F.col("embedding")))
+    sizes = coded.groupBy("tema").agg(F.count(F.lit(1)).alias("textos"))
+    return vectors.centroids(coded, ["tema"], "u").join(sizes, "tema").select("tema", "textos", F.round(F.get("centroid", F.lit(0)), 6).alias("c1"), F.round(F.get("centroid", F.lit(1)), 6).alias("c2"))
+
+
 QUERIES, ORACLE = registry.QUERIES, registry.ORACLE

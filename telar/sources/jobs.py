@@ -14,6 +14,8 @@ from telar.functions.urls import canonical_url, host, short_id
 from telar.operators.records import Step, run_steps
 from telar.operators.row_recovery import Loaded
 from telar.operators.tables import latest_per_key
+from telar.operators.vectors import encode
+from telar.session import cut
 from telar.sources import readers, writers
 
 
@@ -99,6 +101,23 @@ def export_last(df: DataFrame, path: str, keys: list[str], order: list[str], rev
     writers.write_json(latest_per_key(df.where(F.col(reviewed)), keys, order), path, keys)
 
 
+def encode_cached(df: DataFrame, text: str, encoder: Callable[[list[str]], object], size: int, model: str, path: str, column: str = "embedding") -> DataFrame:
+    """``df`` with the vector of a text, each text encoded once per ``model`` (name and revision) and kept under ``path``.
+
+    Entries are keyed by a hash of model and text; the text itself isn't stored. Null texts have no vector.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.concat_ws("|", F.lit(model), F.col(text)), 256)
+    keyed = df.withColumn("__key", F.when(F.col(text).isNotNull(), key))
+    asked = keyed.where("__key is not null").select("__key", F.col(text).alias("__t")).dropDuplicates(["__key"])
+    if writers.exists(spark, path):
+        asked = asked.join(spark.read.parquet(path).select("__key"), "__key", "left_anti")
+    fresh = cut(encode(asked, "__t", encoder, size, "__v").drop("__t"))
+    if not fresh.isEmpty() or not writers.exists(spark, path):
+        fresh.write.mode("append").parquet(path)
+    return keyed.join(spark.read.parquet(path).withColumnRenamed("__v", column), "__key", "left").drop("__key")
+
+
 def measure_encoder(build: Callable[[], Callable[[list[str]], object]], texts: list[str], batch: int = 32) -> dict:
     """Seconds to build an encoder, texts a second, and the process's largest memory in bytes."""
     began = time.perf_counter()

@@ -61,3 +61,18 @@ def test_logs_exports_and_measurements(spark, tmp_path):
     assert [json.loads(r.value)["t"] for r in spark.read.text(str(tmp_path / "e")).collect()] == ["y"]
     found = jobs.measure_encoder(lambda: lambda ts: [len(t) for t in ts], ["a"] * 100)
     assert found["texts"] == 100 and found["texts_per_s"] > 0 and found["max_rss"] > 0
+
+
+def test_texts_are_encoded_once_for_each_model(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return [[len(t), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, "z")], "id int, t string")
+    want = {1: [3.0, 1.0], 2: [3.0, 1.0], 3: None, 4: [1.0, 1.0]}
+    for rows, model, calls in ((df, "m@1", 2), (df, "m@1", 2), (df.union(spark.createDataFrame([(5, "nuevo")], df.schema)), "m@1", 3), (df, "m@2", 5)):
+        got = {r.id: r.embedding for r in jobs.encode_cached(rows, "t", encoder, 2, model, path).collect()}
+        assert {k: got[k] for k in want} == want and seen.value == calls
+    assert spark.read.parquet(path).columns == ["__key", "__v"]

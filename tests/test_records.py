@@ -111,3 +111,20 @@ def test_encoders_and_centroids_are_checked(spark):
     many = spark.range(20).select(F.col("id").alias("label"), F.array(F.lit(1.0)).alias("centroid"))
     with pytest.raises(ValueError):
         vectors.with_centroids(df, many, "label", most=10)
+
+
+def test_leave_one_out_against_refitting(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(np.round(x, 1)), bool(x + rng.normal() > 0)) for x in rng.normal(size=60)]
+    schema = "x double, y boolean"
+    wrong = 0
+    for i, (x, y) in enumerate(rows[:12]):
+        cut = metrics.best_threshold(spark.createDataFrame(rows[:i] + rows[i + 1 : 12], schema), "x", F.col("y")).first().cut
+        wrong += (x >= cut) != y
+    got = metrics.leave_one_out(spark.createDataFrame(rows[:12], schema), "x", F.col("y")).first()
+    assert (got.n, got.errors) == (12, wrong)
+    whole = metrics.leave_one_out(spark.createDataFrame(rows + [(None, True)], schema), "x", F.col("y")).first()
+    assert whole.n == 60 and 0.5 < whole.accuracy <= 1
+    assert metrics.leave_one_out(spark.createDataFrame([], schema), "x", F.col("y")).first().n == 0
+    with pytest.raises(ValueError):
+        metrics.leave_one_out(spark.createDataFrame(rows, schema), "x", F.col("y"), most=3)
