@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,9 +29,15 @@ from telar.session import cut
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_ACCENTS = {ord(c): unicodedata.normalize("NFKD", c)[0] for c in "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"}
+
+
 def bare(text: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    text = text.lower()
+    if text.isascii() or (text := text.translate(_ACCENTS)).isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def latest_labels(df: DataFrame, item: str, annotator: str, time: str, values: list[str]) -> DataFrame:
@@ -288,29 +295,29 @@ def _closed_joined(lab: DataFrame, x: DataFrame, classes: list[str], rounds: int
     return consensus, annotators
 
 
+@lru_cache(maxsize=4096)
+def _words_of(text: str) -> tuple[set[str], set[str]]:
+    """The words of a text, and what those of four letters and more become with one letter left out."""
+    tokens = set(_WORD.findall(bare(text)))
+    return tokens, {t[:i] + t[i + 1 :] for t in tokens if len(t) >= 4 for i in range(len(t))} | {t for t in tokens if len(t) >= 4}
+
+
 def _match_features(text: str | None, value: str) -> list[float]:
     """How well a value's words are found in the item's text: share found, its longest word found, words not found.
 
     The value's longest word counts by itself: of a composed value it is the one that names something.
     """
     words = [w for w in re.split(r"[^\w]+", bare(value)) if w]
-    there = bare(text) if text else ""
-    tokens = set(_WORD.findall(there))
+    tokens, shorter = _words_of(text) if text else (set(), set())
     if not words:
         return [0.0, 0.0, 0.0]
-    near = [1.0 if w in tokens else 0.75 * _one_apart(w, tokens) for w in words]
+    near = [1.0 if w in tokens else 0.75 * _one_apart(w, shorter) for w in words]
     return [sum(near) / len(words), near[max(range(len(words)), key=lambda i: len(words[i]))], float(len(words) - sum(near))]
 
 
-def _one_apart(word: str, tokens: set[str]) -> bool:
-    """A letter dropped, doubled or swapped in words of five letters and more."""
-    if len(word) < 5:
-        return False
-    drops = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    for t in tokens:
-        if abs(len(t) - len(word)) <= 1 and len(t) >= 4 and (t in drops or any(t[:i] + t[i + 1 :] in drops or t[:i] + t[i + 1 :] == word for i in range(len(t)))):
-            return True
-    return False
+def _one_apart(word: str, shorter: set[str]) -> bool:
+    """A letter dropped, doubled or swapped in words of five letters and more: they share a spelling with one letter left out."""
+    return len(word) >= 5 and (word in shorter or any(word[:i] + word[i + 1 :] in shorter for i in range(len(word))))
 
 
 BUCKETS = 128

@@ -117,15 +117,21 @@ def nearest_in_time(
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _ISO = r"^(\d{4})-?(\d{2})-?(\d{2})[Tt ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*([Zz]|GMT|UTC|[+-]\d{2}(?::?\d{2})?)$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:[0-5]\dZ$"
 _RFC = r"^(?:[A-Za-z]{3,},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{2}):(\d{2})(?::(\d{2}))?()\s*([Zz]|GMT|UTC|UT|[+-]\d{2}:?\d{2})$"
 
 
 def instant(text: Column) -> Column:
     """The instant a date text names, as a timestamp; null unless it has a time of day and a Z, GMT or UTC offset.
 
-    Understood are ISO 8601 in extended and basic form and the dates of mail headers. Impossible dates give null.
+    Understood are ISO 8601 in extended and basic form and the dates of mail headers. Impossible dates give null. The
+    commonest form is read by a cast, the others by their parts.
     """
     text = F.trim(text)
+    return F.when(text.rlike(_PLAIN), text.try_cast("timestamp")).otherwise(_by_parts(text))
+
+
+def _by_parts(text: Column) -> Column:
     iso, rfc = (lambda i: F.regexp_extract(text, _ISO, i)), (lambda i: F.regexp_extract(text, _RFC, i))
     is_iso = text.rlike(_ISO)
     month = F.lit(None)

@@ -71,8 +71,7 @@ _ACCENTED, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaa
 
 def _loose(column: str) -> Column:
     """Lower case without accents, underscores, hyphens and blanks."""
-    text = F.regexp_replace(F.translate(F.lower(F.col(column)), _ACCENTED, _PLAIN), r"[\u0300-\u036f_\-\s]+", "")
-    return F.nullif(text, F.lit(""))
+    return F.regexp_replace(F.translate(F.lower(F.col(column)), _ACCENTED, _PLAIN), r"[\u0300-\u036f_\-\s]+", "")
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
@@ -80,13 +79,17 @@ def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame,
     sheet = table(spark, sf_dir, "hoja_preetiquetado")
     themes = table(spark, sf_dir, "temas").where("tema is not null")
     rows = sheet.withColumn("cuando", F.struct(instant(F.col("fecha_etiquetado")), F.col("fecha_etiquetado")))
-    latest = cut(consensus.latest_labels(rows, "id_noticia", "etiquetado_por", "cuando", ["tema_humano", "grupo"]))
-    items = sheet.where("id_noticia is not null").select(F.col("id_noticia").alias("item"), F.col("titulo").alias("text"), F.col("propuesta_tema").alias("hint"))
+    # Values of plain letters, figures, blanks, hyphens and underscores need no search through Unicode's classes.
+    plain, low = F.col("grupo").rlike("^[A-Za-z0-9 _-]*$"), F.lower(F.trim("grupo"))
+    joined = F.when(plain, F.regexp_replace(F.translate(low, " _", "--"), "--+", "-")).otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}\p{M}]+", "-"))
+    latest = consensus.latest_labels(rows, "id_noticia", "etiquetado_por", "cuando", ["tema_humano", "grupo"])
+    # Written with the forms made, so that filters on them don't make them again; a blank form is no label.
+    latest = cut(latest.select("item", "annotator", _loose("tema_humano").alias("forma"), F.regexp_replace(joined, "^-|-$", "").alias("grupo")))
+    items = cut(sheet.where("id_noticia is not null").groupBy(F.col("id_noticia").alias("item")).agg(F.min("titulo").alias("text"), F.min("propuesta_tema").alias("hint")))
     keys = themes.select(_loose("tema").alias("forma"), "tema").union(themes.select(_loose("nombre").alias("forma"), "tema"))
-    keys = keys.where("forma is not null").groupBy("forma").agg(F.min("tema").alias("value"))
-    tema = latest.withColumn("forma", _loose("tema_humano")).join(keys, "forma").select("item", "annotator", "value")
-    joined = F.regexp_replace(F.lower(F.trim("grupo")), r"[^\p{L}\p{N}\p{M}]+", "-")
-    grupo = latest.select("item", "annotator", F.nullif(F.regexp_replace(joined, "^-|-$", ""), F.lit("")).alias("value"))
+    keys = keys.where("forma <> ''").groupBy("forma").agg(F.min("tema").alias("value"))
+    tema = latest.join(keys, "forma").select("item", "annotator", "value")
+    grupo = latest.select("item", "annotator", F.col("grupo").alias("value"))
     classes = sorted(r.tema for r in themes.select("tema").distinct().limit(_MOST_CLASSES + 1).collect())
     if len(classes) > _MOST_CLASSES:
         raise ValueError(f"more than {_MOST_CLASSES} values of temas.tema")
