@@ -133,21 +133,42 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def anchored_split(df: DataFrame, keys: list[str], time: str, id: str, days: int) -> DataFrame:
     """``keys``, ``id``, ``part``: a new part begins where a row lies more than ``days`` days after the part's first row.
 
-    The border is inclusive. Rows without time are in part 1. An ordered fold per key over (time, distinct days): a
-    key's distinct days are what one task holds, not its rows.
+    The border is inclusive. Rows without time are in part 1. Time is cut into cells of ``days`` days. Each distinct moment
+    points to the first one more than ``days`` days later, which lies in the next cell or opens the one after; the parts'
+    first moments are those reached from a key's first by such steps, found by doubling them. A task holds one key's
+    moments in one cell; windows over a key see one row per cell.
     """
-    day = F.unix_micros(F.col(time))
-    moments = df.where(F.col(time).isNotNull()).select(*keys, day.alias("t")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.array().cast("array<bigint>").alias("anchors"))
-
-    def step(acc: Column, t: Column) -> Column:
-        opens = acc["anchor"].isNull() | (t - acc["anchor"] > days * 86_400_000_000)
-        return F.when(opens, F.struct(t.alias("anchor"), F.concat(acc["anchors"], F.array(t)).alias("anchors"))).otherwise(acc)
-
-    anchors = moments.select(*keys, F.aggregate("ts", start, step)["anchors"].alias("anchors"))
-    rows = df.select(*keys, id, day.alias("t")).join(anchors, keys, "left")
-    part = F.size(F.filter("anchors", lambda a: a <= F.col("t")))
-    return rows.select(*keys, id, F.when(F.col("t").isNull(), 1).otherwise(part).alias("part"))
+    span = days * 86_400_000_000
+    names = [f"__a{i}" for i in range(len(keys))]
+    cell = lambda t: F.floor(F.col(t) / span).cast("long")
+    rows = df.select(*keys, id, F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names)]).alias("__k"), F.unix_micros(F.col(time)).alias("__t")).withColumn("__c", cell("__t"))
+    moments = cut(rows.where("__t is not null").select("__k", "__t", "__c").distinct())
+    by_key = Window.partitionBy("__k").orderBy("__c")
+    cells = cut(
+        moments.groupBy("__k", "__c").agg(F.min("__t").alias("__first"))
+        .withColumn("__far", F.when(F.lead("__c").over(by_key) > F.col("__c") + 1, F.lead("__first").over(by_key)).otherwise(F.lead("__first", 2).over(by_key)))
+    )
+    # In order of falling time the last moment seen before a row that asks is the first one after it.
+    asks = moments.select("__k", (F.col("__t") + span).alias("__at"), (F.col("__c") + 1).alias("__c"), F.lit(0).alias("__m"), "__t")
+    both = asks.union(moments.select("__k", F.col("__t").alias("__at"), "__c", F.lit(1).alias("__m"), "__t"))
+    down = Window.partitionBy("__k", "__c").orderBy(F.desc("__at"), "__m")
+    near = both.withColumn("__near", F.min(F.when(F.col("__m") == 1, F.col("__t"))).over(down.rowsBetween(Window.unboundedPreceding, 0))).where("__m = 0")
+    far = cells.select("__k", (F.col("__c") + 1).alias("__c"), "__far")
+    steps = cut(near.join(far, ["__k", "__c"]).select("__k", "__t", F.coalesce("__near", "__far").alias("__to")).where("__to is not null"))
+    reached = cut(moments.groupBy("__k").agg(F.min("__t").alias("__t")))
+    while True:
+        new = cut(reached.join(steps, ["__k", "__t"]).select("__k", F.col("__to").alias("__t")).join(reached, ["__k", "__t"], "left_anti").distinct())
+        if new.isEmpty():
+            break
+        reached = cut(reached.union(new))
+        ahead = steps.select("__k", F.col("__t").alias("__to"), F.col("__to").alias("__next"))
+        steps = cut(steps.join(ahead, ["__k", "__to"]).select("__k", "__t", F.col("__next").alias("__to")))
+    # A cell holds one beginning at most.
+    begun = cells.select("__k", "__c").join(reached.select("__k", F.col("__t").alias("__begin"), cell("__t").alias("__c")), ["__k", "__c"], "left")
+    before = F.coalesce(F.count("__begin").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(begun.withColumn("__before", before), ["__k", "__c"], "left")
+    part = F.col("__before") + F.coalesce((F.col("__begin") <= F.col("__t")).cast("int"), F.lit(0))
+    return placed.select(*keys, id, F.when(F.col("__t").isNull(), 1).otherwise(part.cast("int")).alias("part"))
 
 
 def day_islands(df: DataFrame, keys: list[str], day: str) -> DataFrame:

@@ -96,3 +96,21 @@ def test_percentiles_against_numpy(spark):
         assert np.allclose(got[g], (np.quantile(own, 0.5), np.quantile(own, 0.9)))
     assert set(got) == {"a", "b", "c", None}
     assert ops.percentiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", {"p": 0.5}).count() == 0
+
+
+def test_anchored_split_against_a_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    day = 86_400
+    rows = [(rng.choice(["a", "b", None]), i, int(rng.choice([rng.random() * 90 * day, (rng.randrange(90) + 0.0) * day, rng.expovariate(1) * 5 * day]))) for i in range(300)]
+    rows += [("c", 900 + i, i * 7 * day) for i in range(40)] + [("d", 950 + i, i * (7 * day + 1)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, id int, s long").withColumn("t", F.timestamp_seconds("s"))
+    want = {}
+    for k in {r[0] for r in rows}:
+        anchor, part = None, 0
+        for _, i, s in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]):
+            if anchor is None or s - anchor > 7 * day:
+                anchor, part = s, part + 1
+            want[i] = part
+    assert {r.id: r.part for r in ops.anchored_split(df, ["k"], "t", "id", 7).collect()} == want
