@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions import stats, text, urls
+from telar.operators import governance as ops
 from telar.operators import metrics
 from telar.operators.prefix import places
 from telar.plans import analytics
 from telar.plans.analytics import ORACLE as _SQL, _SHEET, _sheet
+from telar.plans.governance import _CHAIN, _chain
 from telar.plans.registry import Registry, Tables
 from telar.plans.scalars import alnum, bare, iso, sql_iso
+from telar.sources.readers import response_state
 
 registry = Registry()
 query = registry.query
@@ -343,4 +346,39 @@ def official_links(t: Tables) -> DataFrame:
     return rows.where("magnitud is not null and estado in ('reviewed', 'automatic')").select("zona", "id_sismo", "estado")
 
 
+@query("z001_estado_de_respuesta", """
+SELECT archivo, fecha_extraccion, CASE WHEN n_articulos IS NULL THEN 'invalido' WHEN n_articulos = 0 THEN 'vacio' WHEN n_articulos >= 250 AND (epoch(fin) - epoch(ini)) / 2 >= 3600 THEN 'truncado' ELSE 'ok' END AS estado, count(*) AS n FROM crudos_gdelt GROUP BY ALL""")
+def response_states(t: Tables) -> DataFrame:
+    """The state of each search response read from its text: empty, invalid, or truncated at the cap if its range can be halved."""
+    count = F.col("n_articulos")
+    full = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct(i.cast("string").alias("url"))).alias("articles")))
+    body = F.when(count == 0, " ").when(count.isNotNull(), full)
+    seconds = (F.unix_micros("fin") - F.unix_micros("ini")) / 1e6
+    rows = t.crudos_gdelt.select("archivo", "fecha_extraccion", body.alias("texto"), seconds.alias("s"))
+    return rows.groupBy("archivo", "fecha_extraccion", response_state(F.col("texto"), 250, F.col("s"), 3600).alias("estado")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_REPORTS = "segun|informa|dice|advierte|reporta|celebra|confirma|anuncia"
+
+
+@query("v01_atribucion", f"""
+SELECT fila, coalesce(regexp_matches({bare('titulo')}, '(^|[^a-z])({_REPORTS})($|[^a-z])'), false) OR coalesce(contains({bare('titulo')}, {bare('medio')}), false) AS atribuida, coalesce(contains(titulo, '"'), false) AS declaracion FROM noticias""")
+def attribution(t: Tables) -> DataFrame:
+    """V1: whether a statement carries its attribution, a verb of reporting or the outlet's name, and whether it is a quotation."""
+    b = text.bare(F.col("titulo"))
+    said = F.coalesce(b.rlike(f"(^|[^a-z])({_REPORTS})($|[^a-z])"), F.lit(False)) | F.coalesce(F.contains(b, text.bare(F.col("medio"))), F.lit(False))
+    return t.noticias.select("fila", said.alias("atribuida"), F.coalesce(F.col("titulo").contains('"'), F.lit(False)).alias("declaracion"))
+
+
+@query("v02_recorte_por_tope", f"""
+WITH RECURSIVE c AS MATERIALIZED ({_CHAIN}), g AS (SELECT fila FROM c WHERE falla UNION SELECT c.fila FROM c JOIN g ON c.base = g.fila), k AS (SELECT id_noticia, fila FROM noticias WHERE fila NOT IN (SELECT fila FROM g))
+SELECT id_noticia, fila, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS orden FROM k QUALIFY row_number() OVER (PARTITION BY id_noticia ORDER BY fila) <= 2""")
+def trimmed(t: Tables) -> DataFrame:
+    """V2: of the claims that don't fall at most two stay for each record, the first ones (the cap is the feature)."""
+    claims, edges = _chain(t)
+    kept = ops.fallen(claims, edges, "fila", "falla").where("not falls").select("fila").join(t.noticias.select("fila", "id_noticia"), "fila")
+    order = F.row_number().over(Window.partitionBy("id_noticia").orderBy("fila"))
+    return kept.withColumn("orden", order.cast("long")).where("orden <= 2").select("id_noticia", "fila", "orden")
+
+
 QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
