@@ -35,7 +35,7 @@ def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
     return a.join(b.hint("merge"), on, how)
 
 
-def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, single_rounds: int = 4) -> DataFrame:
+def pivot_clusters(df: DataFrame, similarity: Similarity, threshold: float, single_rounds: int = 8) -> DataFrame:
     """``id``, ``pivot`` of each row of ``df`` (id, order, keys, f): one round after another until every row has one.
 
     ``order`` (any orderable, smallest first) decides who is pivot, ties go to the smaller id. A row without keys is a
